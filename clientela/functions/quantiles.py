@@ -16,41 +16,45 @@ from pyspark.sql import DataFrame, Window, functions as F
 RANGES = 256
 
 
+def value_counts(values: DataFrame, measure: str, value: str) -> DataFrame:
+    """How often each value occurs per measure, as column ``n``; nulls left out.
+
+    Equal values collapse before the shuffle, so a hot value is one row per task.
+    """
+    known = values.where(F.col(value).isNotNull())
+    return known.groupBy(measure, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def exact_quantiles(
-    values: DataFrame, measure: str, value: str, probs: Sequence[float], ranges: int = RANGES
+    counts: DataFrame, measure: str, value: str, probs: Sequence[float], ranges: int = RANGES
 ) -> DataFrame:
     """Quantiles per measure with linear interpolation between neighbours.
 
-    ``values`` is long: a measure name and a double. There must be few measures
-    (one per profiled column); there may be any number of values, and any share
-    of them may be equal. Returns ``(measure, PROB, QUANTILE)``.
+    ``counts`` come from ``value_counts`` of a double. There must be few measures
+    (one per profiled column); there may be any number of values. Returns
+    ``(measure, PROB, QUANTILE)``. All steps read the same shuffle of the counts,
+    which Spark therefore writes once.
     """
-    # Equal values collapse before the shuffle, so a hot value is one row.
-    counts = (
-        values.where(F.col(value).isNotNull())
-        .groupBy(measure, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
     # Approximate cut points only balance the ranges; any cut points are exact.
     steps = [i / ranges for i in range(1, ranges)]
     cuts = counts.groupBy(measure).agg(
-        F.percentile_approx(value, steps, 10 * ranges).alias("cuts")
+        F.percentile_approx(value, steps, 10 * ranges).alias("cuts"),
+        F.sum("n").alias("total"),
     )
-    # One row of `ranges` numbers per measure, so the broadcast is bounded.
+    # One row of about `ranges` numbers per measure, so the broadcast is bounded.
     ranged = counts.join(F.broadcast(cuts), measure).select(
         measure,
         value,
         "n",
+        "total",
         F.size(F.filter("cuts", lambda cut: cut < F.col(value))).alias("range"),
     )
 
     in_order = Window.partitionBy(measure).orderBy("range")
     located = (
-        ranged.groupBy(measure, "range")
+        ranged.groupBy(measure, "range", "total")
         .agg(F.sum("n").alias("in_range"))
         .withColumn("before", F.sum("in_range").over(in_order) - F.col("in_range"))
-        .withColumn("total", F.sum("in_range").over(Window.partitionBy(measure)))
     )
     position = F.col("PROB") * (F.col("total") - 1)
     wanted = (
@@ -70,8 +74,7 @@ def exact_quantiles(
         .select(measure, value, "n", "upto", "asked.*")
         .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
     )
-    lower, upper = F.min(value), F.max(value)
-    weight = F.first("weight")
+    lower, upper, weight = F.min(value), F.max(value), F.max("weight")
     return ranked.groupBy(measure, "PROB").agg(
         ((1 - weight) * lower + weight * upper).alias("QUANTILE")
     )

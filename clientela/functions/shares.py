@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 
-def share_of_total(counts: DataFrame, amount: str) -> Column:
-    """``amount`` over its column total.
+def share_of_total(amount: str) -> Column:
+    """``amount`` over its column total, for frames with few rows.
 
-    The total is a scalar subquery: no join, and no window that would move all
-    rows to one task. It reads the shuffle output the outer query already made.
+    The window sees every row of an aggregated frame, as in ``running_share``.
+    A scalar subquery for the total would compute the whole input a second time.
     """
-    total = counts.agg(F.sum(amount)).scalar()
-    return F.try_divide(amount, total)
+    return F.try_divide(F.col(amount), F.sum(amount).over(Window.partitionBy()))
 
 
 def running_share(amount: str, order: Sequence[Column]) -> Column:

@@ -39,9 +39,10 @@ def baskets(lines: DataFrame, min_support: float) -> DataFrame:
     )
 
 
-def basket_model(lines: DataFrame, min_support: float, min_confidence: float = 0.0) -> FPGrowthModel:
+def basket_model(baskets: DataFrame, min_support: float, min_confidence: float = 0.0) -> FPGrowthModel:
+    """Search of all frequent sets. ``baskets`` are read several times: store them."""
     growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    return growth.fit(baskets(lines, min_support))
+    return growth.fit(baskets)
 
 
 def frequent_sets(model: FPGrowthModel) -> DataFrame:
@@ -64,14 +65,13 @@ def basket_rules(model: FPGrowthModel) -> DataFrame:
     )
 
 
-def basket_pairs(lines: DataFrame, min_support: float) -> DataFrame:
+def basket_pairs(baskets: DataFrame, sets: DataFrame) -> DataFrame:
     """Frequent pairs with support, confidence both ways, and lift.
 
-    The frequent items and sets are the small result of the search; Spark
-    chooses how to join them by their size.
+    ``sets`` are the ``freqItemsets`` of a model, stored because they are read
+    three times. Spark chooses by their size how to join them.
     """
-    total = _known(lines).agg(F.count_distinct("ID_TICKET")).scalar()
-    sets = basket_model(lines, min_support).freqItemsets
+    total = baskets.agg(F.count(F.lit(1))).scalar()
     single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
     a = single.select(F.col("item").alias("ITEM_A"), F.col("freq").alias("n_a"))
     b = single.select(F.col("item").alias("ITEM_B"), F.col("freq").alias("n_b"))

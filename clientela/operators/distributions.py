@@ -9,9 +9,13 @@ from clientela.functions.shares import running_share, share_of_total
 
 
 def distinct_share(df: DataFrame, by: str, key: str, count: str) -> DataFrame:
-    """Distinct keys per value and their share of the summed counts, largest first."""
+    """Distinct keys per value and their share of the summed counts, largest first.
+
+    ``by`` has a closed set of values (provinces, regions, small counts); there
+    may be any number of keys.
+    """
     counts = df.groupBy(by).agg(n_distinct(key).alias(count))
-    return counts.withColumn("PERCENT", share_of_total(counts, count)).orderBy(
+    return counts.withColumn("PERCENT", share_of_total(count)).orderBy(
         F.desc("PERCENT"), F.asc_nulls_last(by)
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clientela.functions.datetimes import parse_iso
 from clientela.operators.joins import null_safe_join
@@ -12,6 +12,16 @@ SEND, OPEN, CLICK, FAIL = "S", "V", "C", "F"
 FAILURES = ("E", "B")
 
 
+def is_kind(code: str) -> Column:
+    """Whether an event is of a kind, before or after failures are recoded.
+
+    A comparison with constants reaches the scan as a pushed filter; one with
+    the recoded expression would not.
+    """
+    codes = (FAIL, *FAILURES) if code == FAIL else (code,)
+    return F.col("TYP_EVENT").isin(*codes)
+
+
 def type_events(event: DataFrame) -> DataFrame:
     """Text date to a timestamp, its hour, and its date under the old name."""
     at = F.col("EVENT_DATETIME")

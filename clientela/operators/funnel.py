@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clientela.operators.campaigns import campaign_types
-from clientela.operators.events import SEND
+from clientela.operators.events import SEND, is_kind
 from clientela.operators.joins import null_safe_join
 from clientela.operators.touches import DELIVERY, touch_summary
 
@@ -13,7 +13,7 @@ from clientela.operators.touches import DELIVERY, touch_summary
 def email_funnel(events: DataFrame, campaign: DataFrame) -> DataFrame:
     """Sends with first open, first click, failure, counts and days to open.
 
-    ``events`` are typed and recoded. A send whose order of dates is impossible
+    ``events`` are typed; whether failures are recoded makes no difference. A send whose order of dates is impossible
     (open before send, click before open or without one, failure before send) is
     left out. Dates are compared, not times.
 
@@ -21,7 +21,7 @@ def email_funnel(events: DataFrame, campaign: DataFrame) -> DataFrame:
     so three joins become one. The campaign type, which every touch of the
     campaign shares, is attached to the result instead of to all events.
     """
-    sent = events.where(F.col("TYP_EVENT") == SEND).select(
+    sent = events.where(is_kind(SEND)).select(
         F.col("ID_EVENT").alias("ID_EVENT_S"), *DELIVERY, F.col("EVENT_DATE").alias("SEND_DATE")
     )
     touched = null_safe_join(sent, touch_summary(events), DELIVERY)

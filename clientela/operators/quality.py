@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clientela.functions.missing import n_distinct
-from clientela.functions.quantiles import exact_quantiles
+from clientela.functions.quantiles import exact_quantiles, value_counts
+
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def duplicate_audit(df: DataFrame, key: str) -> DataFrame:
@@ -45,8 +47,8 @@ def key_audit(
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
-def _as_number(column: str, kind: str) -> Column:
-    """The number a column is summarised by; null for text."""
+def _as_number(column: str, kind: str) -> Column | None:
+    """The number a column is summarised by; none for text."""
     if kind.startswith(_NUMBERS):
         return F.col(column).cast("double")
     if kind == "boolean":
@@ -55,45 +57,53 @@ def _as_number(column: str, kind: str) -> Column:
         return F.unix_date(column).cast("double")
     if kind == "timestamp_ntz":
         return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast(kind), column).cast("double")
-    return F.lit(None).cast("double")
+    return None
 
 
 def profile(df: DataFrame) -> DataFrame:
     """Type, missing count, five-number summary and mean of every column.
 
     Dates count as days and timestamps as seconds since 1970, booleans as 0 and
-    1; text has no numbers. Quartiles are exact.
+    1; text has no numbers. Quartiles are exact. ``df`` is read twice: for the
+    missing counts, which need no shuffle, and for the counts of all values.
     """
+    total = F.count(F.lit(1))
+    missing = df.agg(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(name).alias("COLUMN"),
+                    F.lit(kind).alias("TYPE"),
+                    total.alias("N_ROWS"),
+                    (total - F.count(name)).alias("N_MISSING"),
+                )
+                for name, kind in df.dtypes
+            )
+        ).alias("columns")
+    ).select(F.inline("columns"))
     cells = F.array(
         *(
-            F.struct(
-                F.lit(name).alias("COLUMN"),
-                F.lit(kind).alias("TYPE"),
-                F.col(name).isNull().alias("absent"),
-                _as_number(name, kind).alias("number"),
-            )
+            F.struct(F.lit(name).alias("COLUMN"), _as_number(name, kind).alias("number"))
             for name, kind in df.dtypes
+            if _as_number(name, kind) is not None
         )
     )
-    long = df.select(F.inline(cells))
-    basics = long.groupBy("COLUMN", "TYPE").agg(
-        F.count(F.lit(1)).alias("N_ROWS"),
-        F.count_if("absent").alias("N_MISSING"),
+    counts = value_counts(df.select(F.inline(cells)), "COLUMN", "number")
+    moments = counts.groupBy("COLUMN").agg(
         F.min("number").alias("MIN"),
-        F.avg("number").alias("MEAN"),
+        (F.sum(F.col("number") * F.col("n")) / F.sum("n")).alias("MEAN"),
         F.max("number").alias("MAX"),
     )
-    quartiles = (
-        exact_quantiles(long, "COLUMN", "number", (0.25, 0.5, 0.75))
-        .groupBy("COLUMN")
-        .agg(
-            F.max(F.when(F.col("PROB") == 0.25, F.col("QUANTILE"))).alias("Q1"),
-            F.max(F.when(F.col("PROB") == 0.5, F.col("QUANTILE"))).alias("MEDIAN"),
-            F.max(F.when(F.col("PROB") == 0.75, F.col("QUANTILE"))).alias("Q3"),
+    quartiles = exact_quantiles(counts, "COLUMN", "number", QUARTILES)
+    quartiles = quartiles.groupBy("COLUMN").agg(
+        *(
+            F.max(F.when(F.col("PROB") == prob, F.col("QUANTILE"))).alias(name)
+            for name, prob in zip(("Q1", "MEDIAN", "Q3"), QUARTILES)
         )
     )
-    # One row per column of df on both sides.
-    return basics.join(F.broadcast(quartiles), "COLUMN", "left").select(
+    # One row per column of df on every side.
+    numbers = moments.join(F.broadcast(quartiles), "COLUMN")
+    return missing.join(F.broadcast(numbers), "COLUMN", "left").select(
         "COLUMN", "TYPE", "N_ROWS", "N_MISSING", "MIN", "Q1", "MEDIAN", "MEAN", "Q3", "MAX"
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clientela.functions.quantiles import exact_quantiles
+from clientela.functions.quantiles import exact_quantiles, value_counts
 
 MEASURES = ("RECENCY", "FREQUENCY", "MONETARY")
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
@@ -62,7 +62,8 @@ def rfm_cuts(base: DataFrame) -> DataFrame:
             )
         )
     )
-    limits = exact_quantiles(long, "measure", "value", QUINTILES)
+    counts = value_counts(long, "measure", "value")
+    limits = exact_quantiles(counts, "measure", "value", QUINTILES)
     return limits.agg(
         *(
             F.max(

@@ -10,16 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clientela.functions.missing import n_distinct
-from clientela.operators.events import CLICK, FAIL, OPEN, SEND
+from clientela.operators.events import CLICK, FAIL, OPEN, SEND, is_kind
 
 DELIVERY = ["ID_CLI", "ID_CAMP", "ID_DELIVERY"]
 
 # Kind of touch: suffix of its event id, prefix of its dates, name of its count.
-_NAMES = {OPEN: ("O", "OPEN", "NUM_OPENs"), CLICK: ("C", "CLICK", "NUM_CLICKs"), FAIL: ("F", "FAIL", None)}
+_NAMES = {
+    OPEN: ("O", "OPEN", "NUM_OPENs"),
+    CLICK: ("C", "CLICK", "NUM_CLICKs"),
+    FAIL: ("F", "FAIL", None),
+}
 
 
 def sends(clean: DataFrame) -> DataFrame:
-    return clean.where(F.col("TYP_EVENT") == SEND).select(
+    return clean.where(is_kind(SEND)).select(
         F.col("ID_EVENT").alias("ID_EVENT_S"),
         "ID_CLI",
         "ID_CAMP",
@@ -32,7 +36,7 @@ def sends(clean: DataFrame) -> DataFrame:
 def touch_counts(clean: DataFrame, kind: str) -> DataFrame:
     """Distinct touches of one kind per delivery."""
     name = _NAMES[kind][2]
-    return clean.where(F.col("TYP_EVENT") == kind).groupBy(*DELIVERY).agg(
+    return clean.where(is_kind(kind)).groupBy(*DELIVERY).agg(
         n_distinct("ID_EVENT").alias(name)
     )
 
@@ -47,7 +51,7 @@ def first_touches(clean: DataFrame, kind: str) -> DataFrame:
     suffix, prefix, count = _NAMES[kind]
     at = F.col("EVENT_DATETIME")
     per_event = (
-        clean.where(F.col("TYP_EVENT") == kind)
+        clean.where(is_kind(kind))
         .groupBy(*DELIVERY, "ID_EVENT")
         .agg(
             F.min(at).alias("at"),
@@ -85,15 +89,15 @@ def touch_summary(events: DataFrame) -> DataFrame:
     the kind is absent or has an unknown time. All aggregates are on flat types,
     so both groupings are hash aggregations with map-side combining.
     """
-    at, kind = F.col("EVENT_DATETIME"), F.col("TYP_EVENT")
+    at = F.col("EVENT_DATETIME")
     per_event = (
-        events.where(kind.isin(OPEN, CLICK, FAIL))
+        events.where(is_kind(OPEN) | is_kind(CLICK) | is_kind(FAIL))
         .groupBy(*DELIVERY, "TYP_EVENT", "ID_EVENT")
         .agg(F.min(at).alias("at"), F.bool_and(at.isNotNull()).alias("dated"))
     )
     parts = []
     for code, (_, prefix, _) in _NAMES.items():
-        this = kind == code
+        this = is_kind(code)
         parts += [
             F.min(F.when(this, F.col("at"))).alias(f"{prefix}_at"),
             F.min(F.when(this & F.col("ID_EVENT").isNotNull(), F.col("at"))).alias(f"{prefix}_at_id"),

@@ -22,6 +22,7 @@ from clientela.operators import (
 from clientela.operators.funnel import email_funnel
 from clientela.operators.joins import null_safe_join
 from clientela.sources import delimited, star_schema as star
+from clientela.sources.scratch import scratch_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +34,8 @@ RULE_CONFIDENCE = 0.05
 FLAGS = {"opened": "OPENED", "clicked": "CLICKED", "failed": "FAILED"}
 
 
-def ready_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed, recoded events; the funnel attaches the campaign type itself."""
-    return events.recode_failures(events.type_events(star.event(spark, sf_dir)))
+def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.type_events(star.event(spark, sf_dir))
 
 
 def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,15 +51,13 @@ def clean_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return email_funnel(ready_events(spark, sf_dir), clean_campaigns(spark, sf_dir))
+    return email_funnel(typed_events(spark, sf_dir), clean_campaigns(spark, sf_dir))
 
 
 def funnel_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The funnel of events in which ids, types and dates are missing."""
     rows = na_tokens_default(spark, sf_dir)
-    return email_funnel(
-        events.recode_failures(events.type_events(rows)), clean_campaigns(spark, sf_dir)
-    )
+    return email_funnel(events.type_events(rows), clean_campaigns(spark, sf_dir))
 
 
 def na_tokens_default(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +72,7 @@ def _round_trip(name: str, rows: Callable[[SparkSession, str], DataFrame]) -> Qu
     """Write a table as delimited text and scan it again."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = delimited.scratch_dir(spark)
+        folder = scratch_dir(spark)
         delimited.write_table(rows(spark, sf_dir), folder, name)
         return delimited.scan_table(spark, folder, name)
 
@@ -82,7 +80,7 @@ def _round_trip(name: str, rows: Callable[[SparkSession, str], DataFrame]) -> Qu
 
 
 def sink_region_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{delimited.scratch_dir(spark)}/df_3_reg.csv"
+    path = f"{scratch_dir(spark)}/df_3_reg.csv"
     delimited.write_csv(dist_region(spark, sf_dir), path)
     return delimited.read_csv(
         spark, path, "REGION string, TOT_ID_ADDRESS bigint, PERCENT double"
@@ -164,17 +162,32 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = churn.churn_model(labels(spark, sf_dir))
+    model = churn.churn_model(stored(labels(spark, sf_dir)))
     return churn.churn_scores(model, churn.current_customers(star.ticket(spark, sf_dir)))
 
 
-def basket_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = star.basket(spark, sf_dir)
-    return basket.basket_rules(basket.basket_model(lines, RULE_SUPPORT, RULE_CONFIDENCE))
+def churn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return churn.churn_targets(churn_scores(spark, sf_dir), funnel(spark, sf_dir))
+
+
+def _stored_baskets(spark: SparkSession, sf_dir: str, min_support: float) -> DataFrame:
+    return stored(basket.baskets(star.basket(spark, sf_dir), min_support))
+
+
+def basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tickets = _stored_baskets(spark, sf_dir, PAIR_SUPPORT)
+    sets = basket.basket_model(tickets, PAIR_SUPPORT).freqItemsets
+    return basket.basket_pairs(tickets, stored(sets))
 
 
 def basket_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.frequent_sets(basket.basket_model(star.basket(spark, sf_dir), RULE_SUPPORT))
+    tickets = _stored_baskets(spark, sf_dir, RULE_SUPPORT)
+    return basket.frequent_sets(basket.basket_model(tickets, RULE_SUPPORT))
+
+
+def basket_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tickets = _stored_baskets(spark, sf_dir, RULE_SUPPORT)
+    return basket.basket_rules(basket.basket_model(tickets, RULE_SUPPORT, RULE_CONFIDENCE))
 
 
 QUERIES: dict[str, Query] = {
@@ -213,7 +226,7 @@ QUERIES: dict[str, Query] = {
     "consistency_campaign": consistency_campaign,
     # campaigns and events
     "campaign_clean": clean_campaigns,
-    "event_typed": lambda s, d: events.type_events(star.event(s, d)),
+    "event_typed": typed_events,
     "event_recode": lambda s, d: events.recode_failures(star.event(s, d)),
     "event_enriched": lambda s, d: events.attach_campaign(star.event(s, d), clean_campaigns(s, d)),
     "event_clean": clean_events,
@@ -221,8 +234,8 @@ QUERIES: dict[str, Query] = {
     "touch_opens": lambda s, d: touches.first_touches(clean_events(s, d), events.OPEN),
     "touch_clicks": lambda s, d: touches.first_touches(clean_events(s, d), events.CLICK),
     "touch_fails": lambda s, d: touches.first_touches(clean_events(s, d), events.FAIL),
-    "touch_open_counts": lambda s, d: touches.touch_counts(ready_events(s, d), events.OPEN),
-    "touch_click_counts": lambda s, d: touches.touch_counts(ready_events(s, d), events.CLICK),
+    "touch_open_counts": lambda s, d: touches.touch_counts(typed_events(s, d), events.OPEN),
+    "touch_click_counts": lambda s, d: touches.touch_counts(typed_events(s, d), events.CLICK),
     "funnel": funnel,
     "funnel_missing": funnel_missing,
     # funnel summaries
@@ -275,10 +288,10 @@ QUERIES: dict[str, Query] = {
     "churn_labels": labels,
     "churn_labels_160": lambda s, d: churn.churn_labels(star.ticket(s, d), horizon_days=160),
     "churn_scores": churn_scores,
-    "churn_quality": lambda s, d: churn.churn_quality(labels(s, d)),
-    "churn_targets": lambda s, d: churn.churn_targets(churn_scores(s, d), funnel(s, d)),
+    "churn_quality": lambda s, d: churn.churn_quality(stored(labels(s, d))),
+    "churn_targets": churn_targets,
     # baskets
-    "basket_pairs": lambda s, d: basket.basket_pairs(star.basket(s, d), PAIR_SUPPORT),
+    "basket_pairs": basket_pairs,
     "basket_sets": basket_sets,
     "basket_rules": basket_rules,
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientela.functions.missing import tokens_to_null
@@ -70,17 +67,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Read back a table written by ``write_csv``."""
     return spark.read.schema(schema).csv(path, header=True, nullValue="NA")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder that all executors can reach.
-
-    On a cluster that is a subfolder of ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder of this machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/clientela-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="clientela-")

@@ -7,6 +7,8 @@ dropping rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # event_type of the source to the type code of an email event.
@@ -78,13 +80,14 @@ def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Email events; the number in ``props`` picks the campaign and the delivery."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    code = F.create_map(*(F.lit(x) for pair in EVENT_CODES.items() for x in pair))
+    kind = F.col("event_type")
+    code = reduce(lambda c, pair: c.when(kind == pair[0], pair[1]), EVENT_CODES.items(), F)
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ID_EVENT"),
         F.col("user_id").alias("ID_CLI"),
         (k % 10).alias("ID_CAMP"),
         (k % 10 * 10 + F.floor(k / 10) % 2).alias("ID_DELIVERY"),
-        code[F.col("event_type")].alias("TYP_EVENT"),
+        code.alias("TYP_EVENT"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("EVENT_DATE"),
     )
 
