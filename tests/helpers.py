@@ -1,0 +1,94 @@
+"""Frames for tests and the literal meaning of the funnel in plain Python."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+
+EVENT_SCHEMA = (
+    "ID_EVENT bigint, ID_CLI bigint, ID_CAMP bigint, ID_DELIVERY bigint,"
+    " TYP_EVENT string, EVENT_DATE string"
+)
+CAMPAIGN_SCHEMA = "ID_CAMP bigint, TYP_CAMP string"
+
+
+def event_frame(spark: SparkSession, rows) -> DataFrame:
+    return spark.createDataFrame(rows, EVENT_SCHEMA)
+
+
+def campaign_frame(spark: SparkSession, rows=((1, "PROMO"), (2, "NEWS"))) -> DataFrame:
+    return spark.createDataFrame(list(rows), CAMPAIGN_SCHEMA)
+
+
+def sorted_rows(df: DataFrame):
+    """Rows with columns in name order, sorted with nulls first."""
+    rows = [tuple(r) for r in df.select(*(f"`{c}`" for c in sorted(df.columns))).collect()]
+    return sort_rows(rows)
+
+
+def sort_rows(rows):
+    return sorted(rows, key=lambda row: tuple((x is not None, str(type(x)), x) for x in row))
+
+
+def plan(df: DataFrame) -> str:
+    """Final physical plan; run the query first."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def literal_funnel(events, campaigns):
+    """Step by step over lists: join types, split, pick first touches, join, filter.
+
+    Where an id has several campaign types, a touch picks the smallest.
+    """
+    typed = []
+    for event_id, cli, camp, delivery, kind, text in events:
+        at = datetime.fromisoformat(text) if text else None
+        kind = "F" if kind in ("E", "B") else kind
+        for camp_type in [t for c, t in campaigns if c == camp] or [None]:
+            typed.append((event_id, (cli, camp, delivery), camp_type, kind, at))
+
+    def first_touches(kind):
+        groups = defaultdict(list)
+        for event_id, key, camp_type, code, at in typed:
+            if code == kind:
+                groups[key].append((at, event_id, camp_type))
+        firsts = {}
+        for key, touches in groups.items():
+            if any(at is None for at, _, _ in touches):
+                continue
+            at, event_id, camp_type = min(
+                touches, key=lambda t: (t[0], t[1] is None, t[1] or 0, t[2] is None, t[2] or "")
+            )
+            count = len({event_id for _, event_id, _ in touches})
+            firsts[key, camp_type] = (event_id, at.date(), count)
+        return firsts
+
+    opens, clicks, fails = (first_touches(kind) for kind in "VCF")
+    nothing = (None, None, None)
+    result = []
+    for event_id, key, camp_type, kind, at in typed:
+        if kind != "S":
+            continue
+        sent = at.date() if at else None
+        open_id, opened, n_opens = opens.get((key, camp_type), nothing)
+        click_id, clicked, n_clicks = clicks.get((key, camp_type), nothing)
+        fail_id, failed, _ = fails.get((key, camp_type), nothing)
+        if opened is not None and not (sent is not None and sent <= opened):
+            continue
+        if clicked is not None and not (opened is not None and opened <= clicked):
+            continue
+        if failed is not None and not (sent is not None and sent <= failed):
+            continue
+        days = (opened - sent).days if opened is not None else None
+        result.append(
+            {
+                "ID_EVENT_S": event_id, "ID_CLI": key[0], "ID_CAMP": key[1], "TYP_CAMP": camp_type,
+                "ID_DELIVERY": key[2], "SEND_DATE": sent, "OPENED": open_id is not None,
+                "OPEN_DATE": opened, "DAYS_TO_OPEN": days, "NUM_OPENs": n_opens,
+                "CLICKED": click_id is not None, "CLICK_DATE": clicked, "NUM_CLICKs": n_clicks,
+                "FAILED": fail_id is not None,
+            }
+        )
+    return result
