@@ -62,13 +62,14 @@ def exact_quantiles(
         .withColumn("weight", position - F.floor(position))
         .withColumn("rank", F.explode(F.array(F.floor(position), F.ceil(position))))
         .where(F.col("rank").between(F.col("before"), F.col("before") + F.col("in_range") - 1))
-        .groupBy(measure, "range", "before")
+        .groupBy(measure, "range", "total", "before")
         .agg(F.collect_set(F.struct("PROB", "weight", "rank")).alias("asked"))
     )
-    # At most two ranges per measure and probability.
+    # At most two ranges per measure and probability. The total is joined on only to
+    # keep it, and with it the counts, in this use too: alike uses share a shuffle.
     by_value = Window.partitionBy(measure, "range").orderBy(value)
     ranked = (
-        ranged.join(F.broadcast(wanted), [measure, "range"])
+        ranged.join(F.broadcast(wanted), [measure, "range", "total"])
         .withColumn("upto", F.col("before") + F.sum("n").over(by_value))
         .withColumn("asked", F.explode("asked"))
         .select(measure, value, "n", "upto", "asked.*")

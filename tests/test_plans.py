@@ -1,0 +1,180 @@
+"""The physical plans: what is pushed, shuffled, shared and split."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from clientela.operators import churn, distributions, intervals, rfm
+from clientela.operators.events import type_events
+from clientela.operators.funnel import email_funnel
+from clientela.operators.quality import key_audit
+from clientela.plans.catalogue import QUERIES
+from clientela.sources import star_schema as star
+
+from helpers import campaign_frame, plan, sorted_rows
+
+CAMPAIGNS = [(i, f"T{i % 5}") for i in range(50)]
+
+
+@pytest.fixture
+def no_broadcast(settings):
+    """Sides look too large to broadcast, as they are on a cluster."""
+    settings(
+        spark__sql__autoBroadcastJoinThreshold=-1,
+        spark__sql__adaptive__autoBroadcastJoinThreshold=-1,
+    )
+
+
+def _events(spark, n, hot):
+    """n events; a share of them belongs to one delivery (or has no keys at all)."""
+    is_hot = F.col("id") % 3 == 0
+    hot_key = F.lit(hot).cast("bigint")
+    return spark.range(0, n, 1, 8).select(
+        F.col("id").alias("ID_EVENT"),
+        F.when(is_hot, hot_key).otherwise(F.col("id") % 20011).alias("ID_CLI"),
+        F.when(is_hot, hot_key).otherwise(F.col("id") % 7).alias("ID_CAMP"),
+        F.when(is_hot, hot_key).otherwise(F.col("id") % 3).alias("ID_DELIVERY"),
+        F.element_at(F.split(F.lit("S,S,S,V,C,E"), ","), (F.xxhash64("id") % 3 + 4).cast("int")).alias("TYP_EVENT"),
+        F.lit("2019-01-02T10:00:00").alias("EVENT_DATE"),
+    )
+
+
+def test_type_filters_reach_the_scan(spark, tmp_path):
+    _events(spark, 1000, 1).write.parquet(str(tmp_path / "e"))
+    funnel = email_funnel(type_events(spark.read.parquet(str(tmp_path / "e"))), campaign_frame(spark))
+    text = funnel._jdf.queryExecution().toString()
+    assert "EqualTo(TYP_EVENT,S)" in text
+    assert "In(TYP_EVENT, [" in text
+
+
+def test_scans_read_only_the_columns_in_use(spark, sf_dir):
+    df = QUERIES["consistency_client"](spark, sf_dir)
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", df._jdf.queryExecution().toString())
+    assert sorted(schemas) == ["c_custkey:bigint", "user_id:bigint"]
+
+
+def test_key_audit_shuffles_each_key_once(spark, sf_dir, no_broadcast):
+    df = key_audit(
+        star.fidelity(spark, sf_dir), star.event(spark, sf_dir), "ID_CLI", "a", "b", "n"
+    )
+    df.collect()
+    text = plan(df)
+    assert "Join" not in text
+    assert text.count("Exchange hashpartitioning(ID_CLI") == 1
+    assert text.index("partial_max") > 0
+
+
+def test_funnel_joins_sends_once_and_has_no_window(spark, sf_dir, no_broadcast):
+    df = QUERIES["funnel"](spark, sf_dir)
+    df.collect()
+    text = plan(df)
+    assert "Window" not in text and "SinglePartition" not in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    # sends with touches, campaign with its first type, both together
+    assert text.count("SortMergeJoin") == 3
+
+
+def test_touch_aggregation_stays_in_hash_aggregates(spark, sf_dir):
+    from clientela.operators.touches import touch_summary
+
+    df = touch_summary(type_events(star.event(spark, sf_dir)))
+    df.collect()
+    text = plan(df)
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+    assert text.count("HashAggregate") == 4
+
+
+@pytest.mark.parametrize("hot", [1, None], ids=["hot key", "missing keys"])
+def test_a_hot_delivery_is_split(spark, settings, no_broadcast, hot):
+    settings(
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor=2,
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
+    )
+    events = type_events(_events(spark, 60_000, hot))
+    df = email_funnel(events, campaign_frame(spark, CAMPAIGNS))
+    rows = df.count()
+    df.collect()
+    assert "skew=true" in plan(df)
+
+    settings(spark__sql__adaptive__enabled="false")
+    assert email_funnel(events, campaign_frame(spark, CAMPAIGNS)).count() == rows > 0
+
+
+def test_flag_shares_compute_the_funnel_once(spark, sf_dir):
+    df = distributions.flag_shares(QUERIES["funnel"](spark, sf_dir), "OPENED", by_type=True)
+    df.collect()
+    assert plan(df).count("FileScan") == 4  # sends, touches, campaigns twice
+
+
+def test_shares_compute_their_input_once(spark, sf_dir):
+    df = QUERIES["dist_num_opens"](spark, sf_dir)
+    df.collect()
+    assert plan(df).count("FileScan") == 4
+
+
+def test_gap_window_sees_distinct_days_only(spark, sf_dir):
+    df = intervals.repurchase_gaps(star.ticket(spark, sf_dir))
+    df.collect()
+    text = plan(df)
+    assert text.index("Window") < text.index("HashAggregate(keys=[ID_CLI")
+    assert "IsNotNull(o_custkey)" in df._jdf.queryExecution().toString()
+
+
+def test_a_customer_with_most_tickets_has_few_window_rows(spark):
+    tickets = spark.range(0, 50_000, 1, 8).select(
+        F.col("id").alias("ID_TICKET"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500 + 2).alias("ID_CLI"),
+        F.date_add(F.lit("2019-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("TIC_DATE"),
+        F.lit(1.0).alias("AMOUNT"),
+    )
+    gaps = intervals.repurchase_gaps(tickets)
+    assert gaps.where("ID_CLI = 1").count() < 90
+
+
+def test_no_quantile_gathers_all_values(spark, sf_dir):
+    df = rfm.rfm_scores(star.ticket(spark, sf_dir))
+    df.collect()
+    text = plan(df)
+    assert "percentile(" not in text
+    # The ordered windows see one range of values, or the list of ranges.
+    windows = re.findall(r"windowspecdefinition\(([^)]*)\)", text)
+    assert windows and all(w.startswith("measure") for w in windows)
+
+
+def test_value_counts_are_shuffled_once(spark, sf_dir):
+    df = QUERIES["profile_event"](spark, sf_dir)
+    df.collect()
+    text = plan(df)
+    # one scan for the missing counts, one for the value counts
+    assert text.count("FileScan") == 2
+
+
+def test_the_horizon_is_found_without_a_join(spark, sf_dir):
+    df = churn.churn_labels(star.ticket(spark, sf_dir))
+    df.collect()
+    assert "Join" not in plan(df)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"churn_scores", "churn_quality", "churn_targets"}))
+def test_no_query_pairs_everything_with_everything(spark, sf_dir, no_broadcast, name):
+    df = QUERIES[name](spark, sf_dir)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize(
+    "name", ["funnel", "funnel_missing", "null_safe_join", "event_clean", "flag_share_by_type_opened",
+             "profile_event", "rfm_segments", "basket_pairs", "churn_labels", "levels_address"]
+)
+def test_results_do_not_depend_on_join_strategy_or_partitions(spark, sf_dir, settings, name):
+    want = sorted_rows(QUERIES[name](spark, sf_dir))
+    settings(
+        spark__sql__autoBroadcastJoinThreshold=-1,
+        spark__sql__adaptive__autoBroadcastJoinThreshold=-1,
+        spark__sql__shuffle__partitions=3,
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__session__timeZone="America/New_York",
+    )
+    assert sorted_rows(QUERIES[name](spark, sf_dir)) == want
