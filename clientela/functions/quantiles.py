@@ -11,9 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 256
+# Cut points are looked up in two steps of this many, giving BLOCK * BLOCK ranges.
+BLOCK = 16
+
+
+def _count_below(cuts: str, positions: Sequence[Column], value: str) -> Column:
+    """How many of the cuts at ``positions`` are below the value; never null.
+
+    Of a nullable count, a join on it would infer a filter and so compute it twice.
+    """
+    below = [
+        F.when(F.get(cuts, i) < F.col(value), F.lit(1)).otherwise(F.lit(0)) for i in positions
+    ]
+    return sum(below[1:], below[0])
 
 
 def value_counts(values: DataFrame, measure: str, value: str) -> DataFrame:
@@ -26,7 +38,7 @@ def value_counts(values: DataFrame, measure: str, value: str) -> DataFrame:
 
 
 def exact_quantiles(
-    counts: DataFrame, measure: str, value: str, probs: Sequence[float], ranges: int = RANGES
+    counts: DataFrame, measure: str, value: str, probs: Sequence[float], block: int = BLOCK
 ) -> DataFrame:
     """Quantiles per measure with linear interpolation between neighbours.
 
@@ -36,18 +48,23 @@ def exact_quantiles(
     which Spark therefore writes once.
     """
     # Approximate cut points only balance the ranges; any cut points are exact.
+    ranges = block * block
     steps = [i / ranges for i in range(1, ranges)]
     cuts = counts.groupBy(measure).agg(
         F.percentile_approx(value, steps, 10 * ranges).alias("cuts"),
         F.sum("n").alias("total"),
     )
-    # One row of about `ranges` numbers per measure, so the broadcast is bounded.
-    ranged = counts.join(F.broadcast(cuts), measure).select(
-        measure,
-        value,
-        "n",
-        "total",
-        F.size(F.filter("cuts", lambda cut: cut < F.col(value))).alias("range"),
+    # The range of a value is the number of cuts below it: count the blocks of cuts
+    # that lie below it, then the cuts of one block. Plain comparisons are compiled,
+    # lambdas over the array would not be. One row of `ranges` numbers per measure
+    # is broadcast.
+    last_of_block = [F.lit(block * j + block - 1) for j in range(block - 1)]
+    in_block = [F.col("skipped") + j for j in range(block - 1)]
+    ranged = (
+        counts.join(F.broadcast(cuts), measure)
+        .withColumn("skipped", block * _count_below("cuts", last_of_block, value))
+        .withColumn("range", F.col("skipped") + _count_below("cuts", in_block, value))
+        .select(measure, value, "n", "total", "range")
     )
 
     in_order = Window.partitionBy(measure).orderBy("range")

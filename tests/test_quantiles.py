@@ -14,15 +14,15 @@ from clientela.operators.quality import profile, top_levels
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.8, 0.9, 1.0)
 
 
-def _quantiles(spark, groups, ranges):
+def _quantiles(spark, groups, block):
     rows = [(name, None if v is None else float(v)) for name, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "m string, v double")
-    out = exact_quantiles(value_counts(df, "m", "v"), "m", "v", PROBS, ranges)
+    out = exact_quantiles(value_counts(df, "m", "v"), "m", "v", PROBS, block)
     return {(r.m, r.PROB): r.QUANTILE for r in out.collect()}
 
 
-def _check(spark, groups, ranges):
-    got = _quantiles(spark, groups, ranges)
+def _check(spark, groups, block):
+    got = _quantiles(spark, groups, block)
     known = {name: [v for v in values if v is not None] for name, values in groups.items()}
     want = {
         (name, p): np.quantile(values, p) for name, values in known.items() if values for p in PROBS
@@ -32,8 +32,8 @@ def _check(spark, groups, ranges):
         assert got[key] == pytest.approx(want[key], rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 256])
-def test_measures_of_different_shape(spark, ranges):
+@pytest.mark.parametrize("block", [2, 3, 16])
+def test_measures_of_different_shape(spark, block):
     rng = np.random.default_rng(1)
     _check(
         spark,
@@ -46,14 +46,14 @@ def test_measures_of_different_shape(spark, ranges):
             "nulls": [None, 4, None, 2, 2],
             "negative": list(rng.normal(0, 1e9, 300)),
         },
-        ranges,
+        block,
     )
 
 
 @fast(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.integers(-20, 20), min_size=1, max_size=40), st.integers(2, 12))
-def test_small_lists(spark, values, ranges):
-    _check(spark, {"x": values}, ranges)
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=40), st.integers(2, 5))
+def test_small_lists(spark, values, block):
+    _check(spark, {"x": values}, block)
 
 
 def test_quantile_of_gaps_interpolates(spark):
