@@ -11,6 +11,11 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
 
+# From this minimum support on there are at most 1000 frequent items per mean
+# number of items of a ticket.
+BROADCAST_SUPPORT = 0.001
+
+
 def _known(lines: DataFrame) -> DataFrame:
     known = F.col("ID_TICKET").isNotNull() & F.col("ITEM").isNotNull()
     return lines.where(known).select("ID_TICKET", "ITEM")
@@ -20,18 +25,21 @@ def baskets(lines: DataFrame, min_support: float) -> DataFrame:
     """One row per ticket with its frequent items.
 
     An item below the minimum support is in no frequent set, so it is left out
-    of the array, but its ticket still counts. At most (items per ticket) /
-    ``min_support`` items can be frequent, which bounds every array even if one
-    ticket holds a large part of all lines.
+    of the array, but its ticket still counts. At most (mean items per ticket) /
+    ``min_support`` items can be frequent. That bounds every array, even if one
+    ticket holds a large part of all lines, and it bounds the table of frequent
+    items, which is broadcast unless the minimum support is very low.
     """
     known = _known(lines).distinct()
-    tickets = known.agg(F.count_distinct("ID_TICKET")).scalar()
+    tickets = _known(lines).agg(F.count_distinct("ID_TICKET")).scalar()
     frequent = (
         known.groupBy("ITEM")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= F.ceil(F.lit(min_support) * tickets))
         .select("ITEM", F.lit(True).alias("is_frequent"))
     )
+    if min_support >= BROADCAST_SUPPORT:
+        frequent = F.broadcast(frequent)
     return (
         known.join(frequent, "ITEM", "left")
         .groupBy("ID_TICKET")
