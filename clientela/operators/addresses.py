@@ -21,23 +21,28 @@ def province_without_region(address: DataFrame) -> DataFrame:
     return address.where(F.col("PRV").isNotNull() & F.col("REGION").isNull())
 
 
-def clean_addresses(address: DataFrame) -> DataFrame:
-    """Distinct rows with postcode, province and region all known.
+def complete_addresses(address: DataFrame) -> DataFrame:
+    """Rows with postcode, province and region all known.
 
-    Incomplete rows go first: they need not be shuffled for the distinct.
+    Enough for everything that counts distinct ids: repeated rows change nothing
+    there, so shuffling whole rows to remove them would be wasted.
     """
-    complete = (
+    return address.where(
         F.col("CAP").isNotNull() & F.col("PRV").isNotNull() & F.col("REGION").isNotNull()
     )
-    return distinct_addresses(address.where(complete))
 
 
-def province_shares(clean: DataFrame) -> DataFrame:
-    return distinct_share(clean, "PRV", "ID_ADDRESS", "TOT_ID_ADDRESS")
+def clean_addresses(address: DataFrame) -> DataFrame:
+    """Complete rows without duplicates; incomplete rows go before the shuffle."""
+    return distinct_addresses(complete_addresses(address))
+
+
+def province_shares(complete: DataFrame) -> DataFrame:
+    return distinct_share(complete, "PRV", "ID_ADDRESS", "TOT_ID_ADDRESS")
 
 
-def region_shares(clean: DataFrame) -> DataFrame:
-    return distinct_share(clean, "REGION", "ID_ADDRESS", "TOT_ID_ADDRESS")
+def region_shares(complete: DataFrame) -> DataFrame:
+    return distinct_share(complete, "REGION", "ID_ADDRESS", "TOT_ID_ADDRESS")
 
 
 def best_provinces(shares: DataFrame) -> DataFrame:

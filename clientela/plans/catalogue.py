@@ -50,6 +50,10 @@ def clean_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.clean_addresses(star.address(spark, sf_dir))
 
 
+def complete_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.complete_addresses(star.address(spark, sf_dir))
+
+
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return email_funnel(typed_events(spark, sf_dir), clean_campaigns(spark, sf_dir))
 
@@ -96,7 +100,7 @@ def account_address_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def consistency_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.key_audit(
-        star.account(spark, sf_dir), clean_addresses(spark, sf_dir),
+        star.account(spark, sf_dir), complete_addresses(spark, sf_dir),
         "ID_ADDRESS", "is_in_df_2", "is_in_df_3", "NUM_ID_ADDRESSes",
     )
 
@@ -116,11 +120,11 @@ def consistency_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dist_province(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return addresses.province_shares(clean_addresses(spark, sf_dir))
+    return addresses.province_shares(complete_addresses(spark, sf_dir))
 
 
 def dist_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return addresses.region_shares(clean_addresses(spark, sf_dir))
+    return addresses.region_shares(complete_addresses(spark, sf_dir))
 
 
 def best_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +209,7 @@ QUERIES: dict[str, Query] = {
     "addr_duplicate_audit": lambda s, d: quality.duplicate_audit(star.address(s, d), "ID_ADDRESS"),
     "addr_distinct": lambda s, d: addresses.distinct_addresses(star.address(s, d)),
     "addr_missing_patterns": lambda s, d: quality.missing_patterns(
-        addresses.distinct_addresses(star.address(s, d)),
-        ["CAP", "PRV", "REGION"], "ID_ADDRESS", "TOT_ADDs",
+        star.address(s, d), ["CAP", "PRV", "REGION"], "ID_ADDRESS", "TOT_ADDs"
     ),
     "addr_prv_without_region": lambda s, d: addresses.province_without_region(
         addresses.distinct_addresses(star.address(s, d))

@@ -37,7 +37,7 @@ def address_report(address: DataFrame, account: DataFrame, out_dir: str) -> Repo
         "profile_raw": quality.profile(address),
         "duplicates": quality.duplicate_audit(address, "ID_ADDRESS"),
         "missing": quality.missing_patterns(
-            addresses.distinct_addresses(address), ["CAP", "PRV", "REGION"], "ID_ADDRESS", "TOT_ADDs"
+            address, ["CAP", "PRV", "REGION"], "ID_ADDRESS", "TOT_ADDs"
         ),
         "province_without_region": addresses.province_without_region(
             addresses.distinct_addresses(address)

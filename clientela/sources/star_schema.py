@@ -80,6 +80,7 @@ def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Email events; the number in ``props`` picks the campaign and the delivery."""
     k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("bigint")
+    at = F.col("ts").cast("string")
     kind = F.col("event_type")
     code = reduce(lambda c, pair: c.when(kind == pair[0], pair[1]), EVENT_CODES.items(), F)
     return table(spark, sf_dir, "events").select(
@@ -88,7 +89,9 @@ def event(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 10).alias("ID_CAMP"),
         (k % 10 * 10 + F.floor(k / 10) % 2).alias("ID_DELIVERY"),
         code.alias("TYP_EVENT"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("EVENT_DATE"),
+        F.concat(F.substr(at, F.lit(1), F.lit(10)), F.lit("T"), F.substr(at, F.lit(12), F.lit(8))).alias(
+            "EVENT_DATE"
+        ),
     )
 
 
