@@ -26,6 +26,7 @@ HEADLINES = [
     "touch_opens",
     "touch_open_counts",
     "funnel",
+    "funnel_unique_ids",
     "funnel_missing",
     "overview",
     "overview_by_type",

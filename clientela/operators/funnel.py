@@ -10,7 +10,7 @@ from clientela.operators.joins import null_safe_join
 from clientela.operators.touches import DELIVERY, touch_summary
 
 
-def email_funnel(events: DataFrame, campaign: DataFrame) -> DataFrame:
+def email_funnel(events: DataFrame, campaign: DataFrame, unique_ids: bool = False) -> DataFrame:
     """Sends with first open, first click, failure, counts and days to open.
 
     ``events`` are typed; whether failures are recoded makes no difference. A send whose order of dates is impossible
@@ -20,11 +20,13 @@ def email_funnel(events: DataFrame, campaign: DataFrame) -> DataFrame:
     All touches are reduced to one row per delivery before they meet the sends,
     so three joins become one. The campaign type, which every touch of the
     campaign shares, is attached to the result instead of to all events.
+    ``unique_ids`` promises that no two events share an id and none lacks one,
+    which saves a shuffle of all touches.
     """
     sent = events.where(is_kind(SEND)).select(
         F.col("ID_EVENT").alias("ID_EVENT_S"), *DELIVERY, F.col("EVENT_DATE").alias("SEND_DATE")
     )
-    touched = null_safe_join(sent, touch_summary(events), DELIVERY)
+    touched = null_safe_join(sent, touch_summary(events, unique_ids), DELIVERY)
     joined = null_safe_join(touched, campaign_types(campaign), ["ID_CAMP"])
 
     # A campaign id without a row in the campaign table has the null type only.

@@ -81,20 +81,27 @@ def first_touches(clean: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def touch_summary(events: DataFrame) -> DataFrame:
+def touch_summary(events: DataFrame, unique_ids: bool = False) -> DataFrame:
     """Opens, clicks and failures per delivery in one row, from one pass.
 
     Columns per kind: ``<kind>_at`` first time, ``<kind>_known`` whether the
     first touch has an event id, ``<kind>_count`` distinct events; all null if
     the kind is absent or has an unknown time. All aggregates are on flat types,
     so both groupings are hash aggregations with map-side combining.
+
+    The first grouping only makes event ids distinct. Where the source promises
+    that every event has an id of its own, ``unique_ids`` leaves it out: touches
+    are then combined per delivery before the one shuffle that remains.
     """
     at = F.col("EVENT_DATETIME")
-    per_event = (
-        events.where(is_kind(OPEN) | is_kind(CLICK) | is_kind(FAIL))
-        .groupBy(*DELIVERY, "TYP_EVENT", "ID_EVENT")
-        .agg(F.min(at).alias("at"), F.bool_and(at.isNotNull()).alias("dated"))
-    )
+    touched = events.where(is_kind(OPEN) | is_kind(CLICK) | is_kind(FAIL))
+    event = [*DELIVERY, "TYP_EVENT", "ID_EVENT"]
+    if unique_ids:
+        per_event = touched.select(*event, at.alias("at"), at.isNotNull().alias("dated"))
+    else:
+        per_event = touched.groupBy(*event).agg(
+            F.min(at).alias("at"), F.bool_and(at.isNotNull()).alias("dated")
+        )
     parts = []
     for code, (_, prefix, _) in _NAMES.items():
         this = is_kind(code)

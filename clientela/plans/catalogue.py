@@ -58,6 +58,11 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return email_funnel(typed_events(spark, sf_dir), clean_campaigns(spark, sf_dir))
 
 
+def funnel_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same funnel, given that event ids are unique."""
+    return email_funnel(typed_events(spark, sf_dir), clean_campaigns(spark, sf_dir), unique_ids=True)
+
+
 def funnel_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The funnel of events in which ids, types and dates are missing."""
     rows = na_tokens_default(spark, sf_dir)
@@ -240,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "touch_open_counts": lambda s, d: touches.touch_counts(typed_events(s, d), events.OPEN),
     "touch_click_counts": lambda s, d: touches.touch_counts(typed_events(s, d), events.CLICK),
     "funnel": funnel,
+    "funnel_unique_ids": funnel_unique_ids,
     "funnel_missing": funnel_missing,
     # funnel summaries
     "overview": lambda s, d: distributions.overview(funnel(s, d)),

@@ -365,7 +365,7 @@ _FINAL = {
     "addr_missing_patterns": f"""
         SELECT CAP IS NOT NULL AS w_CAP, PRV IS NOT NULL AS w_PRV, REGION IS NOT NULL AS w_REGION,
                {_distinct('ID_ADDRESS')} AS TOT_ADDs
-        FROM fx_address GROUP BY ALL""",
+        FROM (SELECT DISTINCT * FROM fx_address) GROUP BY ALL""",
     "addr_prv_without_region": """
         SELECT DISTINCT * FROM fx_address WHERE PRV IS NOT NULL AND REGION IS NULL""",
     "addr_clean": "SELECT * FROM addr_clean",
@@ -405,6 +405,7 @@ _FINAL = {
     "touch_open_counts": "SELECT * FROM total_opens",
     "touch_click_counts": "SELECT * FROM total_clicks",
     "funnel": "SELECT * FROM funnel",
+    "funnel_unique_ids": "SELECT * FROM funnel",
     "overview": _overview(""),
     "overview_by_type": _overview("TYP_CAMP"),
     "dist_num_opens": _count_share("NUM_OPENs"),

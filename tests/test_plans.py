@@ -85,6 +85,18 @@ def test_touch_aggregation_stays_in_hash_aggregates(spark, sf_dir):
     assert text.count("HashAggregate") == 4
 
 
+def test_unique_ids_save_a_shuffle(spark, sf_dir):
+    from clientela.operators.touches import touch_summary
+
+    events = type_events(star.event(spark, sf_dir))
+    exchanges = []
+    for unique in (False, True):
+        df = touch_summary(events, unique)
+        df.collect()
+        exchanges.append(plan(df).count("Exchange hashpartitioning"))
+    assert exchanges == [2, 1]
+
+
 @pytest.mark.parametrize("hot", [1, None], ids=["hot key", "missing keys"])
 def test_a_hot_delivery_is_split(spark, settings, no_broadcast, hot):
     settings(
