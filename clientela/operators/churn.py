@@ -91,16 +91,29 @@ def churn_quality(labels: DataFrame, folds: int = 3) -> DataFrame:
     return labels.sparkSession.createDataFrame(rows, "FOLD int, AUC double")
 
 
-def churn_targets(scores: DataFrame, funnel: DataFrame, n: int = 100) -> DataFrame:
-    """The ``n`` customers with most money at risk and how they react to email."""
-    at_risk = (
+def churn_targets(scores: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` customers with most money at risk, a top-k report."""
+    return (
         scores.withColumn("MONEY_AT_RISK", F.col("CHURN_PROBABILITY") * F.col("MONETARY"))
         .orderBy(F.desc("MONEY_AT_RISK"), F.asc("ID_CLI"))
         .limit(n)
     )
+
+
+def events_of(targets: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of the targets only; the few ids of a top-k report are broadcast.
+
+    A funnel row depends on the events of its client alone, so the funnel of these
+    events is that of the targets.
+    """
+    return events.join(F.broadcast(targets.select("ID_CLI")), "ID_CLI", "left_semi")
+
+
+def with_engagement(targets: DataFrame, funnel: DataFrame) -> DataFrame:
+    """How the targets reacted to email so far."""
     engagement = funnel.groupBy("ID_CLI").agg(
         F.count(F.lit(1)).alias("SENDS"),
         F.count_if("OPENED").alias("OPENS"),
         F.count_if("CLICKED").alias("CLICKS"),
     )
-    return at_risk.join(engagement, "ID_CLI", "left").fillna(0, ["SENDS", "OPENS", "CLICKS"])
+    return targets.join(engagement, "ID_CLI", "left").fillna(0, ["SENDS", "OPENS", "CLICKS"])

@@ -10,12 +10,14 @@ from clientela.operators.joins import null_safe_join
 from clientela.operators.touches import DELIVERY, touch_summary
 
 
-def email_funnel(events: DataFrame, campaign: DataFrame, unique_ids: bool = False) -> DataFrame:
+def email_funnel(
+    events: DataFrame, campaign: DataFrame, unique_ids: bool = False
+) -> DataFrame:
     """Sends with first open, first click, failure, counts and days to open.
 
-    ``events`` are typed; whether failures are recoded makes no difference. A send whose order of dates is impossible
-    (open before send, click before open or without one, failure before send) is
-    left out. Dates are compared, not times.
+    ``events`` are typed; whether failures are recoded makes no difference. A send
+    whose order of dates is impossible (open before send, click before open or
+    without one, failure before send) is left out. Dates are compared, not times.
 
     All touches are reduced to one row per delivery before they meet the sends,
     so three joins become one. The campaign type, which every touch of the

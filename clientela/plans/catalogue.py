@@ -176,7 +176,11 @@ def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def churn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return churn.churn_targets(churn_scores(spark, sf_dir), funnel(spark, sf_dir))
+    targets = stored(churn.churn_targets(churn_scores(spark, sf_dir)))
+    events_of_targets = churn.events_of(targets, typed_events(spark, sf_dir))
+    return churn.with_engagement(
+        targets, email_funnel(events_of_targets, clean_campaigns(spark, sf_dir))
+    )
 
 
 def _stored_baskets(spark: SparkSession, sf_dir: str, min_support: float) -> DataFrame:

@@ -87,11 +87,24 @@ def email_report(event: DataFrame, campaign: DataFrame, fidelity: DataFrame, out
     return report
 
 
-def customer_report(ticket: DataFrame, out_dir: str, horizon_days: int | None = None) -> Report:
+def customer_report(
+    ticket: DataFrame,
+    event: DataFrame,
+    campaign: DataFrame,
+    out_dir: str,
+    horizon_days: int | None = None,
+) -> Report:
     """Repurchase interval, RFM and churn. Without a horizon the interval is used."""
-    longest = stored(intervals.longest_gaps(intervals.repurchase_gaps(ticket)), f"{out_dir}/longest_gap")
+    gaps = intervals.repurchase_gaps(ticket)
+    longest = stored(intervals.longest_gaps(gaps), f"{out_dir}/longest_gap")
     scores = stored(rfm.rfm_scores(ticket), f"{out_dir}/rfm_scores")
     labels = stored(churn.churn_labels(ticket, horizon_days), f"{out_dir}/churn_labels")
+    risks = stored(
+        churn.churn_scores(churn.churn_model(labels), churn.current_customers(ticket)),
+        f"{out_dir}/churn_scores",
+    )
+    targets = stored(churn.churn_targets(risks), f"{out_dir}/churn_targets")
+    contacts = churn.events_of(targets, events.type_events(event))
     return {
         "repurchase_interval": intervals.gap_quantile(longest),
         "gap_distribution": intervals.gap_distribution(longest),
@@ -99,8 +112,9 @@ def customer_report(ticket: DataFrame, out_dir: str, horizon_days: int | None =
         "rfm_segments": rfm.rfm_segments(scores),
         "churn_labels": labels,
         "churn_quality": churn.churn_quality(labels),
-        "churn_scores": churn.churn_scores(
-            churn.churn_model(labels), churn.current_customers(ticket)
+        "churn_scores": risks,
+        "churn_targets": churn.with_engagement(
+            targets, email_funnel(contacts, campaigns.clean_campaigns(campaign))
         ),
     }
 
@@ -129,7 +143,9 @@ def write_reports(spark: SparkSession, data_dir: str, out_dir: str) -> None:
         "email": email_report(
             tables["event"], tables["campaign"], tables["fidelity"], f"{out_dir}/email"
         ),
-        "customer": customer_report(tables["ticket"], f"{out_dir}/customer"),
+        "customer": customer_report(
+            tables["ticket"], tables["event"], tables["campaign"], f"{out_dir}/customer"
+        ),
     }
     for report, figures in reports.items():
         for name, frame in figures.items():

@@ -8,9 +8,12 @@ import numpy as np
 import pytest
 
 from clientela.operators import churn, intervals, rfm
+from clientela.operators.events import type_events
+from clientela.operators.funnel import email_funnel
+from clientela.plans.catalogue import QUERIES
 from clientela.sources.scratch import stored
 
-from helpers import sorted_rows
+from helpers import campaign_frame, event_frame, sorted_rows
 
 SCHEMA = "ID_TICKET bigint, ID_CLI bigint, TIC_DATE date, AMOUNT double"
 START = date(2019, 1, 1)
@@ -136,9 +139,20 @@ def test_targets_are_the_largest_risks_with_their_email_habits(spark):
         [(1, 3, 1, 100.0, 0.5), (2, 3, 1, 30.0, 0.9), (3, 3, 1, 60.0, 0.9)],
         "ID_CLI bigint, RECENCY int, FREQUENCY bigint, MONETARY double, CHURN_PROBABILITY double",
     )
-    funnel = spark.createDataFrame(
-        [(1, True, False), (1, False, False), (2, True, True)],
-        "ID_CLI bigint, OPENED boolean, CLICKED boolean",
-    )
-    out = churn.churn_targets(scores, funnel, n=2)
+    targets = churn.churn_targets(scores, n=2)
+    assert [r.ID_CLI for r in targets.collect()] == [3, 1]
+    day = "2019-01-02T10:00:00"
+    rows = [(10, 1, 1, 1, "S", day), (11, 1, 1, 1, "V", day), (12, 1, 1, 2, "S", day),
+            (13, 2, 1, 1, "S", day), (14, None, 1, 1, "S", day)]
+    events = churn.events_of(targets, type_events(event_frame(spark, rows)))
+    assert sorted(r.ID_EVENT for r in events.collect()) == [10, 11, 12]
+    out = churn.with_engagement(targets, email_funnel(events, campaign_frame(spark)))
     assert sorted_rows(out.select("ID_CLI", "OPENS", "CLICKS", "SENDS")) == [(0, 1, 1, 2), (0, 3, 0, 0)]
+
+
+def test_engagement_of_targets_is_that_of_the_whole_funnel(spark, sf_dir):
+    targets = stored(QUERIES["churn_targets"](spark, sf_dir))
+    plain = targets.drop("SENDS", "OPENS", "CLICKS")
+    whole = churn.with_engagement(plain, QUERIES["funnel"](spark, sf_dir))
+    assert sorted_rows(whole) == sorted_rows(targets)
+    assert whole.where("SENDS > 0").count() > 0

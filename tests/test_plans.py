@@ -163,6 +163,13 @@ def test_value_counts_are_shuffled_once(spark, sf_dir):
     assert text.count("FileScan") == 2
 
 
+def test_top_levels_limit_ranks_before_the_shuffle(spark, sf_dir):
+    df = QUERIES["levels_event"](spark, sf_dir)
+    df.collect()
+    limits = re.findall(r"WindowGroupLimit .*?(Partial|Final)", plan(df))
+    assert "Partial" in limits and "Final" in limits
+
+
 def test_the_horizon_is_found_without_a_join(spark, sf_dir):
     df = churn.churn_labels(star.ticket(spark, sf_dir))
     df.collect()

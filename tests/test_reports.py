@@ -63,7 +63,8 @@ def test_email_report(spark, data_dir, tmp_path):
 
 
 def test_customer_and_basket_report(spark, data_dir, tmp_path):
-    report = reports.customer_report(scan_table(spark, data_dir, "ticket"), str(tmp_path))
+    frames = (scan_table(spark, data_dir, t) for t in ("ticket", "event", "campaign"))
+    report = reports.customer_report(*frames, str(tmp_path))
     _same(
         spark, report,
         {
@@ -72,6 +73,7 @@ def test_customer_and_basket_report(spark, data_dir, tmp_path):
         },
     )
     assert report["churn_scores"].count() == QUERIES["rfm_base"](spark, SF).count()
+    assert report["churn_targets"].count() == 100
     baskets = reports.basket_report(star.basket(spark, SF), str(tmp_path), PAIR_SUPPORT, 0.1)
     _same(spark, baskets, {"pairs": "basket_pairs"})
 
@@ -81,4 +83,4 @@ def test_all_figures_are_written(spark, data_dir, tmp_path):
     back = spark.read.csv(str(tmp_path / "out/email/figures/overview_by_type"), header=True)
     assert back.count() == 6 and back.columns[0] == "TYP_CAMP"
     written = {p.name for p in (tmp_path / "out").glob("*/figures/*")}
-    assert {"regions", "funnel", "rfm_segments", "churn_quality"} - written == {"funnel"}
+    assert {"regions", "funnel", "rfm_segments", "churn_targets"} - written == {"funnel"}

@@ -60,6 +60,13 @@ def test_quoted_separators_and_quotes(spark, tmp_path):
     assert tuple(scan_table(spark, folder, "privacy").first()) == ("x;y", 'say "hi"')
 
 
+def test_short_rows_are_filled_up(spark, tmp_path):
+    folder = _file(tmp_path, "account", "ID_ADDRESS;A;B\n1;x\n2\n")
+    assert [tuple(r) for r in scan_table(spark, folder, "account").collect()] == [
+        (1, "x", None), (2, None, None),
+    ]
+
+
 def test_iso_text(spark):
     texts = [
         "2019-01-02T03:04:05.123Z", "2019-1-2T3:4:5", " 2019-01-02T03:04:05+02:00", "bad", None,
