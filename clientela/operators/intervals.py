@@ -39,7 +39,8 @@ def gap_histogram(longest: DataFrame) -> DataFrame:
 def gap_quantile(longest: DataFrame, prob: float = RETURNING_SHARE) -> DataFrame:
     """Exact quantile of the longest gaps, from their histogram, in one row."""
     return gap_histogram(longest).agg(
-        F.percentile("Max", F.lit(prob), F.col("n")).alias("DAYS"), F.sum("n").alias("CUSTOMERS")
+        F.percentile("Max", F.lit(prob), F.col("n")).alias("DAYS"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("CUSTOMERS"),
     )
 
 

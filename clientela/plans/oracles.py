@@ -59,19 +59,21 @@ PARTS = {
                CASE event_type WHEN 'signup' THEN 'S' WHEN 'view' THEN 'V' WHEN 'click' THEN 'C'
                     WHEN 'error' THEN 'E' WHEN 'purchase' THEN 'B' END AS TYP_EVENT,
                strftime(ts, '%Y-%m-%dT%H:%M:%S') AS EVENT_DATE
-        FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events)""",
+        FROM (SELECT *, TRY_CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events)""",
     "fx_event_missing": """
-        SELECT ID_EVENT, ID_CLI, CASE WHEN ID_EVENT % 13 <> 1 THEN ID_CAMP END AS ID_CAMP,
-               CASE WHEN ID_EVENT % 7 <> 2 THEN ID_DELIVERY END AS ID_DELIVERY,
-               CASE WHEN ID_EVENT % 31 <> 3 THEN TYP_EVENT END AS TYP_EVENT,
-               CASE WHEN ID_EVENT % 17 <> 4 THEN EVENT_DATE END AS EVENT_DATE
+        SELECT ID_EVENT, ID_CLI, CASE WHEN ID_EVENT % 13 = 1 THEN NULL ELSE ID_CAMP END AS ID_CAMP,
+               CASE WHEN ID_EVENT % 7 = 2 THEN NULL ELSE ID_DELIVERY END AS ID_DELIVERY,
+               CASE WHEN ID_EVENT % 31 = 3 THEN NULL ELSE TYP_EVENT END AS TYP_EVENT,
+               CASE WHEN ID_EVENT % 17 = 4 THEN NULL ELSE EVENT_DATE END AS EVENT_DATE
         FROM fx_event""",
     "fx_ticket": """
         SELECT o_orderkey AS ID_TICKET, o_custkey AS ID_CLI, CAST(o_orderdate AS DATE) AS TIC_DATE,
                o_totalprice AS AMOUNT FROM orders""",
     "fx_basket": """
         SELECT DISTINCT l_orderkey AS ID_TICKET, p_brand AS ITEM
-        FROM lineitem JOIN part ON l_partkey = p_partkey""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey
+        WHERE l_orderkey IS NOT NULL AND p_brand IS NOT NULL""",
+    "purchases": "SELECT * FROM fx_ticket WHERE ID_CLI IS NOT NULL AND TIC_DATE IS NOT NULL",
     # addresses
     "addr_clean": """
         SELECT DISTINCT * FROM fx_address
@@ -153,7 +155,7 @@ PARTS = {
         SELECT * FROM (
           SELECT ID_CLI, TIC_DATE, CAST(TIC_DATE - lag(TIC_DATE) OVER (PARTITION BY ID_CLI
                  ORDER BY TIC_DATE, ID_TICKET) AS INTEGER) AS diff
-          FROM fx_ticket)
+          FROM purchases)
         WHERE diff > 0""",
     "longest": "SELECT ID_CLI, max(diff) AS Max FROM gaps GROUP BY ID_CLI",
     # customer value
@@ -162,7 +164,7 @@ PARTS = {
                CAST((SELECT max(TIC_DATE) FROM fx_ticket) - max(TIC_DATE) AS INTEGER) AS RECENCY,
                count(DISTINCT ID_TICKET) AS FREQUENCY,
                CAST(sum(CAST(AMOUNT AS DECIMAL(18,2))) AS DOUBLE) AS MONETARY
-        FROM fx_ticket GROUP BY ID_CLI""",
+        FROM purchases GROUP BY ID_CLI""",
     "rfm_cuts": """
         SELECT quantile_cont(CAST(RECENCY AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS r,
                quantile_cont(CAST(FREQUENCY AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS f,
@@ -331,7 +333,7 @@ def _churn(horizon: str) -> str:
                count(DISTINCT ID_TICKET) FILTER (TIC_DATE <= ref) AS FREQUENCY,
                CAST(sum(CAST(AMOUNT AS DECIMAL(18,2))) FILTER (TIC_DATE <= ref) AS DOUBLE) AS MONETARY,
                count(*) FILTER (TIC_DATE > ref) = 0 AS CHURNED
-        FROM fx_ticket, (SELECT max(TIC_DATE) - {horizon} AS ref FROM fx_ticket)
+        FROM purchases, (SELECT max(TIC_DATE) - {horizon} AS ref FROM fx_ticket)
         GROUP BY ID_CLI HAVING count(*) FILTER (TIC_DATE <= ref) > 0"""
 
 

@@ -56,12 +56,20 @@ def write_table(df: DataFrame, data_dir: str, table: str) -> None:
         quote='"',
         escape='"',
         nullValue=rules.missing[0],
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a result table: comma separated, header, NA for missing, no row numbers."""
-    df.write.mode("overwrite").csv(path, header=True, nullValue="NA")
+    df.write.mode("overwrite").csv(
+        path,
+        header=True,
+        nullValue="NA",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

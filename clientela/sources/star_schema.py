@@ -79,7 +79,7 @@ def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Email events; the number in ``props`` picks the campaign and the delivery."""
-    k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("bigint")
+    k = F.regexp_extract("props", r'"k": *(\d+)', 1).try_cast("bigint")
     at = F.col("ts").cast("string")
     kind = F.col("event_type")
     code = reduce(lambda c, pair: c.when(kind == pair[0], pair[1]), EVENT_CODES.items(), F)
