@@ -44,8 +44,9 @@ def exact_quantiles(
 
     ``counts`` come from ``value_counts`` of a double. There must be few measures
     (one per profiled column); there may be any number of values. Returns
-    ``(measure, PROB, QUANTILE)``. All steps read the same shuffle of the counts,
-    which Spark therefore writes once.
+    ``(measure, PROB, QUANTILE, MEAN)``; the mean is a by-product. The counts are
+    read three times, for the cut points, the size of the ranges and the ranges
+    asked for, but shuffled once.
     """
     # Approximate cut points only balance the ranges; any cut points are exact.
     ranges = block * block
@@ -53,6 +54,7 @@ def exact_quantiles(
     cuts = counts.groupBy(measure).agg(
         F.percentile_approx(value, steps, 10 * ranges).alias("cuts"),
         F.sum("n").alias("total"),
+        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("MEAN"),
     )
     # The range of a value is the number of cuts below it: count the blocks of cuts
     # that lie below it, then the cuts of one block. Plain comparisons are compiled,
@@ -64,7 +66,7 @@ def exact_quantiles(
         counts.join(F.broadcast(cuts), measure)
         .withColumn("skipped", block * _count_below("cuts", last_of_block, value))
         .withColumn("range", F.col("skipped") + _count_below("cuts", in_block, value))
-        .select(measure, value, "n", "total", "range")
+        .select(measure, value, "n", "total", "MEAN", "range")
     )
 
     in_order = Window.partitionBy(measure).orderBy("range")
@@ -89,10 +91,10 @@ def exact_quantiles(
         ranged.join(F.broadcast(wanted), [measure, "range", "total"])
         .withColumn("upto", F.col("before") + F.sum("n").over(by_value))
         .withColumn("asked", F.explode("asked"))
-        .select(measure, value, "n", "upto", "asked.*")
+        .select(measure, value, "n", "MEAN", "upto", "asked.*")
         .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
     )
     lower, upper, weight = F.min(value), F.max(value), F.max("weight")
     return ranked.groupBy(measure, "PROB").agg(
-        ((1 - weight) * lower + weight * upper).alias("QUANTILE")
+        ((1 - weight) * lower + weight * upper).alias("QUANTILE"), F.max("MEAN").alias("MEAN")
     )

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clientela.functions.missing import n_distinct
 from clientela.functions.quantiles import exact_quantiles, value_counts
 
-QUARTILES = (0.25, 0.5, 0.75)
+FIVE_NUMBERS = {"MIN": 0.0, "Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75, "MAX": 1.0}
+
+_PROFILE = ["COLUMN", "TYPE", "N_ROWS", "N_MISSING", "MIN", "Q1", "MEDIAN", "MEAN", "Q3", "MAX"]
 
 
 def duplicate_audit(df: DataFrame, key: str) -> DataFrame:
@@ -55,6 +57,8 @@ def _as_number(column: str, kind: str) -> Column | None:
         return F.col(column).cast("int").cast("double")
     if kind == "date":
         return F.unix_date(column).cast("double")
+    if kind == "timestamp":
+        return F.col(column).cast("double")
     if kind == "timestamp_ntz":
         return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast(kind), column).cast("double")
     return None
@@ -81,31 +85,29 @@ def profile(df: DataFrame) -> DataFrame:
             )
         ).alias("columns")
     ).select(F.inline("columns"))
-    cells = F.array(
-        *(
-            F.struct(F.lit(name).alias("COLUMN"), _as_number(name, kind).alias("number"))
-            for name, kind in df.dtypes
-            if _as_number(name, kind) is not None
-        )
-    )
-    counts = value_counts(df.select(F.inline(cells)), "COLUMN", "number")
-    moments = counts.groupBy("COLUMN").agg(
-        F.min("number").alias("MIN"),
-        (F.sum(F.col("number") * F.col("n")) / F.sum("n")).alias("MEAN"),
-        F.max("number").alias("MAX"),
-    )
-    quartiles = exact_quantiles(counts, "COLUMN", "number", QUARTILES)
-    quartiles = quartiles.groupBy("COLUMN").agg(
-        *(
-            F.max(F.when(F.col("PROB") == prob, F.col("QUANTILE"))).alias(name)
-            for name, prob in zip(("Q1", "MEDIAN", "Q3"), QUARTILES)
+    numeric = [(name, _as_number(name, kind)) for name, kind in df.dtypes]
+    cells = [
+        F.struct(F.lit(name).alias("COLUMN"), number.alias("number"))
+        for name, number in numeric
+        if number is not None
+    ]
+    if not cells:
+        absent = (F.lit(None).cast("double").alias(name) for name in (*FIVE_NUMBERS, "MEAN"))
+        return missing.select("*", *absent).select(*_PROFILE)
+    counts = value_counts(df.select(F.inline(F.array(*cells))), "COLUMN", "number")
+    numbers = (
+        exact_quantiles(counts, "COLUMN", "number", list(FIVE_NUMBERS.values()))
+        .groupBy("COLUMN")
+        .agg(
+            *(
+                F.max(F.when(F.col("PROB") == prob, F.col("QUANTILE"))).alias(name)
+                for name, prob in FIVE_NUMBERS.items()
+            ),
+            F.max("MEAN").alias("MEAN"),
         )
     )
-    # One row per column of df on every side.
-    numbers = moments.join(F.broadcast(quartiles), "COLUMN")
-    return missing.join(F.broadcast(numbers), "COLUMN", "left").select(
-        "COLUMN", "TYPE", "N_ROWS", "N_MISSING", "MIN", "Q1", "MEDIAN", "MEAN", "Q3", "MAX"
-    )
+    # One row per column of df on both sides.
+    return missing.join(F.broadcast(numbers), "COLUMN", "left").select(*_PROFILE)
 
 
 def top_levels(df: DataFrame, columns: Sequence[str], k: int = 6) -> DataFrame:

@@ -18,7 +18,13 @@ def _quantiles(spark, groups, block):
     rows = [(name, None if v is None else float(v)) for name, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "m string, v double")
     out = exact_quantiles(value_counts(df, "m", "v"), "m", "v", PROBS, block)
-    return {(r.m, r.PROB): r.QUANTILE for r in out.collect()}
+    rows = out.collect()
+    for name, values in groups.items():
+        known = [v for v in values if v is not None]
+        for r in rows:
+            if r.m == name:
+                assert r.MEAN == pytest.approx(np.mean(known), rel=1e-9, abs=1e-6)
+    return {(r.m, r.PROB): r.QUANTILE for r in rows}
 
 
 def _check(spark, groups, block):
@@ -82,6 +88,11 @@ def test_profile_of_timestamps_and_empty_columns(spark):
     assert (got["nothing"].N_MISSING, got["nothing"].MIN) == (1, None)
 
 
+def test_profile_of_text_alone(spark):
+    got = profile(spark.createDataFrame([("a",), (None,)], "s string")).collect()
+    assert [tuple(r) for r in got] == [("s", "string", 2, 1, None, None, None, None, None, None)]
+
+
 def test_top_levels(spark):
     values = ["a"] * 5 + ["b"] * 5 + ["c"] * 3 + ["d"] * 2 + ["e"] + [None] * 4
     df = spark.createDataFrame([(v, "k") for v in values], "x string, y string")
