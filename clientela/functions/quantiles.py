@@ -71,7 +71,7 @@ def exact_quantiles(
 
     in_order = Window.partitionBy(measure).orderBy("range")
     located = (
-        ranged.groupBy(measure, "range", "total")
+        ranged.groupBy(measure, "range", "total", "MEAN")
         .agg(F.sum("n").alias("in_range"))
         .withColumn("before", F.sum("in_range").over(in_order) - F.col("in_range"))
     )
@@ -81,14 +81,14 @@ def exact_quantiles(
         .withColumn("weight", position - F.floor(position))
         .withColumn("rank", F.explode(F.array(F.floor(position), F.ceil(position))))
         .where(F.col("rank").between(F.col("before"), F.col("before") + F.col("in_range") - 1))
-        .groupBy(measure, "range", "total", "before")
+        .groupBy(measure, "range", "total", "MEAN", "before")
         .agg(F.collect_set(F.struct("PROB", "weight", "rank")).alias("asked"))
     )
-    # At most two ranges per measure and probability. The total is joined on only to
-    # keep it, and with it the counts, in this use too: alike uses share a shuffle.
+    # At most two ranges per measure and probability. Total and mean are joined on
+    # only to keep them in this use of the cut points, too: alike uses share a shuffle.
     by_value = Window.partitionBy(measure, "range").orderBy(value)
     ranked = (
-        ranged.join(F.broadcast(wanted), [measure, "range", "total"])
+        ranged.join(F.broadcast(wanted), [measure, "range", "total", "MEAN"])
         .withColumn("upto", F.col("before") + F.sum("n").over(by_value))
         .withColumn("asked", F.explode("asked"))
         .select(measure, value, "n", "MEAN", "upto", "asked.*")
