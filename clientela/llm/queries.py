@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clientela.llm import exact_dedup, near_dedup
+from clientela.llm import (
+    exact_dedup, language_id, mixing, near_dedup, packing, quality_mil, quality_rules, suffix_dedup,
+)
+from clientela.llm.folds import held_out
 from clientela.llm.shipping import ship
+from clientela.sources.scratch import stored
+
+# Shares of tokens that training is to see of each labelled domain.
+WEIGHTS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,16 +22,88 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def tokenizer_path() -> str:
+    """Where the tokenizer's file is; its id 0 ends a document."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """Domains of the labelled table: toxic first, then by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.when(F.col("quality") == 0, "poor").alias("domain"))
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+    return cleaned.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = domain_labels(_labels(spark, sf_dir))
+    return mixing.mix_domains(_documents(spark, sf_dir), labelled, WEIGHTS)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality_mil.learn_quality(docs, _labels(spark, sf_dir).where(~held_out()))
+    predicted = (F.col("score") >= quality_mil.THRESHOLD).cast("int").alias("predicted")
+    return quality_mil.score_quality(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", predicted, "passages"
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = stored(quality_rules.text_statistics(_documents(spark, sf_dir)))
+    labels = _labels(spark, sf_dir).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = statistics.where(~quality_rules.base_failed()).join(labels, "doc_id")
+    rules = quality_rules.learn_rules(labelled.withColumn("bad", F.col("quality") == 0))
+    return quality_rules.apply_rules(statistics, rules)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.text_groups(_documents(spark, sf_dir))
     return groups.withColumnRenamed("digest", "text_sha256")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.fit_languages(docs.where(~held_out()))
+    found = language_id.identify_languages(docs, model)
+    return found.select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score",
+        _listed("languages").alias("languages"), "accepted",
+    )
+
+
+def _listed(shares: str) -> Column:
+    """A map of shares as text, names in order, three decimals."""
+    entries = F.array_sort(F.map_entries(shares))
+    return F.array_join(
+        F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 3))), " "
+    )
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_quality_rules": op6_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
