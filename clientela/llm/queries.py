@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientela.llm import (
-    exact_dedup, language_id, mixing, near_dedup, packing, quality_mil, quality_rules, suffix_dedup,
+    exact_dedup, language_id, mixing, near_dedup, packing, quality_mil, quality_rules, sanitise,
+    secret_scan, suffix_dedup,
 )
 from clientela.llm.folds import held_out
 from clientela.llm.shipping import ship
@@ -62,6 +63,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.disclosures(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *(f"n_{kind}" for kind in sanitise.KINDS), F.sha2("base", 256).alias("base_sha256"),
+        "spans", F.size("revealing").alias("n_revealing"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = stored(quality_rules.text_statistics(_documents(spark, sf_dir)))
     labels = _labels(spark, sf_dir).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -70,6 +79,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(statistics, rules)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = stored(secret_scan.candidates(docs, secret_scan.learn_text(docs)))
+    labelled = secret_scan.findings_by_syntax(found.where(~held_out()))
+    scored = secret_scan.judged(found, secret_scan.learn_forest(labelled))
+    return scored.select("doc_id", "start", "end", held_out().alias("held_out"), "score", "is_secret")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.text_groups(_documents(spark, sf_dir))
     return groups.withColumnRenamed("digest", "text_sha256")
@@ -102,7 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_pii_sanitisation": op5_pii_sanitisation,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
