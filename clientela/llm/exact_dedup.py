@@ -33,15 +33,16 @@ def text_groups(
     Each task first combines its own rows, which leaves one row per task for
     however many copies. Those are merged per text and salt, the salts' winners
     per text. All three steps group by digest *and* text, so equal digests of
-    different texts never meet. Documents then look up their digest, a join that
-    adaptive execution splits for a hot one; digests that stand for several texts
-    are looked up with the text. ``digest`` has to make those rare.
+    different texts never meet. Documents then look up their group by digest,
+    a second hash and length, a join of two shuffles that adaptive execution
+    splits for a hot text. No two texts are known that agree in all three.
 
     Null and empty texts are one group. A null id is never the smallest unless
     all are null. Rows that repeat id and text are reported alike, each counted.
     """
     texts = docs.select(F.col("doc_id"), one_spaced(F.col("text")).alias("whole"))
     texts = texts.withColumn("digest", digest(F.col("whole")))
+    named = ("digest", F.xxhash64("whole").alias("hash"), F.char_length("whole").alias("length"))
     salt = F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt")
     salted = texts.groupBy("digest", "whole", salt).agg(
         F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
@@ -49,18 +50,11 @@ def text_groups(
     winners = salted.groupBy("digest", "whole").agg(
         F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
-    found = ("keep_id", "group_size")
-    by_digest = winners.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("texts"), *(F.min(c).alias(c) for c in found)
+    found = texts.select("doc_id", *named).join(
+        winners.select(*named, "keep_id", "group_size"), ["digest", "hash", "length"]
     )
-    # One row per collision of the digest; for SHA-256 none is known.
-    collided = F.broadcast(by_digest.where("texts > 1").select("digest"))
-    plain = texts.select("doc_id", "digest").join(by_digest.where("texts = 1"), "digest")
-    compared = texts.join(collided, "digest", "left_semi").join(
-        winners.join(collided, "digest", "left_semi"), ["digest", "whole"]
-    )
-    columns = ["doc_id", *found, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"]
-    return plain.select(*columns).unionByName(compared.select(*columns))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return found.select("doc_id", "keep_id", "group_size", kept, "digest")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
