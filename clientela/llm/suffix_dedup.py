@@ -23,6 +23,8 @@ share, its windows are sent one by one and dealt by their own content.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -351,24 +353,16 @@ def _cleaned(docs: _Block, covered: np.ndarray) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept.
+@dataclass(frozen=True)
+class Exchanges:
+    """What a block does in each of the three exchanges."""
 
-    Removed is every byte that lies in a 50-byte string which also starts in a
-    document with a smaller doc_id, judged on the texts as given. ``n_spans``
-    are the runs of removed bytes, ``kept`` the other bytes end to end. Texts
-    are UTF-8 bytes, null is empty; texts under 50 bytes lose nothing. A null id
-    counts as larger than any. Rows that repeat an id lose nothing to each
-    other. Columns other than doc_id and text are not read.
-    """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    blocks: int
 
-    def bucket_of(content: np.ndarray) -> np.ndarray:
-        return (mixed(content) % np.uint64(blocks)).astype(np.int64)
+    def bucket_of(self, content: np.ndarray) -> np.ndarray:
+        return (mixed(content) % np.uint64(self.blocks)).astype(np.int64)
 
-    def ask(table: pa.Table) -> pa.Table:
+    def ask(self, table: pa.Table) -> pa.Table:
         block = _Block(table)
         row, _, _, _, gram = block.anchors()
         order = np.lexsort((block.ids[row], gram))
@@ -377,11 +371,11 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         ends = np.append(opens[1:], len(gram)) if len(gram) else opens
         several = ids[opens] != ids[ends - 1]
         columns = {"grams": gram[opens], "weights": (ends - opens << 1 | several).astype(np.uint32)}
-        return _dealt(bucket_of(gram[opens]), columns, table["block"][0].as_py())
+        return _dealt(self.bucket_of(gram[opens]), columns, table["block"][0].as_py())
 
-    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def send(self, table: pa.Table, answers: pa.Table) -> pa.Table:
         shared = _Block(table).shared(answers)
-        bucket = bucket_of(np.where(shared["crowded"], shared["digest"], shared["gram"]))
+        bucket = self.bucket_of(np.where(shared["crowded"], shared["digest"], shared["gram"]))
         columns = {
             "number": np.arange(len(bucket), dtype=np.uint32), "gram": shared["gram"], "id": shared["id"],
             "left": shared["left"].astype(np.uint8), "length": shared["length"].astype(np.uint8),
@@ -389,20 +383,42 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         }
         return _dealt(bucket, columns, table["block"][0].as_py())
 
-    def report(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def report(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(table)
         shared = block.shared(replies)
         mask = np.zeros(len(shared["gram"]), np.uint32)
         mask[_column(replies, "number", np.uint32)] = _column(replies, "mask", np.uint32)
         return _cleaned(block, _covered(block, shared, mask))
 
-    grams = dealt.groupBy("block").applyInArrow(ask, "bucket long, block long, grams binary, weights binary")
+
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept.
+
+    Removed is every byte that lies in a 50-byte string which also starts in a
+    document with a smaller doc_id, judged on the texts as given. ``n_spans``
+    are the runs of removed bytes, ``kept`` the other bytes end to end. Texts
+    are UTF-8 bytes, null is empty; texts under 50 bytes lose nothing. A null id
+    counts as larger than any. Rows that repeat an id lose nothing to each
+    other. Columns other than doc_id and text are not read.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+
+    steps = Exchanges(blocks)
+
+    grams = dealt.groupBy("block").applyInArrow(
+        lambda docs: steps.ask(docs), "bucket long, block long, grams binary, weights binary"
+    )
     answers = grams.groupBy("bucket").applyInArrow(_shared_grams, "block long, grams binary, crowded binary")
     around = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        send,
+        lambda docs, answers: steps.send(docs, answers),
         "bucket long, block long, number binary, gram binary, id binary, left binary, length binary, around binary",
     )
     marks = around.groupBy("bucket").applyInArrow(_removable, "block long, number binary, mask binary")
     replies = answers.unionByName(marks, allowMissingColumns=True)
     cleaned = dealt.groupBy("block").cogroup(replies.groupBy("block"))
-    return cleaned.applyInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return cleaned.applyInArrow(
+        lambda docs, replies: steps.report(docs, replies),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary",
+    )

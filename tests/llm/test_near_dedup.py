@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from clientela.llm import near_dedup
+from clientela.llm.components import components
+from clientela.llm.near_dedup import near_duplicates, one_of_each
+from clientela.llm.shingles import bins, shingle_set, signature
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def literal(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            shared = len(a & b)
+            if None not in (i, j) and shared and 100 * shared >= 75 * len(a | b):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    result = []
+    for i, own in sets:
+        if i is None:
+            same = [root(j) for j, b in sets if j is not None and own and b == own]
+            result.append((i, len(own), min(same, default=None), not same))
+        else:
+            result.append((i, len(own), root(i), root(i) == i))
+    return sorted(result, key=str)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("frame", ["odd", "clashing", "empty"])
+def test_odd_rows(request, frame):
+    docs = request.getfixturevalue(frame)
+    got = near_duplicates(docs)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert rows_of(got) == literal([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def varied(seed, size, families=6, words=120):
+    """Families of copies with a few words changed, chains among them."""
+    generator = random.Random(seed)
+    rows = []
+    for family in range(families):
+        text = [f"f{family}w{generator.randrange(60)}" for _ in range(words)]
+        for _ in range(size // families):
+            if generator.random() < 0.3:
+                text = list(text)
+            own = list(text)
+            for _ in range(generator.randrange(7)):
+                own[generator.randrange(words)] = f"n{generator.randrange(10**6)}"
+            if generator.random() < 0.2:
+                text = own
+            rows.append(" ".join(own))
+    generator.shuffle(rows)
+    return list(enumerate(rows, 10))
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_families_equal_all_pairs(make, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = varied(3, 300)
+    assert rows_of(near_duplicates(make(rows))) == literal(rows)
+
+
+def test_threshold_is_exact(make):
+    # 100 shingles; a change in the middle of the text replaces five.
+    base = [f"w{i}" for i in range(104)]
+
+    def changed(*places):
+        return " ".join("x" if i in places else w for i, w in enumerate(base))
+
+    rows = [(1, " ".join(base)), (2, changed(20, 40))]
+    assert rows_of(near_duplicates(make(rows)))[1][2] == 1
+    # 85 of 115 shingles are shared: 73.9 %.
+    rows = [(1, " ".join(base)), (2, changed(20, 40, 60))]
+    assert rows_of(near_duplicates(make(rows)))[1][2] == 2
+
+
+def test_one_of_each(clashing):
+    kept = one_of_each(clashing)
+    assert kept.columns == clashing.columns
+    assert sorted((r["doc_id"] or -1) for r in kept.collect() if r["doc_id"] != 6) == [-1, -1, 1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_sketches_do_not_lose_pairs():
+    generator = np.random.default_rng(4)
+    missed = 0
+    for _ in range(2000):
+        n = int(generator.integers(8, 800))
+        shared = generator.integers(0, 2**64, n, dtype=np.uint64)
+        rest = n / 3
+        a = np.unique(np.concatenate([shared, generator.integers(0, 2**64, int(rest / 2), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([shared, generator.integers(0, 2**64, int(rest / 2), dtype=np.uint64)]))
+        near = near_dedup._near(
+            signature(a)[None], signature(b)[None], bins(a)[None], bins(b)[None], np.array([len(a)]), np.array([len(b)])
+        )
+        missed += not near[0]
+    assert missed == 0
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, None)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = {r["node"]: r["component"] for r in components(frame).collect()}
+    assert found == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 140)}}
+    assert components(frame.where("false")).count() == 0
+
+
+def test_shingles_follow_ascii_rules():
+    assert len(shingle_set(b"")) == len(shingle_set(b" \t\r\n")) == 0
+    assert len(shingle_set(b"a b c")) == 1
+    assert list(shingle_set("A B É d e".encode())) == list(shingle_set("a\tb É D e ".encode()))
+    assert list(shingle_set("a b É d e".encode())) != list(shingle_set("a b é d e".encode()))

@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from clientela.llm import suffix_dedup
+from clientela.llm.suffix_dedup import SPAN, remove_repeats, suffix_order
+
+
+def literal(rows):
+    def order(i):
+        return (i is None, i or 0)
+
+    rows = sorted(rows, key=lambda r: order(r[0]))
+    first = {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        for k in range(len(raw) - 49):
+            first.setdefault(raw[k : k + 50], i)
+    result = []
+    for i, text in rows:
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 49):
+            if order(first[raw[k : k + 50]]) < order(i):
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(raw, gone) if not g)
+        spans = sum(gone[k] and (k == 0 or not gone[k - 1]) for k in range(len(raw)))
+        result.append((i, len(raw), sum(gone), spans, kept))
+    return sorted(result, key=str)
+
+
+def rows_of(df):
+    return sorted((tuple(r[:4]) + (bytes(r[4]),) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("frame", ["odd", "clashing", "empty"])
+def test_odd_rows(request, frame):
+    docs = request.getfixturevalue(frame)
+    got = remove_repeats(docs, 1 << 14)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert rows_of(got) == literal([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def passages(seed, size=120):
+    """Texts out of shared pieces of all lengths, cut anywhere, and of few letters."""
+    generator = random.Random(seed)
+    pieces = ["".join(generator.choices("abcdé ", k=generator.randrange(20, 200))) for _ in range(12)]
+    pieces += ["ab" * 40, "z" * 120, "the same line\n" * 6]
+    rows = []
+    for i in range(size):
+        text = ""
+        for _ in range(generator.randrange(1, 6)):
+            piece = generator.choice(pieces)
+            start = generator.randrange(len(piece))
+            text += piece[start : start + generator.randrange(30, 160)] + "".join(
+                generator.choices("xyz", k=generator.randrange(4))
+            )
+        rows.append((i, text))
+    generator.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed,block_bytes", [(1, 1 << 10), (2, 1 << 12), (3, 1 << 22)])
+def test_equals_every_window(make, seed, block_bytes):
+    rows = passages(seed)
+    assert rows_of(remove_repeats(make(rows), block_bytes)) == literal(rows)
+
+
+def test_crowded_grams_and_sliced_texts(make, monkeypatch):
+    rows = passages(5) + [(500 + i, f"{i:05d} " + "common passage of more than fifty bytes in many texts " * 2 + str(i)) for i in range(80)]
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 5)
+    monkeypatch.setattr(suffix_dedup, "SCANNED", 64)
+    # Workers import the module anew, so the steps run here.
+    docs = [(i, t) for i, t in rows]
+    assert _in_process(docs, 7) == literal(docs)
+
+
+def _in_process(rows, blocks):
+    """The exchanges of ``remove_repeats`` over tables in this process."""
+    import pyarrow as pa
+
+    tables = {}
+    for i, text in rows:
+        tables.setdefault(hash(i) % blocks, []).append((i, text))
+    tables = {
+        b: pa.table({"doc_id": pa.array([r[0] for r in own], pa.int64()), "text": pa.array([r[1] for r in own], pa.string()), "block": [b] * len(own)})
+        for b, own in tables.items()
+    }
+    steps = suffix_dedup.Exchanges(blocks)
+
+    def grouped(results, key):
+        whole = pa.concat_tables([r for r in results if r.num_rows])
+        return {k: whole.filter(pa.compute.equal(whole[key], k)) for k in set(whole[key].to_pylist())}
+
+    grams = grouped([steps.ask(t) for t in tables.values()], "bucket")
+    answers = grouped([suffix_dedup._shared_grams(t) for t in grams.values()], "block")
+    none = next(iter(answers.values())).slice(0, 0)
+    around = grouped([steps.send(t, answers.get(b, none)) for b, t in tables.items()], "bucket")
+    marks = grouped([suffix_dedup._removable(t) for t in around.values()], "block")
+    result = []
+    for b, table in tables.items():
+        replies = pa.concat_tables(
+            [x for x in (answers.get(b, none), marks.get(b)) if x is not None], promote_options="default"
+        )
+        for name, kind in (("number", pa.binary()), ("mask", pa.binary())):
+            if name not in replies.column_names:
+                replies = replies.append_column(name, pa.nulls(replies.num_rows, kind))
+        result += [tuple(r.values()) for r in steps.report(table, replies).to_pylist()]
+    return sorted(result, key=str)
+
+
+def test_suffixes_are_sorted_also_if_hashes_collide(monkeypatch):
+    generator = np.random.default_rng(6)
+    sizes = generator.integers(20, SPAN + 1, 400)
+    right = generator.integers(97, 99, (400, SPAN)).astype(np.uint8)
+    right[200:] = right[:200]
+    right[np.arange(SPAN) >= sizes[:, None]] = 0
+    grams = generator.integers(0, 4, 400).astype(np.uint64)
+    want = sorted((int(grams[i]), right[i, : sizes[i]].tobytes()) for i in range(400))
+    for base in (suffix_dedup._BASE, np.uint64(1)):
+        # With base 1 a hash is a sum, and permutations collide.
+        monkeypatch.setattr(suffix_dedup, "_BASE", base)
+        order, common = suffix_order(grams, right, sizes)
+        got = [(int(grams[i]), right[i, : sizes[i]].tobytes()) for i in order]
+        assert got == want
+        for n in range(1, 400):
+            (g, a), (h, b) = got[n - 1 : n + 1]
+            same = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+            assert common[n] == (same if g == h else 0)
