@@ -31,7 +31,7 @@ CHUNKS = VALUES // CHUNK
 FURTHEST = 2 * CHUNKS - 1
 # Members of a key that are compared at once, and rows of a task.
 BLOCK = 1024
-CELL = 20_000
+CELL = 10_000
 # Places of the table of ids that may be looked up: bounds its broadcast.
 PLACES = 1 << 20
 
@@ -85,20 +85,24 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(a: np.ndarray, b: np.ndarray, bins_a, bins_b, size_a, size_b) -> np.ndarray:
     """Pairs within the signature distance whose sizes and bins allow a link.
 
-    Bins are a second sketch: a pair at the threshold agrees in fewer than the
-    share less five standard deviations once in a million times.
+    Bins are a second sketch: each holds the smallest of the union in it, which
+    both have as often as their similarity says. For a pair at the threshold
+    that is a draw without replacement, and fewer than the expected number less
+    five standard deviations and one are drawn less than once in a million times.
     """
     near = (a != b).sum(axis=-1) <= FURTHEST
     near &= 100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)
     agree = ((bins_a == bins_b) & (bins_a > 0)).sum(axis=-1)
     filled = ((bins_a > 0) | (bins_b > 0)).sum(axis=-1)
     share = PERCENT / 100
-    return near & (agree >= share * filled - 5 * np.sqrt(share * (1 - share) * filled))
+    union = np.maximum((size_a + size_b) / (1 + share), filled)
+    deviation = np.sqrt(share * (1 - share) * filled * (1 - filled / (union + 1)))
+    return near & (agree >= share * filled - 5 * deviation - 1)
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in (batch.slice(s, 4096) for s in range(0, batch.num_rows, 4096)):
+        for part in (batch.slice(s, 2048) for s in range(0, batch.num_rows, 2048)):
             sides = [
                 (
                     _values(part[f"signature_{x}"], np.uint16, VALUES),
@@ -143,8 +147,8 @@ def _across(cell: pa.Table) -> pa.Table:
             if low[start] == high[start]:
                 other &= x < y
             x, y = x[other], y[other]
-            for s in range(0, len(x), 20_000):
-                i, j = x[s : s + 20_000], y[s : s + 20_000]
+            for s in range(0, len(x), 5_000):
+                i, j = x[s : s + 5_000], y[s : s + 5_000]
                 near = _near(values[i], values[j], sketch[i], sketch[j], size[i], size[j])
                 i, j = i[near], j[near]
                 first = _first_key(values[i], values[j]) == key[start] >> 48

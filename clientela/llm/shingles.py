@@ -7,13 +7,14 @@ import xxhash
 
 SHINGLE = 5
 VALUES = 64
-BINS = 256
+BINS = 1024
 
 _random = np.random.default_rng(20)
 _ODD = (_random.integers(0, 2**63, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _MASK = _random.integers(0, 2**63, VALUES, dtype=np.uint64)
 _PLACE = (_random.integers(0, 2**63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+_TOP = np.uint64(64 - BINS.bit_length() + 1)
+_EDGES = np.arange(BINS, dtype=np.uint64) << _TOP
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,10 +54,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def bins(shingles: np.ndarray) -> np.ndarray:
-    """One byte per 256th of the hash range: from the smallest hash in it, 0 if none."""
+    """One byte per 1024th of the hash range: from the smallest hash in it, 0 if none."""
     first = np.searchsorted(shingles, _EDGES)
     value = shingles[np.minimum(first, len(shingles) - 1)]
-    filled = (first < len(shingles)) & (value >> np.uint64(56) == _EDGES >> np.uint64(56))
+    filled = (first < len(shingles)) & (value >> _TOP == _EDGES >> _TOP)
     return np.where(filled, value % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
 
 
