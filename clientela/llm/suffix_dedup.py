@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from clientela.llm.batches import texts_of
@@ -54,12 +55,35 @@ def _words(buffer: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buffer) - 7,), np.uint64, buffer, 0, (1,))
 
 
+def _gram_hash(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of grams from their words at 0, 8 and 12."""
+    return mixed(mixed(first * _MULTIPLIERS[0] + middle * _MULTIPLIERS[1]) + last)
+
+
+def _distinct(around: np.ndarray, left: np.ndarray, length: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal surroundings: the number of each row's, a row of each with the
+    smallest id, and their digests. Rows of one digest are compared whole."""
+    digest = mixed(left.astype(np.uint64) * _MULTIPLIERS[0] + length.astype(np.uint64))
+    for i, column in enumerate(around.view(np.uint64).T):
+        digest = mixed(digest + column * _MULTIPLIERS[i])
+    order = np.lexsort((ids, digest))
+    new = np.ones(len(order), bool)
+    new[1:] = digest[order][1:] != digest[order][:-1]
+    same = np.flatnonzero(~new)
+    one, other = order[same], order[same - 1]
+    new[same] = (
+        (left[one] != left[other]) | (length[one] != length[other]) | (around[one] != around[other]).any(axis=1)
+    )
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new], digest
+
+
 def _anchors_in(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of window starts with one anchor: first, last, anchor, gram hash."""
     eight = _words(buffer)
     n = len(buffer) - GRAM + 1
-    grams = mixed(eight[:n] * _MULTIPLIERS[0] + eight[8 : n + 8] * _MULTIPLIERS[1])
-    grams = mixed(grams + eight[12 : n + 12])
+    grams = _gram_hash(eight[:n], eight[8 : n + 8], eight[12 : n + 12])
     least = (grams & ~_POSITION) | np.arange(n, dtype=np.uint64)
     for step in (1, 2, 4, 8):
         least = np.minimum(least[:-step], least[step:])
@@ -117,7 +141,7 @@ class _Block:
 
         For every occurrence: row, first and last window start, anchor and the
         number of its surroundings; for those: gram, smallest id, length left of
-        the anchor, length and bytes, crowded or not.
+        the anchor, length, bytes and their digest, crowded or not.
         """
         row, first, last, anchor, gram = self.anchors()
         known, crowded = _column(answers, "grams", np.uint64), _column(answers, "crowded", np.bool_)
@@ -139,24 +163,12 @@ class _Block:
         left = anchor - first
         around = self.buffer[first[:, None] + np.arange(WIDTH)]
         around[np.arange(WIDTH) >= length[:, None]] = 0
-        digest = mixed(gram + left.astype(np.uint64) * _MULTIPLIERS[0] + length.astype(np.uint64))
-        for i, column in enumerate(around.view(np.uint64).T):
-            digest = mixed(digest + column * _MULTIPLIERS[i])
-        order = np.lexsort((self.ids[row], digest))
-        new = np.ones(len(order), bool)
-        new[1:] = (
-            (digest[order][1:] != digest[order][:-1])
-            | (left[order][1:] != left[order][:-1])
-            | (length[order][1:] != length[order][:-1])
-            | (around[order][1:] != around[order][:-1]).any(axis=1)
-        )
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        one = order[new]
+        number, one, digest = _distinct(around, left, length, self.ids[row])
         return {
             "row": row, "first": first, "last": last, "anchor": anchor, "number": number,
-            "gram": gram[one], "id": self.ids[row[one]], "left": left[one], "length": length[one],
-            "around": around[one], "crowded": single[one], "digest": digest[one],
+            "gram": gram[one], "id": self.ids[row[one]], "left": left[one].astype(np.uint8),
+            "length": length[one].astype(np.uint8), "around": around[one], "crowded": single[one],
+            "digest": digest[one],
         }
 
 
@@ -282,38 +294,57 @@ def suffix_order(grams: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> tup
 
 def _removable(bucket: pa.Table) -> pa.Table:
     """Of each block's surroundings, a bit per window that a smaller id has."""
-    gram = _column(bucket, "gram", np.uint64)
-    ids = _column(bucket, "id", np.int64)
-    left = _column(bucket, "left", np.uint8).astype(np.int64)
-    length = _column(bucket, "length", np.uint8).astype(np.int64)
+    own = _column(bucket, "id", np.int64)
     number = _column(bucket, "number", np.uint32)
     block = np.repeat(bucket["block"].to_numpy(), [len(x) // 8 for x in bucket["id"].to_pylist()])
-    around = _column(bucket, "around", np.uint8).reshape(-1, WIDTH)
-    sizes = length - left
-
-    rows, span, back = np.arange(len(gram))[:, None], np.arange(SPAN), np.arange(GRAMS - 1)
+    packed = zstandard.ZstdDecompressor()
+    raw = b"".join(packed.decompress(x) for x in bucket["around"].to_pylist())
+    around = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    left, length = (_column(bucket, c, np.uint8).astype(np.int64) for c in ("left", "length"))
+    which, one, _ = _distinct(around, left, length, own)
+    ids, around, left, length = own[one], around[one], left[one], length[one]
+    mask = _masks(ids, around, left, length - left)
+    # Whoever has the same surroundings as a smaller id has all windows from it.
+    mine = np.where(own > ids[which], np.uint32(2**32 - 1), mask[which])
+    some = mine > 0
+    return _answers(block[some], {"number": number[some], "mask": mine[some]})
+
+
+def _masks(ids: np.ndarray, around: np.ndarray, left: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bit per window of different surroundings that one with a smaller id has.
+
+    ``left`` and ``sizes`` are the lengths before the anchor and from it on.
+    """
+    rows, span, back = np.arange(len(ids))[:, None], np.arange(SPAN), np.arange(GRAMS - 1)
+    eight, anchor = _words(around.reshape(-1)), np.arange(len(ids)) * WIDTH + left
+    grams = _gram_hash(eight[anchor], eight[anchor + 8], eight[anchor + 12])
     right = around[rows, np.minimum(left[:, None] + span, WIDTH - 1)]
     right[span >= sizes[:, None]] = 0
     reversed_ = around[rows, np.maximum(left[:, None] - 1 - back, 0)]
-    before = np.zeros((len(gram), GRAMS), np.uint64)
+    before = np.zeros((len(ids), GRAMS), np.uint64)
     for i in back:
         before[:, i + 1] = before[:, i] * _BASE + reversed_[:, i] + np.uint64(1)
 
-    order, common = suffix_order(gram, right, sizes)
-    mask = np.zeros(len(gram), np.uint32)
+    order, common = suffix_order(grams, right, sizes)
+    mask = np.zeros(len(ids), np.uint32)
     for shift in range(GRAMS):
         group = np.cumsum(common < SPAN - shift)
         has = (left[order] >= shift) & (sizes[order] >= SPAN - shift)
         who, group = order[has], group[has]
+        # Alone with its right side, a window is alone.
+        size = np.bincount(group)
+        several = size[group] > 1
+        who, group = who[several], group[several]
+        if not len(who):
+            continue
         key = np.lexsort((before[who, shift], group))
         who, group = who[key], group[key]
-        if len(who) < 2:
-            continue
         near = (group[1:] == group[:-1]) & (before[who[1:], shift] == before[who[:-1], shift])
-        if (reversed_[who[1:], :shift] != reversed_[who[:-1], :shift])[near].any():
+        same = np.flatnonzero(near)
+        if (reversed_[who[same + 1], :shift] != reversed_[who[same], :shift]).any():
             # Two lefts with one hash: tell them apart by their bytes.
-            rows = sorted(range(len(who)), key=lambda i: (group[i], reversed_[who[i], :shift].tobytes()))
-            who, group = who[rows], group[rows]
+            key = sorted(range(len(who)), key=lambda i: (group[i], reversed_[who[i], :shift].tobytes()))
+            who, group = who[key], group[key]
             near = (group[1:] == group[:-1]) & (
                 reversed_[who[1:], :shift] == reversed_[who[:-1], :shift]
             ).all(axis=1)
@@ -321,8 +352,7 @@ def _removable(bucket: pa.Table) -> pa.Table:
         least = np.minimum.reduceat(ids[who], opens)
         least = np.repeat(least, np.diff(np.append(opens, len(who))))
         mask[who] |= (least < ids[who]).astype(np.uint32) << np.uint32(shift)
-    some = mask > 0
-    return _answers(block[some], {"number": number[some], "mask": mask[some]})
+    return mask
 
 
 def _covered(docs: _Block, shared: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
@@ -376,12 +406,12 @@ class Exchanges:
     def send(self, table: pa.Table, answers: pa.Table) -> pa.Table:
         shared = _Block(table).shared(answers)
         bucket = self.bucket_of(np.where(shared["crowded"], shared["digest"], shared["gram"]))
-        columns = {
-            "number": np.arange(len(bucket), dtype=np.uint32), "gram": shared["gram"], "id": shared["id"],
-            "left": shared["left"].astype(np.uint8), "length": shared["length"].astype(np.uint8),
-            "around": shared["around"],
-        }
-        return _dealt(bucket, columns, table["block"][0].as_py())
+        columns = {"number": np.arange(len(bucket), dtype=np.uint32)}
+        columns |= {name: shared[name] for name in ("id", "left", "length", "around")}
+        table = _dealt(bucket, columns, table["block"][0].as_py())
+        pack = zstandard.ZstdCompressor(level=1)
+        texts = [pack.compress(x) for x in table["around"].to_pylist()]
+        return table.set_column(table.column_names.index("around"), "around", pa.array(texts, pa.binary()))
 
     def report(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(table)
@@ -413,7 +443,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     answers = grams.groupBy("bucket").applyInArrow(_shared_grams, "block long, grams binary, crowded binary")
     around = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda docs, answers: steps.send(docs, answers),
-        "bucket long, block long, number binary, gram binary, id binary, left binary, length binary, around binary",
+        "bucket long, block long, number binary, id binary, left binary, length binary, around binary",
     )
     marks = around.groupBy("bucket").applyInArrow(_removable, "block long, number binary, mask binary")
     replies = answers.unionByName(marks, allowMissingColumns=True)
