@@ -2,38 +2,119 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientela.functions.missing import tokens_to_null
-from clientela.sources.tables import TABLES
+from clientela.sources.tables import TABLES, Table
+
+_FORMAT = {"sep": ";", "quote": '"', "escape": '"'}
+# Fields of a record beyond the header's, and records with an open quote.
+_SURPLUS, _OPEN = "surplus field", "open quote"
+
+
+def _failure(text: str, value: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(text), F.coalesce(F.substr(value, F.lit(1), F.lit(80)), F.lit(""))))
 
 
-def typed(column: str, kind: str) -> Column:
-    """Text to ``kind``; unreadable text is null. Numbers use a decimal comma."""
+def _number(column: str, kind: str) -> Column:
     text = F.col(column)
     if kind == "double":
         text = F.replace(text, F.lit(","), F.lit("."))
-    return text.try_cast(kind).alias(column)
+    return text.try_cast(kind)
+
+
+def _unreadable(column: str, kind: str) -> Column:
+    return F.col(column).isNotNull() & _number(column, kind).isNull()
+
+
+def typed(column: str, kind: str, strict: bool = True) -> Column:
+    """Text to ``kind``. Numbers use a decimal comma. Unreadable text fails, or is
+    null if not ``strict``."""
+    value = _number(column, kind)
+    if strict:
+        message = _failure(f"column {column} is no {kind}: ", F.col(column))
+        value = F.when(_unreadable(column, kind), message).otherwise(value)
+    return value.alias(column)
 
 
-def apply_table_rules(text: DataFrame, table: str) -> DataFrame:
+def apply_table_rules(text: DataFrame, table: str, strict: bool = True) -> DataFrame:
     """Null the table's missing-value tokens, then cast its known columns."""
-    rules = TABLES[table]
+    return _by_rules(text, TABLES[table], strict)
+
+
+def _by_rules(text: DataFrame, rules: Table, strict: bool) -> DataFrame:
     clean = tokens_to_null(text, rules.missing)
     return clean.select(
-        *(typed(c, rules.types[c]) if c in rules.types else F.col(c) for c in clean.columns)
+        *(typed(c, rules.types[c], strict) if c in rules.types else F.col(c) for c in clean.columns)
     )
 
 
-def scan_table(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
+def _records(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """All fields as text, the first surplus field, and whether a quote is open."""
+    header = spark.read.text(path).first()
+    if header is None:
+        raise ValueError(f"{path} has no header")
+    names = next(csv.reader([header[0]], delimiter=";"))
+    schema = ", ".join(f"`{name}` string" for name in [*names, _SURPLUS])
+    if multiline:
+        # Read as one record per file part: quotes are balanced by construction.
+        read = spark.read.schema(schema).csv(path, header=True, multiLine=True, **_FORMAT)
+        return read.withColumn(_OPEN, F.lit(False))
+    lines = spark.read.text(path).where((F.col("value") != header[0]) & (F.trim("value") != ""))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    parsed = lines.select(
+        F.from_csv("value", schema, _FORMAT).alias("fields"), (quotes % 2 == 1).alias(_OPEN)
+    )
+    return parsed.select("fields.*", _OPEN)
+
+
+def scan_table(
+    spark: SparkSession, data_dir: str, table: str, multiline: bool = False, strict: bool = True
+) -> DataFrame:
     """Read one input table. Nothing is inferred: all text, then cast by name.
 
-    Records are one line each, so that large files split across tasks.
+    Records are one line each, so that large files split across tasks; with
+    ``multiline`` quoted values may have line breaks, and a file is one task.
+    Lines equal to the header are headers. Records with fewer fields than the
+    header are filled up. A surplus field, a quote that a line leaves open and a
+    number that cannot be read fail with the value; if not ``strict``, what
+    cannot be kept is lost as ``scan_losses`` counts it.
     """
-    text = spark.read.csv(
-        f"{data_dir}/{TABLES[table].file}", sep=";", header=True, quote='"', escape='"'
+    return scan_file(spark, f"{data_dir}/{TABLES[table].file}", TABLES[table], multiline, strict)
+
+
+def scan_file(
+    spark: SparkSession, path: str, rules: Table, multiline: bool = False, strict: bool = True
+) -> DataFrame:
+    """Read one delimited file or folder by the rules of a table, as ``scan_table``."""
+    records = _records(spark, path, multiline)
+    names = records.columns[:-2]
+    if strict:
+        whole = (
+            F.when(F.col(_OPEN), _failure("a quoted value goes on in the next line: ", F.col(f"`{names[0]}`")))
+            .when(F.col(_SURPLUS).isNotNull(), _failure("more fields than the header: ", F.col(_SURPLUS)))
+            .otherwise(F.lit(True))
+        )
+        records = records.where(whole)
+    return _by_rules(records.select(*(f"`{n}`" for n in names)), rules, strict)
+
+
+def scan_losses(spark: SparkSession, data_dir: str, table: str, multiline: bool = False) -> DataFrame:
+    """What a scan that is not strict loses, in one row: records, records with
+    surplus fields, records with an open quote, and unreadable values."""
+    records = _records(spark, f"{data_dir}/{TABLES[table].file}", multiline)
+    rules = TABLES[table]
+    clean = tokens_to_null(records, rules.missing)
+    bad = [F.count_if(_unreadable(c, k)) for c, k in rules.types.items() if c in clean.columns]
+    return clean.agg(
+        F.lit(table).alias("TABLE"),
+        F.count(F.lit(1)).alias("RECORDS"),
+        F.count_if(F.col(_SURPLUS).isNotNull()).alias("SURPLUS_FIELDS"),
+        F.count_if(_OPEN).alias("OPEN_QUOTES"),
+        sum(bad, F.lit(0).cast("bigint")).alias("UNREADABLE_VALUES"),
     )
-    return apply_table_rules(text, table)
 
 
 def write_table(df: DataFrame, data_dir: str, table: str) -> None:
@@ -51,10 +132,8 @@ def write_table(df: DataFrame, data_dir: str, table: str) -> None:
     rules = TABLES[table]
     df.select(*text).write.mode("overwrite").csv(
         f"{data_dir}/{rules.file}",
-        sep=";",
         header=True,
-        quote='"',
-        escape='"',
+        **_FORMAT,
         nullValue=rules.missing[0],
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,

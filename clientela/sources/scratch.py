@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Used without ``spark.checkpoint.dir``. It has no scheme, so it lies on the
+# session's default file system: shared on a cluster, local for a local session.
+DEFAULT_DIR = "/tmp/clientela-scratch"
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder, not yet created, for one intermediate result.
 
-    On a cluster that is a subfolder of ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder of this machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        shared = tempfile.gettempdir()
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder, not yet created, for one intermediate result."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
     return f"{shared.rstrip('/')}/clientela-{uuid.uuid4().hex}"
 
 

@@ -34,3 +34,6 @@ TABLES = {
         {"ID_TICKET": "bigint", "ID_CLI": "bigint", "TIC_DATE": "date", "AMOUNT": "double"},
     ),
 }
+
+# Items of tickets are no table of their own; a file of them has these rules.
+LINES = Table("", ("NA", ""), {"ID_TICKET": "bigint"})

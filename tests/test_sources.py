@@ -1,12 +1,13 @@
 """Delimited text: tokens, decimal commas, leading zeros, dates, sink."""
 
 from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 
 from clientela.functions.datetimes import parse_iso
 from clientela.sources import star_schema as star
-from clientela.sources.delimited import read_csv, scan_table, write_csv, write_table
+from clientela.sources.delimited import read_csv, scan_losses, scan_table, write_csv, write_table
 from clientela.sources.scratch import scratch_dir, stored
 from clientela.sources.tables import TABLES
 
@@ -38,16 +39,54 @@ def test_na_is_missing_in_all_other_tables(spark, tmp_path, table):
     ]
 
 
-def test_decimal_comma_unknown_columns_and_unreadable_numbers(spark, tmp_path):
+def test_decimal_comma_and_unknown_columns(spark, tmp_path):
     folder = _file(
         tmp_path, "ticket",
-        "ID_TICKET;ID_CLI;TIC_DATE;AMOUNT;SHOP\n1;7;2019-01-02;1,5;A\nx;8;bad;2;NA\n",
+        "ID_TICKET;ID_CLI;TIC_DATE;AMOUNT;SHOP\n1;7;2019-01-02;1,5;A\n2;8;NA;2;NA\n",
     )
     assert [tuple(r) for r in scan_table(spark, folder, "ticket").collect()] == [
-        (1, 7, date(2019, 1, 2), 1.5, "A"), (None, 8, None, 2.0, None),
+        (1, 7, date(2019, 1, 2), 1.5, "A"), (2, 8, None, 2.0, None),
     ]
 
 
+BAD = {
+    "unreadable number": ("4x;8;2019-01-02;2;A", "column ID_TICKET is no bigint: 4x", (None, 8, date(2019, 1, 2), 2.0, "A")),
+    "unreadable date": ("4;8;bad;2;A", "column TIC_DATE is no date: bad", (4, 8, None, 2.0, "A")),
+    "surplus field": ("4;8;2019-01-02;2;A;more", "more fields than the header: more", (4, 8, date(2019, 1, 2), 2.0, "A")),
+}
+
+
+@pytest.mark.parametrize("line,message,lenient", BAD.values(), ids=BAD.keys())
+def test_what_cannot_be_kept_fails_loudly_or_is_counted(spark, tmp_path, line, message, lenient):
+    text = f"ID_TICKET;ID_CLI;TIC_DATE;AMOUNT;SHOP\n1;7;2019-01-02;1,5;A\n{line}\n"
+    folder = _file(tmp_path, "ticket", text)
+    with pytest.raises(Exception, match=message):
+        scan_table(spark, folder, "ticket").collect()
+    rows = scan_table(spark, folder, "ticket", strict=False).collect()
+    assert [tuple(r) for r in rows] == [(1, 7, date(2019, 1, 2), 1.5, "A"), lenient]
+    losses = scan_losses(spark, folder, "ticket").first()
+    surplus = int("more" in line)
+    assert tuple(losses) == ("ticket", 2, surplus, 0, 1 - surplus)
+
+
+def test_a_quoted_line_break_fails_unless_it_is_asked_for(spark, tmp_path):
+    folder = _file(tmp_path, "account", 'ID_ADDRESS;NOTE\n1;"two\nlines"\n2;"one ""line"""\n')
+    with pytest.raises(Exception, match="a quoted value goes on in the next line"):
+        scan_table(spark, folder, "account").collect()
+    with pytest.raises(Exception, match="a quoted value goes on in the next line"):
+        scan_table(spark, folder, "account").count()
+    assert scan_losses(spark, folder, "account").first().OPEN_QUOTES == 2
+    rows = scan_table(spark, folder, "account", multiline=True).collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, 'one "line"')]
+    assert scan_losses(spark, folder, "account", multiline=True).first().RECORDS == 2
+
+
+def test_clean_scans_lose_nothing(spark, sf_dir, tmp_path):
+    rows = star.address(spark, sf_dir)
+    write_table(rows, str(tmp_path), "address")
+    assert tuple(scan_losses(spark, str(tmp_path), "address").first()) == ("address", rows.count(), 0, 0, 0)
+
+
 def test_columns_are_found_by_name_in_any_order(spark, tmp_path):
     folder = _file(tmp_path, "campaign", "TYP_CAMP;CHANNEL_CAMP;ID_CAMP\nPROMO;EMAIL;3\n")
     assert scan_table(spark, folder, "campaign").first().asDict() == {
@@ -116,6 +155,11 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert a != b and a.startswith(shared) and b.startswith(shared)
 
 
+def test_scratch_without_a_shared_folder_is_on_the_default_file_system():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
+    assert scratch_dir(session).startswith("/tmp/clientela-scratch/")
+
+
 def test_stored_cuts_the_lineage(spark, tmp_path):
     df = spark.range(10).withColumnRenamed("id", "x")
     table = stored(df, str(tmp_path / "t"))
