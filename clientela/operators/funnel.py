@@ -23,7 +23,8 @@ def email_funnel(
     so three joins become one. The campaign type, which every touch of the
     campaign shares, is attached to the result instead of to all events.
     ``unique_ids`` promises that no two events share an id and none lacks one,
-    which saves a shuffle of all touches.
+    which saves a shuffle of all touches. It is not checked: a repeated id counts
+    as two touches.
     """
     sent = events.where(is_kind(SEND)).select(
         F.col("ID_EVENT").alias("ID_EVENT_S"), *DELIVERY, F.col("EVENT_DATE").alias("SEND_DATE")
@@ -53,6 +54,7 @@ def email_funnel(
         & (clicked_on.isNull() | (opened_on <= clicked_on))
         & (failed_on.isNull() | (sent_on <= failed_on))
     )
+    # Names and order of the funnel's columns.
     return possible.select(
         "ID_EVENT_S",
         "ID_CLI",

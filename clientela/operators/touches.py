@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from clientela.functions.missing import n_distinct
 from clientela.operators.events import CLICK, FAIL, OPEN, SEND, is_kind
+from clientela.operators.joins import null_safe_join
 
 DELIVERY = ["ID_CLI", "ID_CAMP", "ID_DELIVERY"]
 
-# Kind of touch: suffix of its event id, prefix of its dates, name of its count.
+# Suffix of the event id, prefix of the dates and name of the count
+# of each kind of touch, as in the results.
 _NAMES = {
     OPEN: ("O", "OPEN", "NUM_OPENs"),
     CLICK: ("C", "CLICK", "NUM_CLICKs"),
@@ -41,42 +43,44 @@ def touch_counts(clean: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def first_touches(clean: DataFrame, kind: str) -> DataFrame:
+def first_touches(events: DataFrame, campaign: DataFrame, kind: str) -> DataFrame:
     """First touch of one kind per delivery, with the number of touches.
 
-    The count comes out of the same grouping, so nothing is joined back. Equal
-    times are told apart by the event id. Grouping by event id first keeps a
-    delivery with very many touches spread over the tasks.
+    ``events`` are typed. They are reduced on ids and times before the campaign's
+    type is attached: to events with their first time, which keeps a delivery
+    with very many touches spread over the tasks, to times, and to deliveries.
+    All three are hash aggregations of flat types. Equal times are told apart by
+    the event id. An id with several campaign types has the smallest.
     """
     suffix, prefix, count = _NAMES[kind]
     at = F.col("EVENT_DATETIME")
     per_event = (
-        clean.where(is_kind(kind))
+        events.where(is_kind(kind))
         .groupBy(*DELIVERY, "ID_EVENT")
-        .agg(
-            F.min(at).alias("at"),
-            F.bool_and(at.isNotNull()).alias("dated"),
-            F.min("TYP_CAMP").alias("TYP_CAMP"),
-        )
+        .agg(F.min(at).alias("at"), F.bool_and(at.isNotNull()).alias("dated"))
+    )
+    per_time = per_event.groupBy(*DELIVERY, "at").agg(
+        F.min("ID_EVENT").alias("id"), F.bool_and("dated").alias("dated"), F.count(F.lit(1)).alias("n")
     )
-    earliest = F.struct("at", F.col("ID_EVENT").isNull(), "ID_EVENT", "TYP_CAMP")
     firsts = (
-        per_event.groupBy(*DELIVERY)
+        per_time.groupBy(*DELIVERY)
         .agg(
-            F.min(earliest).alias("first"),
+            F.min_by("id", "at").alias("id"),
+            F.min("at").alias("at"),
             F.bool_and("dated").alias("dated"),
-            F.count(F.lit(1)).alias("touches"),
+            F.sum("n").alias("touches"),
         )
         .where("dated")
     )
-    return firsts.select(
-        F.col("first.ID_EVENT").alias(f"ID_EVENT_{suffix}"),
+    types = campaign.groupBy("ID_CAMP").agg(F.min("TYP_CAMP").alias("TYP_CAMP"))
+    return null_safe_join(firsts, types, ["ID_CAMP"]).select(
+        F.col("id").alias(f"ID_EVENT_{suffix}"),
         "ID_CLI",
         "ID_CAMP",
-        F.col("first.TYP_CAMP").alias("TYP_CAMP"),
+        "TYP_CAMP",
         "ID_DELIVERY",
-        F.col("first.at").alias(f"{prefix}_DATETIME"),
-        F.to_date("first.at").alias(f"{prefix}_DATE"),
+        F.col("at").alias(f"{prefix}_DATETIME"),
+        F.to_date("at").alias(f"{prefix}_DATE"),
         *([F.col("touches").alias(count)] if count else []),
     )
 
@@ -91,7 +95,8 @@ def touch_summary(events: DataFrame, unique_ids: bool = False) -> DataFrame:
 
     The first grouping only makes event ids distinct. Where the source promises
     that every event has an id of its own, ``unique_ids`` leaves it out: touches
-    are then combined per delivery before the one shuffle that remains.
+    are then combined per delivery before the one shuffle that remains. Nothing
+    checks the promise; counts are of events then, and a repeated id counts twice.
     """
     at = F.col("EVENT_DATETIME")
     touched = events.where(is_kind(OPEN) | is_kind(CLICK) | is_kind(FAIL))

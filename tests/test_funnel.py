@@ -62,8 +62,8 @@ def test_two_sends_share_the_first_touch(spark):
 def test_opens_at_the_same_instant_count_but_make_one_row(spark):
     opens = [(i, 1, 1, 1, "V", "2019-01-04T10:00:00") for i in (12, 11)]
     assert _one(spark, [SEND, *opens]).NUM_OPENs == 2
-    clean = clean_events(event_frame(spark, opens), campaign_frame(spark))
-    assert [r.ID_EVENT_O for r in first_touches(clean, OPEN).collect()] == [11]
+    events = type_events(event_frame(spark, opens))
+    assert [r.ID_EVENT_O for r in first_touches(events, campaign_frame(spark), OPEN).collect()] == [11]
 
 
 def test_repeated_event_rows_count_once(spark):
@@ -125,20 +125,20 @@ def test_random_events_against_the_literal_meaning(spark, seed, campaigns):
 
 def test_one_pass_summary_agrees_with_first_touches(spark):
     rows = _random_events(random.Random(11), 400)
-    clean = clean_events(event_frame(spark, rows), campaign_frame(spark))
-    summary = {(r.ID_CLI, r.ID_CAMP, r.ID_DELIVERY): r for r in touch_summary(clean).collect()}
+    events, campaigns = type_events(event_frame(spark, rows)), campaign_frame(spark)
+    summary = {(r.ID_CLI, r.ID_CAMP, r.ID_DELIVERY): r for r in touch_summary(events).collect()}
     for kind, suffix, word, count in ((OPEN, "O", "OPEN", "NUM_OPENs"), (CLICK, "C", "CLICK", "NUM_CLICKs")):
-        firsts = first_touches(clean, kind).collect()
+        firsts = first_touches(events, campaigns, kind).collect()
         assert len(firsts) == sum(r[f"{word}_at"] is not None for r in summary.values())
         for r in firsts:
             one = summary[r.ID_CLI, r.ID_CAMP, r.ID_DELIVERY]
             assert one[f"{word}_at"] == r[f"{word}_DATETIME"]
             assert one[f"{word}_count"] == r[count]
             assert one[f"{word}_known"] == (r[f"ID_EVENT_{suffix}"] is not None)
-        counts = {(r.ID_CLI, r.ID_CAMP, r.ID_DELIVERY): r[count] for r in touch_counts(clean, kind).collect()}
+        counts = {(r.ID_CLI, r.ID_CAMP, r.ID_DELIVERY): r[count] for r in touch_counts(events, kind).collect()}
         for r in firsts:
             assert counts[r.ID_CLI, r.ID_CAMP, r.ID_DELIVERY] == r[count]
-    assert "NUM_FAILs" not in first_touches(clean, FAIL).columns
+    assert "NUM_FAILs" not in first_touches(events, campaigns, FAIL).columns
 
 
 def test_invariants(spark):
