@@ -1,100 +1,186 @@
-"""Exact quantiles without gathering the values in one task.
+"""Exact quantiles of many columns without shuffling their values.
 
-``percentile`` builds one hash map of all distinct values in its final task.
-That is fine for day counts (see ``intervals``) but not for money sums or ids,
-whose distinct values grow with the data. Here the distinct values are cut into
-ranges, only the ranges that hold a wanted rank are sorted, and each of them is
-a small fraction of the distinct values.
+Values are counted in ranges between approximate cut points, which every task
+does for its own rows. Only ranges that hold a wanted rank are looked at again:
+cut once more while they hold many different values, and sorted when they hold
+few. So no shuffle carries all values and no task sorts more than a bounded
+number, whatever the size and the shape of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Cut points are looked up in two steps of this many, giving BLOCK * BLOCK ranges.
 BLOCK = 16
+# Values of a range that are sorted in one task.
+MOST_SORTED = 100_000
 
 
-def _count_below(cuts: str, positions: Sequence[Column], value: str) -> Column:
-    """How many of the cuts at ``positions`` are below the value; never null.
+@dataclass(frozen=True)
+class Summary:
+    """Number and mean of the known values, and the quantiles asked for."""
 
-    Of a nullable count, a join on it would infer a filter and so compute it twice.
-    """
-    below = [
-        F.when(F.get(cuts, i) < F.col(value), F.lit(1)).otherwise(F.lit(0)) for i in positions
-    ]
-    return sum(below[1:], below[0])
+    count: int
+    mean: float | None
+    quantiles: list[float | None]
 
 
-def value_counts(values: DataFrame, measure: str, value: str) -> DataFrame:
-    """How often each value occurs per measure, as column ``n``; nulls left out.
+@dataclass
+class _Span:
+    """Values of a column in (low, high], with the ranks that are wanted there."""
 
-    Equal values collapse before the shuffle, so a hot value is one row per task.
-    """
-    known = values.where(F.col(value).isNotNull())
-    return known.groupBy(measure, value).agg(F.count(F.lit(1)).alias("n"))
+    column: str
+    low: float | None
+    high: float | None
+    before: int
+    ranks: set[int]
 
+    def holds(self) -> Column:
+        value = F.col(self.column)
+        inside = value.isNotNull()
+        if self.low is not None:
+            inside &= value > self.low
+        if self.high is not None:
+            inside &= value <= self.high
+        return inside
 
-def exact_quantiles(
-    counts: DataFrame, measure: str, value: str, probs: Sequence[float], block: int = BLOCK
-) -> DataFrame:
-    """Quantiles per measure with linear interpolation between neighbours.
-
-    ``counts`` come from ``value_counts`` of a double. There must be few measures
-    (one per profiled column); there may be any number of values. Returns
-    ``(measure, PROB, QUANTILE, MEAN)``; the mean is a by-product. The counts are
-    read three times, for the cut points, the size of the ranges and the ranges
-    asked for, but shuffled once.
-    """
-    # Approximate cut points only balance the ranges; any cut points are exact.
-    ranges = block * block
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = counts.groupBy(measure).agg(
-        F.percentile_approx(value, steps, 10 * ranges).alias("cuts"),
-        F.sum("n").alias("total"),
-        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("MEAN"),
+
+def _count_below(cuts: Column, positions: Sequence[Column], value: str) -> Column:
+    """How many of the cuts at ``positions`` are below the value; compiled code,
+    which a lambda over the array would not be."""
+    below = [F.when(F.get(cuts, i) < F.col(value), 1).otherwise(0) for i in positions]
+    return sum(below[1:], below[0])
+
+
+def _ranged(values: DataFrame, spans: list[_Span], cuts: list[list[float]], block: int) -> DataFrame:
+    """Per span and range between its cuts: number of values, smallest, largest."""
+    arrays = [F.lit(c).cast("array<double>") for c in cuts]
+    last = [F.lit(block * j + block - 1) for j in range(block)]
+    skipped = values.select(
+        "*",
+        *(
+            F.when(s.holds(), block * _count_below(a, last, s.column)).alias(f"skipped_{i}")
+            for i, (s, a) in enumerate(zip(spans, arrays, strict=True))
+        ),
     )
-    # The range of a value is the number of cuts below it: count the blocks of cuts
-    # that lie below it, then the cuts of one block. Plain comparisons are compiled,
-    # lambdas over the array would not be. One row of `ranges` numbers per measure
-    # is broadcast.
-    last_of_block = [F.lit(block * j + block - 1) for j in range(block - 1)]
-    in_block = [F.col("skipped") + j for j in range(block - 1)]
-    ranged = (
-        counts.join(F.broadcast(cuts), measure)
-        .withColumn("skipped", block * _count_below("cuts", last_of_block, value))
-        .withColumn("range", F.col("skipped") + _count_below("cuts", in_block, value))
-        .select(measure, value, "n", "total", "MEAN", "range")
+    cells = [
+        F.struct(
+            F.lit(i).alias("span"),
+            (F.col(f"skipped_{i}") + _count_below(a, [F.col(f"skipped_{i}") + j for j in range(block - 1)], s.column)).alias("range"),
+            F.col(s.column).alias("value"),
+        )
+        for i, (s, a) in enumerate(zip(spans, arrays, strict=True))
+    ]
+    return (
+        skipped.select(F.inline(F.array(*cells)))
+        .where(F.col("range").isNotNull())
+        .groupBy("span", "range")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     )
 
-    in_order = Window.partitionBy(measure).orderBy("range")
-    located = (
-        ranged.groupBy(measure, "range", "total", "MEAN")
-        .agg(F.sum("n").alias("in_range"))
-        .withColumn("before", F.sum("in_range").over(in_order) - F.col("in_range"))
-    )
-    position = F.col("PROB") * (F.col("total") - 1)
-    wanted = (
-        located.withColumn("PROB", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
-        .withColumn("weight", position - F.floor(position))
-        .withColumn("rank", F.explode(F.array(F.floor(position), F.ceil(position))))
-        .where(F.col("rank").between(F.col("before"), F.col("before") + F.col("in_range") - 1))
-        .groupBy(measure, "range", "total", "MEAN", "before")
-        .agg(F.collect_set(F.struct("PROB", "weight", "rank")).alias("asked"))
+
+def _sorted_values(values: DataFrame, spans: list[_Span]) -> dict[tuple[str, int], float]:
+    """The values at the ranks of spans that hold few values."""
+    cells = F.array(
+        *(
+            F.struct(F.lit(i).alias("span"), F.when(s.holds(), F.col(s.column)).alias("value"))
+            for i, s in enumerate(spans)
+        )
     )
-    # At most two ranges per measure and probability. Total and mean are joined on
-    # only to keep them in this use of the cut points, too: alike uses share a shuffle.
-    by_value = Window.partitionBy(measure, "range").orderBy(value)
-    ranked = (
-        ranged.join(F.broadcast(wanted), [measure, "range", "total", "MEAN"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(by_value))
-        .withColumn("asked", F.explode("asked"))
-        .select(measure, value, "n", "MEAN", "upto", "asked.*")
+    counts = values.select(F.inline(cells)).where(F.col("value").isNotNull())
+    counts = counts.groupBy("span", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("span").orderBy("value"))
+    ranks = F.array(*(F.array(*(F.lit(r - s.before) for r in sorted(s.ranks))) for s in spans))
+    found = (
+        counts.withColumn("upto", upto)
+        .withColumn("rank", F.explode(F.get(ranks, F.col("span"))))
         .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
     )
-    lower, upper, weight = F.min(value), F.max(value), F.max("weight")
-    return ranked.groupBy(measure, "PROB").agg(
-        ((1 - weight) * lower + weight * upper).alias("QUANTILE"), F.max("MEAN").alias("MEAN")
-    )
+    # One row per rank asked for.
+    return {
+        (spans[r["span"]].column, r["rank"] + spans[r["span"]].before): r["value"]
+        for r in found.select("span", "rank", "value").collect()
+    }
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    probs: Sequence[float],
+    block: int = BLOCK,
+    most: int = MOST_SORTED,
+) -> dict[str, Summary]:
+    """Quantiles of columns of doubles, with linear interpolation between ranks.
+
+    Runs at once: three passes over ``df`` unless a range has to be cut again, so
+    store ``df`` if it is costly. The driver sees cut points and counts, at most
+    ``block ** 2`` of each per column and rank. Nulls are left out; a column of
+    nulls has the count 0.
+    """
+    names = {name: f"v{i}" for i, name in enumerate(columns)}
+    values = df.select(*(columns[name].cast("double").alias(v) for name, v in names.items()))
+    ranges = block * block
+    steps = [i / ranges for i in range(1, ranges)]
+
+    def cut_points(spans: list[_Span], *more: Column) -> tuple[list[list[float]], dict]:
+        # The smallest value is a cut, so that a range always becomes smaller.
+        parts = []
+        for i, s in enumerate(spans):
+            inside = F.when(s.holds(), F.col(s.column))
+            parts += [F.percentile_approx(inside, steps, 10 * ranges).alias(f"c{i}"), F.min(inside).alias(f"m{i}")]
+        row = values.agg(*parts, *more).first().asDict()
+        cuts = [sorted({*(row[f"c{i}"] or []), row[f"m{i}"]} - {None}) for i in range(len(spans))]
+        return cuts, row
+
+    spans = [_Span(v, None, None, 0, set()) for v in names.values()]
+    counted = [f(v).alias(f"{f.__name__}_{v}") for v in names.values() for f in (F.count, F.avg)]
+    cuts, totals = cut_points(spans, *counted)
+    places = {}
+    for span in spans:
+        n = totals[f"count_{span.column}"]
+        places[span.column] = [p * (n - 1) for p in probs] if n else []
+        span.ranks = {r for x in places[span.column] for r in (floor(x), ceil(x))}
+    spans, cuts = [s for s in spans if s.ranks], [c for s, c in zip(spans, cuts, strict=True) if s.ranks]
+
+    at: dict[tuple[str, int], float] = {}
+    few: list[_Span] = []
+    while spans:
+        counts: dict[int, list] = {}
+        for row in _ranged(values, spans, cuts, block).collect():
+            counts.setdefault(row["span"], []).append(row)
+        wide = []
+        for i, span in enumerate(spans):
+            before = span.before
+            for row in sorted(counts[i], key=lambda r: r["range"]):
+                here = {r for r in span.ranks if before <= r < before + row["n"]}
+                if here and row["low"] == row["high"]:
+                    at.update({(span.column, r): row["low"] for r in here})
+                elif here:
+                    number = row["range"]
+                    low = cuts[i][number - 1] if number else span.low
+                    high = cuts[i][number] if number < len(cuts[i]) else span.high
+                    (few if row["n"] <= most else wide).append(_Span(span.column, low, high, before, here))
+                before += row["n"]
+        spans = wide
+        if spans:
+            cuts, _ = cut_points(spans)
+    if few:
+        at.update(_sorted_values(values, few))
+
+    def quantile(column: str, place: float) -> float:
+        weight = place - floor(place)
+        return (1 - weight) * at[column, floor(place)] + weight * at[column, ceil(place)]
+
+    return {
+        name: Summary(
+            totals[f"count_{v}"],
+            totals[f"avg_{v}"],
+            [quantile(v, x) for x in places[v]] or [None] * len(probs),
+        )
+        for name, v in names.items()
+    }

@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clientela.functions.missing import n_distinct
-from clientela.functions.quantiles import exact_quantiles, value_counts
+from clientela.functions.quantiles import exact_quantiles
 
 FIVE_NUMBERS = {"MIN": 0.0, "Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75, "MAX": 1.0}
 
-_PROFILE = ["COLUMN", "TYPE", "N_ROWS", "N_MISSING", "MIN", "Q1", "MEDIAN", "MEAN", "Q3", "MAX"]
+_PROFILE = (
+    "COLUMN string, TYPE string, N_ROWS bigint, N_MISSING bigint, MIN double, Q1 double,"
+    " MEDIAN double, MEAN double, Q3 double, MAX double"
+)
 
 
-def duplicate_audit(df: DataFrame, key: str) -> DataFrame:
-    """Distinct keys against rows, in one row."""
-    return df.agg(
-        n_distinct(key).alias(f"TOT_{key}es"), F.count(F.lit(1)).alias("TOT_ROWs")
-    )
+def duplicate_audit(df: DataFrame, key: str, count: str) -> DataFrame:
+    """Distinct keys, named ``count``, against rows, in one row."""
+    return df.agg(n_distinct(key).alias(count), F.count(F.lit(1)).alias("TOT_ROWs"))
 
 
 def missing_patterns(df: DataFrame, columns: Sequence[str], key: str, count: str) -> DataFrame:
@@ -68,46 +69,22 @@ def profile(df: DataFrame) -> DataFrame:
     """Type, missing count, five-number summary and mean of every column.
 
     Dates count as days and timestamps as seconds since 1970, booleans as 0 and
-    1; text has no numbers. Quartiles are exact. ``df`` is read twice: for the
-    missing counts, which need no shuffle, and for the counts of all values.
+    1; text has no numbers. Quartiles are exact. The summary is computed at once,
+    in three passes over ``df``, which shuffle counts and a bounded part of the
+    values: store ``df`` if it is costly.
     """
-    total = F.count(F.lit(1))
-    missing = df.agg(
-        F.array(
-            *(
-                F.struct(
-                    F.lit(name).alias("COLUMN"),
-                    F.lit(kind).alias("TYPE"),
-                    total.alias("N_ROWS"),
-                    (total - F.count(name)).alias("N_MISSING"),
-                )
-                for name, kind in df.dtypes
-            )
-        ).alias("columns")
-    ).select(F.inline("columns"))
-    numeric = [(name, _as_number(name, kind)) for name, kind in df.dtypes]
-    cells = [
-        F.struct(F.lit(name).alias("COLUMN"), number.alias("number"))
-        for name, number in numeric
-        if number is not None
-    ]
-    if not cells:
-        absent = (F.lit(None).cast("double").alias(name) for name in (*FIVE_NUMBERS, "MEAN"))
-        return missing.select("*", *absent).select(*_PROFILE)
-    counts = value_counts(df.select(F.inline(F.array(*cells))), "COLUMN", "number")
-    numbers = (
-        exact_quantiles(counts, "COLUMN", "number", list(FIVE_NUMBERS.values()))
-        .groupBy("COLUMN")
-        .agg(
-            *(
-                F.max(F.when(F.col("PROB") == prob, F.col("QUANTILE"))).alias(name)
-                for name, prob in FIVE_NUMBERS.items()
-            ),
-            F.max("MEAN").alias("MEAN"),
-        )
-    )
-    # One row per column of df on both sides.
-    return missing.join(F.broadcast(numbers), "COLUMN", "left").select(*_PROFILE)
+    total = F.count(F.lit(1)).alias("rows")
+    known = df.agg(total, *(F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(df.columns))).first()
+    numbers = {name: _as_number(name, kind) for name, kind in df.dtypes}
+    numeric = {name: number for name, number in numbers.items() if number is not None}
+    found = exact_quantiles(df, numeric, list(FIVE_NUMBERS.values())) if numeric else {}
+    rows = []
+    for i, (name, kind) in enumerate(df.dtypes):
+        low, q1, median, q3, high = found[name].quantiles if name in found else [None] * 5
+        mean = found[name].mean if name in found else None
+        rows.append((name, kind, known["rows"], known["rows"] - known[f"n{i}"], low, q1, median, mean, q3, high))
+    # One row per column of df.
+    return df.sparkSession.createDataFrame(rows, _PROFILE)
 
 
 def top_levels(df: DataFrame, columns: Sequence[str], k: int = 6) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clientela.functions.quantiles import exact_quantiles, value_counts
+from clientela.functions.quantiles import exact_quantiles
+from clientela.sources.scratch import stored
 
 MEASURES = ("RECENCY", "FREQUENCY", "MONETARY")
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
@@ -50,56 +51,41 @@ def rfm_base(ticket: DataFrame) -> DataFrame:
     return purchase_history(ticket, last_day(ticket)).select("ID_CLI", "LAST_DATE", *MEASURES)
 
 
-def rfm_cuts(base: DataFrame) -> DataFrame:
-    """The 4 quintile limits of the 3 measures, in one row of 12 numbers."""
-    long = base.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-                    for m in MEASURES
-                )
-            )
-        )
-    )
-    counts = value_counts(long, "measure", "value")
-    limits = exact_quantiles(counts, "measure", "value", QUINTILES)
-    return limits.agg(
-        *(
-            F.max(
-                F.when((F.col("measure") == m) & (F.col("PROB") == p), F.col("QUANTILE"))
-            ).alias(f"{m}_{i}")
-            for m in MEASURES
-            for i, p in enumerate(QUINTILES)
-        )
-    )
+Limits = dict[str, list[float | None]]
 
 
-def rfm_scores(ticket: DataFrame) -> DataFrame:
-    """Scores from exact quintile limits, which reach the rows as one scalar.
+def rfm_limits(base: DataFrame) -> Limits:
+    """The 4 exact quintile limits of the 3 measures, found at once: store ``base``."""
+    found = exact_quantiles(base, {m: F.col(m) for m in MEASURES}, QUINTILES)
+    return {m: found[m].quantiles for m in MEASURES}
+
+
+def with_scores(base: DataFrame, limits: Limits) -> DataFrame:
+    """``base`` with R_SCORE, F_SCORE and M_SCORE; a recent purchase scores high.
 
     A ranking window over all customers would run in a single task; comparing
-    with the limits needs no shuffle. A recent purchase scores high.
+    with twelve numbers needs no shuffle.
     """
-    base = rfm_base(ticket)
-    cuts = rfm_cuts(base).select(F.struct("*")).scalar()
 
     def above(measure: str) -> Column:
-        passed = [
-            (F.col(measure) > F.col("cuts")[f"{measure}_{i}"]).cast("int")
-            for i in range(len(QUINTILES))
-        ]
+        passed = [(F.col(measure) > F.lit(limit)).cast("int") for limit in limits[measure]]
         return sum(passed[1:], passed[0])
 
-    return base.withColumn("cuts", cuts).select(
-        "ID_CLI",
-        *MEASURES,
-        (F.lit(5) - above("RECENCY")).alias("R_SCORE"),
-        (F.lit(1) + above("FREQUENCY")).alias("F_SCORE"),
-        (F.lit(1) + above("MONETARY")).alias("M_SCORE"),
+    return base.withColumns(
+        {
+            "R_SCORE": F.lit(5) - above("RECENCY"),
+            "F_SCORE": F.lit(1) + above("FREQUENCY"),
+            "M_SCORE": F.lit(1) + above("MONETARY"),
+        }
     )
 
 
+def rfm_scores(ticket: DataFrame) -> DataFrame:
+    """Customers with their measures and scores; the measures are stored."""
+    base = stored(rfm_base(ticket).drop("LAST_DATE"))
+    return with_scores(base, rfm_limits(base))
+
+
 def segment() -> Column:
     """Name of a customer's segment; the first rule that holds decides."""
     r, f, m = F.col("R_SCORE"), F.col("F_SCORE"), F.col("M_SCORE")

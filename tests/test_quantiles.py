@@ -6,40 +6,32 @@ from datetime import date
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings as fast, strategies as st
+from pyspark.sql import functions as F
 
-from clientela.functions.quantiles import exact_quantiles, value_counts
+from clientela.functions.quantiles import exact_quantiles
 from clientela.operators.intervals import gap_quantile
 from clientela.operators.quality import profile, top_levels
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.8, 0.9, 1.0)
 
 
-def _quantiles(spark, groups, block):
-    rows = [(name, None if v is None else float(v)) for name, values in groups.items() for v in values]
-    df = spark.createDataFrame(rows, "m string, v double")
-    out = exact_quantiles(value_counts(df, "m", "v"), "m", "v", PROBS, block)
-    rows = out.collect()
+def _check(spark, groups, block, most=100):
+    size = max(map(len, groups.values()))
+    padded = [[None if v is None else float(v) for v in x] + [None] * (size - len(x)) for x in groups.values()]
+    df = spark.createDataFrame(list(zip(*padded)), ", ".join(f"{name} double" for name in groups))
+    got = exact_quantiles(df, {name: F.col(name) for name in groups}, PROBS, block, most)
     for name, values in groups.items():
         known = [v for v in values if v is not None]
-        for r in rows:
-            if r.m == name:
-                assert r.MEAN == pytest.approx(np.mean(known), rel=1e-9, abs=1e-6)
-    return {(r.m, r.PROB): r.QUANTILE for r in rows}
+        assert got[name].count == len(known)
+        if not known:
+            assert got[name].mean is None and got[name].quantiles == [None] * len(PROBS)
+            continue
+        assert got[name].mean == pytest.approx(np.mean(known), rel=1e-9, abs=1e-6)
+        assert got[name].quantiles == pytest.approx(np.quantile(known, PROBS), rel=1e-12, abs=1e-12)
 
 
-def _check(spark, groups, block):
-    got = _quantiles(spark, groups, block)
-    known = {name: [v for v in values if v is not None] for name, values in groups.items()}
-    want = {
-        (name, p): np.quantile(values, p) for name, values in known.items() if values for p in PROBS
-    }
-    assert got.keys() == want.keys()
-    for key in want:
-        assert got[key] == pytest.approx(want[key], rel=1e-12, abs=1e-12)
-
-
-@pytest.mark.parametrize("block", [2, 3, 16])
-def test_measures_of_different_shape(spark, block):
+@pytest.mark.parametrize("block,most", [(2, 3), (3, 1), (16, 100)])
+def test_columns_of_different_shape(spark, block, most):
     rng = np.random.default_rng(1)
     _check(
         spark,
@@ -47,19 +39,23 @@ def test_measures_of_different_shape(spark, block):
             "one": [3.5],
             "two": [1, 2],
             "hot": [5] * 400 + [1, 9],
+            "hot_low": [1] * 500 + list(range(2, 90)),
             "ids": list(range(1000)),
             "money": list(rng.lognormal(8, 2, 700).round(2)),
             "nulls": [None, 4, None, 2, 2],
+            "nothing": [None, None],
             "negative": list(rng.normal(0, 1e9, 300)),
+            "close": list(1 + rng.integers(0, 40, 300) * 2.0**-52),
         },
         block,
+        most,
     )
 
 
 @fast(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.integers(-20, 20), min_size=1, max_size=40), st.integers(2, 5))
-def test_small_lists(spark, values, block):
-    _check(spark, {"x": values}, block)
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=40), st.integers(2, 5), st.integers(1, 9))
+def test_small_lists(spark, values, block, most):
+    _check(spark, {"x": values}, block, most)
 
 
 def test_quantile_of_gaps_interpolates(spark):
