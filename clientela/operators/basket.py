@@ -1,8 +1,8 @@
 """Products that are bought together.
 
-A basket is the set of distinct items of a ticket. Frequent sets come from
-MLlib's FP-growth, which never lists all pairs of a basket: it hands every task
-the baskets it needs for the items it is responsible for.
+A basket is the set of distinct items of a ticket. Frequent sets of any size come
+from MLlib's FP-growth, which hands every task the baskets it needs for the items
+it is responsible for; pairs alone are counted directly.
 """
 
 from __future__ import annotations
@@ -11,11 +11,6 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
 
-# From this minimum support on there are at most 1000 frequent items per mean
-# number of items of a ticket.
-BROADCAST_SUPPORT = 0.001
-
-
 def _known(lines: DataFrame) -> DataFrame:
     known = F.col("ID_TICKET").isNotNull() & F.col("ITEM").isNotNull()
     return lines.where(known).select("ID_TICKET", "ITEM")
@@ -27,19 +22,16 @@ def baskets(lines: DataFrame, min_support: float) -> DataFrame:
     An item below the minimum support is in no frequent set, so it is left out
     of the array, but its ticket still counts. At most (mean items per ticket) /
     ``min_support`` items can be frequent. That bounds every array, even if one
-    ticket holds a large part of all lines, and it bounds the table of frequent
-    items, which is broadcast unless the minimum support is very low.
+    ticket holds a large part of all lines.
     """
     known = _known(lines).distinct()
-    tickets = _known(lines).agg(F.count_distinct("ID_TICKET")).scalar()
+    tickets = known.select("ID_TICKET").distinct().agg(F.count(F.lit(1))).scalar()
     frequent = (
         known.groupBy("ITEM")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= F.ceil(F.lit(min_support) * tickets))
         .select("ITEM", F.lit(True).alias("is_frequent"))
     )
-    if min_support >= BROADCAST_SUPPORT:
-        frequent = F.broadcast(frequent)
     return (
         known.join(frequent, "ITEM", "left")
         .groupBy("ID_TICKET")
@@ -49,7 +41,10 @@ def baskets(lines: DataFrame, min_support: float) -> DataFrame:
 
 def basket_model(baskets: DataFrame, min_support: float, min_confidence: float = 0.0) -> FPGrowthModel:
     """Search of all frequent sets. ``baskets`` are read several times: store them."""
-    growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
+    tasks = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    growth = FPGrowth(
+        itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=tasks
+    )
     return growth.fit(baskets)
 
 
@@ -73,29 +68,32 @@ def basket_rules(model: FPGrowthModel) -> DataFrame:
     )
 
 
-def basket_pairs(baskets: DataFrame, sets: DataFrame) -> DataFrame:
+def basket_pairs(baskets: DataFrame, min_support: float) -> DataFrame:
     """Frequent pairs with support, confidence both ways, and lift.
 
-    ``sets`` are the ``freqItemsets`` of a model, stored because they are read
-    three times. Spark chooses by their size how to join them.
+    ``baskets`` are those of the same minimum support, stored because they are
+    read three times. Every basket yields the pairs of its frequent items, which
+    are counted in the task first: with K frequent items, K being bounded by mean
+    items of a ticket / support, a task sends at most K * (K - 1) / 2 rows.
     """
     total = baskets.agg(F.count(F.lit(1))).scalar()
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
+    single = baskets.select(F.explode("items").alias("item")).groupBy("item")
+    single = single.agg(F.count(F.lit(1)).alias("freq"))
     a = single.select(F.col("item").alias("ITEM_A"), F.col("freq").alias("n_a"))
     b = single.select(F.col("item").alias("ITEM_B"), F.col("freq").alias("n_b"))
+    ordered = baskets.select(F.array_sort("items").alias("items"))
+    placed = ordered.select("items", F.posexplode("items").alias("place", "ITEM_A"))
+    later = F.slice("items", F.col("place") + 2, F.size("items"))
     pairs = (
-        sets.where(F.size("items") == 2)
-        .withColumn("items", F.array_sort("items"))
-        .select(
-            F.col("items")[0].alias("ITEM_A"),
-            F.col("items")[1].alias("ITEM_B"),
-            F.col("freq").alias("TICKETS"),
-        )
+        placed.select("ITEM_A", F.explode(later).alias("ITEM_B"))
+        .groupBy("ITEM_A", "ITEM_B")
+        .agg(F.count(F.lit(1)).alias("TICKETS"))
+        .withColumn("total", total)
+        .where(F.col("TICKETS") >= F.ceil(F.lit(min_support) * F.col("total")))
     )
     return (
         pairs.join(a, "ITEM_A")
         .join(b, "ITEM_B")
-        .withColumn("total", total)
         .select(
             "ITEM_A",
             "ITEM_B",

@@ -42,7 +42,7 @@ def test_against_counting(spark, seed, support):
     got = {tuple(r.ITEMS.split("|")): r.TICKETS for r in basket.frequent_sets(model).collect()}
     assert got == frequent
 
-    pairs = basket.basket_pairs(baskets, model.freqItemsets).collect()
+    pairs = basket.basket_pairs(baskets, support).collect()
     assert {(r.ITEM_A, r.ITEM_B): r.TICKETS for r in pairs} == {
         s: n for s, n in frequent.items() if len(s) == 2
     }
@@ -70,6 +70,17 @@ def test_one_huge_ticket_keeps_only_frequent_items(spark):
     assert len(sizes) == 40 and set(sizes.values()) == {2}
 
 
+def test_pairs_with_a_third_of_all_lines_in_one_ticket(spark):
+    rows = [(0, f"rare{i}") for i in range(300)] + [(0, "a"), (0, "b")]
+    rows += [(t, item) for t in range(1, 150) for item in "abcd"[: t % 4 + 1]]
+    counts, tickets = _sets([r for r in rows if not r[1].startswith("rare")])
+    lines = spark.createDataFrame(rows, "ID_TICKET bigint, ITEM string").repartition(5)
+    pairs = basket.basket_pairs(basket.baskets(lines, 0.05), 0.05).collect()
+    assert {(r.ITEM_A, r.ITEM_B): r.TICKETS for r in pairs} == {
+        s: n for s, n in counts.items() if len(s) == 2 and n >= ceil(0.05 * tickets)
+    }
+
+
 def test_missing_tickets_and_items_are_left_out(spark):
     rows = [(1, "a"), (1, None), (None, "a"), (2, "a")]
     baskets = basket.baskets(spark.createDataFrame(rows, "ID_TICKET bigint, ITEM string"), 0.5)

@@ -124,9 +124,9 @@ def _two_kinds_of_customers(n=300):
 def test_churn_model_tells_leavers_from_stayers(spark):
     tickets = spark.createDataFrame(_two_kinds_of_customers(), SCHEMA)
     labels = stored(churn.churn_labels(tickets, 60))
-    quality = churn.churn_quality(labels).collect()
+    quality = churn.model_quality(labels).collect()
     assert len(quality) == 3 and all(r.AUC > 0.95 for r in quality)
-    scores = churn.churn_scores(churn.churn_model(labels), churn.current_customers(tickets))
+    scores = churn.model_scores(churn.churn_model(labels), churn.current_customers(tickets))
     rows = scores.collect()
     assert len(rows) == 300 and all(0 <= r.CHURN_PROBABILITY <= 1 for r in rows)
     leavers = [r.CHURN_PROBABILITY for r in rows if r.ID_CLI % 2 == 0]
@@ -134,25 +134,71 @@ def test_churn_model_tells_leavers_from_stayers(spark):
     assert min(leavers) > max(stayers)
 
 
-def test_targets_are_the_largest_risks_with_their_email_habits(spark):
+def _quality(rows):
+    """Pairs in order, by counting them all."""
+    order = [(p > q) + (p == q) / 2 for p, c in rows for q, d in rows if c and not d]
+    return sum(order) / len(order) if order else None
+
+
+def test_ranking_quality_is_exact(spark):
+    rng = random.Random(3)
+    rows = [(fold, rng.randint(0, 9) / 9, rng.random() < 0.4) for fold in range(3) for _ in range(200)]
+    rows += [(7, 0.5, True), (8, 0.5, False)]
+    counts = spark.createDataFrame(
+        [(f, p, int(c), int(not c)) for f, p, c in rows],
+        "FOLD int, CHURN_PROBABILITY double, positive int, negative int",
+    )
+    got = {r.FOLD: r.AUC for r in churn.ranking_quality(counts).collect()}
+    for fold in got:
+        want = _quality([(p, c) for f, p, c in rows if f == fold])
+        assert got[fold] == (want if want is None else pytest.approx(want, rel=1e-12))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_churn_rates_scores_and_quality(spark, seed):
+    tickets = spark.createDataFrame(_tickets(seed, customers=90, tickets=700), SCHEMA)
+    labels = stored(churn.churn_labels(tickets, 60))
+    limits = rfm.rfm_limits(labels)
+    scored = rfm.with_scores(labels, limits)
+    rows = scored.collect()
+
+    def rate(cell, others):
+        for alike in (cell, cell[:1], ()):
+            found = [r.CHURNED for r in others if (r.R_SCORE, r.F_SCORE, r.M_SCORE)[: len(alike)] == alike]
+            if found:
+                return sum(found) / len(found)
+
+    rates = churn.churn_rates(scored)
+    got = {(r.R_SCORE, r.F_SCORE, r.M_SCORE): r.CHURN_PROBABILITY for r in rates.collect()}
+    assert len(got) == 125 and all(got[c] == pytest.approx(rate(c, rows)) for c in got)
+    customers = churn.current_customers(tickets)
+    current = {r.ID_CLI: (r.R_SCORE, r.F_SCORE, r.M_SCORE) for r in rfm.with_scores(customers, limits).collect()}
+    scores = {r.ID_CLI: r.CHURN_PROBABILITY for r in churn.churn_scores(customers, limits, rates).collect()}
+    assert scores == {i: got[c] for i, c in current.items()}
+    quality = {r.FOLD: r.AUC for r in churn.churn_quality(scored).collect()}
+    for fold in range(3):
+        others = [r for r in rows if r.ID_CLI % 3 != fold]
+        held = [(rate((r.R_SCORE, r.F_SCORE, r.M_SCORE), others), r.CHURNED) for r in rows if r.ID_CLI % 3 == fold]
+        assert quality[fold] == pytest.approx(_quality(held))
+
+
+def test_everyone_at_risk_with_their_email_habits(spark):
     scores = spark.createDataFrame(
         [(1, 3, 1, 100.0, 0.5), (2, 3, 1, 30.0, 0.9), (3, 3, 1, 60.0, 0.9)],
         "ID_CLI bigint, RECENCY int, FREQUENCY bigint, MONETARY double, CHURN_PROBABILITY double",
     )
-    targets = churn.churn_targets(scores, n=2)
-    assert [r.ID_CLI for r in targets.collect()] == [3, 1]
+    risks = churn.money_at_risk(scores)
+    assert {r.ID_CLI: r.MONEY_AT_RISK for r in risks.collect()} == {1: 50.0, 2: 27.0, 3: 54.0}
     day = "2019-01-02T10:00:00"
     rows = [(10, 1, 1, 1, "S", day), (11, 1, 1, 1, "V", day), (12, 1, 1, 2, "S", day),
             (13, 2, 1, 1, "S", day), (14, None, 1, 1, "S", day)]
-    events = churn.events_of(targets, type_events(event_frame(spark, rows)))
-    assert sorted(r.ID_EVENT for r in events.collect()) == [10, 11, 12]
-    out = churn.with_engagement(targets, email_funnel(events, campaign_frame(spark)))
-    assert sorted_rows(out.select("ID_CLI", "OPENS", "CLICKS", "SENDS")) == [(0, 1, 1, 2), (0, 3, 0, 0)]
-
-
-def test_engagement_of_targets_is_that_of_the_whole_funnel(spark, sf_dir):
-    targets = stored(QUERIES["churn_targets"](spark, sf_dir))
-    plain = targets.drop("SENDS", "OPENS", "CLICKS")
-    whole = churn.with_engagement(plain, QUERIES["funnel"](spark, sf_dir))
-    assert sorted_rows(whole) == sorted_rows(targets)
-    assert whole.where("SENDS > 0").count() > 0
+    funnel = email_funnel(type_events(event_frame(spark, rows)), campaign_frame(spark))
+    out = churn.with_engagement(risks, funnel)
+    assert sorted_rows(out.select("ID_CLI", "OPENS", "CLICKS", "SENDS")) == [
+        (0, 1, 1, 2), (0, 2, 0, 1), (0, 3, 0, 0),
+    ]
+
+
+def test_nobody_scored_is_left_out_of_the_targets(spark, sf_dir):
+    targets, scores = (QUERIES[q](spark, sf_dir) for q in ("churn_targets", "churn_scores"))
+    assert targets.count() == scores.count() > 100
