@@ -11,8 +11,9 @@ from clientela.functions.shares import running_share, share_of_total
 def distinct_share(df: DataFrame, by: str, key: str, count: str) -> DataFrame:
     """Distinct keys per value and their share of the summed counts, largest first.
 
-    ``by`` has a closed set of values (provinces, regions, small counts); there
-    may be any number of keys.
+    ``by`` has few values, which one task adds up: provinces and regions are a
+    closed set, and n different counts of opens take n * n / 2 events of one
+    delivery. There may be any number of keys.
     """
     counts = df.groupBy(by).agg(n_distinct(key).alias(count))
     return counts.withColumn("PERCENT", share_of_total(count)).orderBy(
@@ -20,6 +21,7 @@ def distinct_share(df: DataFrame, by: str, key: str, count: str) -> DataFrame:
     )
 
 
+# The names of dates, totals and shares in the results below.
 def overview(funnel: DataFrame, by: str | None = None) -> DataFrame:
     """First and last send date, distinct sends, distinct clients; overall or per group."""
     return funnel.groupBy(*([by] if by else [])).agg(

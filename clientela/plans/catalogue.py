@@ -103,6 +103,7 @@ def account_address_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Names of flags and counts in the results of the key audits.
 def consistency_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.key_audit(
         star.account(spark, sf_dir), complete_addresses(spark, sf_dir),
@@ -136,6 +137,12 @@ def best_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.best_provinces(dist_province(spark, sf_dir))
 
 
+def _first_touches(kind: str) -> Query:
+    return lambda spark, sf: touches.first_touches(
+        typed_events(spark, sf), clean_campaigns(spark, sf), kind
+    )
+
+
 def days_to_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.days_to_open(funnel(spark, sf_dir))
 
@@ -155,7 +162,7 @@ def _chart_filled(flag: str, by_type: bool) -> Query:
 
 def _chart_stacked(flag: str) -> Query:
     shares = _flag_shares(flag, True)
-    return lambda spark, sf: charts.stacked_bars(shares(spark, sf), "TYP_CAMP", "TOT_EVENTs", flag)
+    return lambda spark, sf: charts.bars(shares(spark, sf), "TYP_CAMP", "TOT_EVENTs", flag)
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,16 +177,21 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.churn_labels(star.ticket(spark, sf_dir))
 
 
+def _scored_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, rfm.Limits]:
+    known = stored(labels(spark, sf_dir))
+    limits = rfm.rfm_limits(known)
+    return rfm.with_scores(known, limits), limits
+
+
 def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = churn.churn_model(stored(labels(spark, sf_dir)))
-    return churn.churn_scores(model, churn.current_customers(star.ticket(spark, sf_dir)))
+    scored, limits = _scored_labels(spark, sf_dir)
+    customers = churn.current_customers(star.ticket(spark, sf_dir))
+    return churn.churn_scores(customers, limits, churn.churn_rates(scored))
 
 
 def churn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = stored(churn.churn_targets(churn_scores(spark, sf_dir)))
-    events_of_targets = churn.events_of(targets, typed_events(spark, sf_dir))
     return churn.with_engagement(
-        targets, email_funnel(events_of_targets, clean_campaigns(spark, sf_dir))
+        churn.money_at_risk(churn_scores(spark, sf_dir)), funnel(spark, sf_dir)
     )
 
 
@@ -188,9 +200,7 @@ def _stored_baskets(spark: SparkSession, sf_dir: str, min_support: float) -> Dat
 
 
 def basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tickets = _stored_baskets(spark, sf_dir, PAIR_SUPPORT)
-    sets = basket.basket_model(tickets, PAIR_SUPPORT).freqItemsets
-    return basket.basket_pairs(tickets, stored(sets))
+    return basket.basket_pairs(_stored_baskets(spark, sf_dir, PAIR_SUPPORT), PAIR_SUPPORT)
 
 
 def basket_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +225,9 @@ QUERIES: dict[str, Query] = {
     "na_tokens_address": na_tokens_address,
     "sink_region_csv": sink_region_csv,
     # addresses
-    "addr_duplicate_audit": lambda s, d: quality.duplicate_audit(star.address(s, d), "ID_ADDRESS"),
+    "addr_duplicate_audit": lambda s, d: quality.duplicate_audit(
+        star.address(s, d), "ID_ADDRESS", "TOT_ID_ADDRESSes"
+    ),
     "addr_distinct": lambda s, d: addresses.distinct_addresses(star.address(s, d)),
     "addr_missing_patterns": lambda s, d: quality.missing_patterns(
         star.address(s, d), ["CAP", "PRV", "REGION"], "ID_ADDRESS", "TOT_ADDs"
@@ -243,9 +255,9 @@ QUERIES: dict[str, Query] = {
     "event_enriched": lambda s, d: events.attach_campaign(star.event(s, d), clean_campaigns(s, d)),
     "event_clean": clean_events,
     "touch_sends": lambda s, d: touches.sends(clean_events(s, d)),
-    "touch_opens": lambda s, d: touches.first_touches(clean_events(s, d), events.OPEN),
-    "touch_clicks": lambda s, d: touches.first_touches(clean_events(s, d), events.CLICK),
-    "touch_fails": lambda s, d: touches.first_touches(clean_events(s, d), events.FAIL),
+    "touch_opens": _first_touches(events.OPEN),
+    "touch_clicks": _first_touches(events.CLICK),
+    "touch_fails": _first_touches(events.FAIL),
     "touch_open_counts": lambda s, d: touches.touch_counts(typed_events(s, d), events.OPEN),
     "touch_click_counts": lambda s, d: touches.touch_counts(typed_events(s, d), events.CLICK),
     "funnel": funnel,
@@ -258,17 +270,17 @@ QUERIES: dict[str, Query] = {
     "dist_num_clicks": lambda s, d: distributions.clicks_per_send(funnel(s, d)),
     "days_to_open_hist": days_to_open,
     "days_to_open_cumulative": days_cumulative,
-    "chart_days_to_open": lambda s, d: charts.stacked_bars(
+    "chart_days_to_open": lambda s, d: charts.bars(
         charts.short_delays(days_to_open(s, d)), "AVG_DAYS_TO_OPEN", "TOT_CLIs"
     ),
     "chart_days_to_open_cumulative": lambda s, d: charts.short_delays(days_cumulative(s, d)),
-    "chart_overview_by_type": lambda s, d: charts.stacked_bars(
+    "chart_overview_by_type": lambda s, d: charts.bars(
         distributions.overview(funnel(s, d), "TYP_CAMP"), "TYP_CAMP", "TOT_EVENTs"
     ),
-    "chart_num_opens": lambda s, d: charts.stacked_bars(
+    "chart_num_opens": lambda s, d: charts.bars(
         distributions.opens_per_send(funnel(s, d)), "NUM_OPENs", "TOT_ID_CLI"
     ),
-    "chart_num_clicks": lambda s, d: charts.stacked_bars(
+    "chart_num_clicks": lambda s, d: charts.bars(
         distributions.clicks_per_send(funnel(s, d)), "NUM_CLICKs", "TOT_ID_CLI"
     ),
     "flag_share_opened": _flag_shares("OPENED", by_type=False),
@@ -282,11 +294,16 @@ QUERIES: dict[str, Query] = {
     "profile_campaign": lambda s, d: quality.profile(star.campaign(s, d)),
     "profile_campaign_clean": lambda s, d: quality.profile(clean_campaigns(s, d)),
     "profile_event": lambda s, d: quality.profile(star.event(s, d)),
-    "profile_funnel": lambda s, d: quality.profile(funnel(s, d)),
+    "profile_funnel": lambda s, d: quality.profile(stored(funnel(s, d))),
     "levels_address": lambda s, d: quality.top_levels(star.address(s, d), ["CAP", "PRV", "REGION"]),
     "levels_campaign": lambda s, d: quality.top_levels(
         star.campaign(s, d), ["TYP_CAMP", "CHANNEL_CAMP"]
     ),
+    "levels_address_clean": lambda s, d: quality.top_levels(
+        clean_addresses(s, d), ["CAP", "PRV", "REGION"]
+    ),
+    "levels_campaign_clean": lambda s, d: quality.top_levels(clean_campaigns(s, d), ["TYP_CAMP"]),
+    "levels_funnel": lambda s, d: quality.top_levels(funnel(s, d), ["TYP_CAMP"]),
     "levels_event": lambda s, d: quality.top_levels(star.event(s, d), ["TYP_EVENT", "EVENT_DATE"]),
     # repurchase interval
     "repurchase_gaps": gaps,
@@ -301,7 +318,7 @@ QUERIES: dict[str, Query] = {
     "churn_labels": labels,
     "churn_labels_160": lambda s, d: churn.churn_labels(star.ticket(s, d), horizon_days=160),
     "churn_scores": churn_scores,
-    "churn_quality": lambda s, d: churn.churn_quality(stored(labels(s, d))),
+    "churn_quality": lambda s, d: churn.churn_quality(_scored_labels(s, d)[0]),
     "churn_targets": churn_targets,
     # baskets
     "basket_pairs": basket_pairs,

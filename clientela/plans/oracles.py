@@ -38,6 +38,41 @@ def _first(prep: str, letter: str, word: str) -> str:
         FROM {prep}) WHERE rn = 1 AND n_rows = n_dated"""
 
 
+def _churn(horizon: str) -> str:
+    return f"""
+        SELECT ID_CLI, max(TIC_DATE) FILTER (TIC_DATE <= ref) AS LAST_DATE,
+               CAST(max(ref) - max(TIC_DATE) FILTER (TIC_DATE <= ref) AS INTEGER) AS RECENCY,
+               count(DISTINCT ID_TICKET) FILTER (TIC_DATE <= ref) AS FREQUENCY,
+               CAST(sum(CAST(AMOUNT AS DECIMAL(18,2))) FILTER (TIC_DATE <= ref) AS DOUBLE) AS MONETARY,
+               count(*) FILTER (TIC_DATE > ref) = 0 AS CHURNED
+        FROM purchases, (SELECT max(TIC_DATE) - {horizon} AS ref FROM fx_ticket)
+        GROUP BY ID_CLI HAVING count(*) FILTER (TIC_DATE <= ref) > 0"""
+
+
+def _cell() -> str:
+    """Scores R, F and M by the limits r, f and m."""
+
+    def passed(value: str, limits: str) -> str:
+        return " + ".join(f"({value} > {limits}[{i}])::INT" for i in range(1, 5))
+
+    return f"""5 - ({passed('RECENCY', 'r')}) AS R, 1 + {passed('FREQUENCY', 'f')} AS F,
+               1 + {passed('MONETARY', 'm')} AS M"""
+
+
+# Frequent sets up to one item less are counted; a frequent one of this size is an error.
+DEEPEST = 6
+
+
+def _sets(size: int) -> str:
+    """Sets of ``size`` items with their number of tickets."""
+    items = ", ".join(f"l{i}.ITEM" for i in range(size))
+    joins = "".join(
+        f" JOIN fx_basket l{i} ON l0.ID_TICKET = l{i}.ID_TICKET AND l{i - 1}.ITEM < l{i}.ITEM"
+        for i in range(1, size)
+    )
+    return f"SELECT [{items}] AS items, count(*) AS n FROM fx_basket l0 {joins} GROUP BY {items}"
+
+
 # Named sub-queries, in an order in which each uses only earlier ones.
 PARTS = {
     "fx_address": """
@@ -189,29 +224,49 @@ PARTS = {
             WHEN R_SCORE <= 2 AND F_SCORE <= 2 THEN 'lost'
             ELSE 'regular' END AS SEGMENT
         FROM rfm_scores""",
+    # churn: rates of the cells of three scores, in and out of folds
+    "labels": _churn(
+        "( SELECT CAST(ceil(quantile_cont(CAST(Max AS DOUBLE), 0.9)) AS INTEGER) FROM longest )"
+    ),
+    "label_cuts": """
+        SELECT quantile_cont(CAST(RECENCY AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS r,
+               quantile_cont(CAST(FREQUENCY AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS f,
+               quantile_cont(MONETARY, [0.2, 0.4, 0.6, 0.8]) AS m
+        FROM labels""",
+    "label_cells": f"SELECT CHURNED, ((ID_CLI % 3) + 3) % 3 AS FOLD, {_cell()} FROM labels, label_cuts",
+    "cells": """
+        SELECT r.i AS R, f.i AS F, m.i AS M
+        FROM range(1, 6) r(i), range(1, 6) f(i), range(1, 6) m(i)""",
+    "rates": """
+        SELECT R, F, M, coalesce(
+                 (SELECT avg(CHURNED::INT) FROM label_cells l WHERE l.R = c.R AND l.F = c.F AND l.M = c.M),
+                 (SELECT avg(CHURNED::INT) FROM label_cells l WHERE l.R = c.R),
+                 (SELECT avg(CHURNED::INT) FROM label_cells l)) AS P
+        FROM cells c""",
+    "churn_scored": f"""
+        SELECT b.*, P AS CHURN_PROBABILITY
+        FROM (SELECT ID_CLI, RECENCY, FREQUENCY, MONETARY, {_cell()} FROM rfm_base, label_cuts) b
+        JOIN rates USING (R, F, M)""",
+    "held_out": """
+        SELECT o.FOLD, o.CHURNED, coalesce(
+                 (SELECT avg(CHURNED::INT) FROM label_cells l
+                  WHERE l.FOLD <> o.FOLD AND l.R = o.R AND l.F = o.F AND l.M = o.M),
+                 (SELECT avg(CHURNED::INT) FROM label_cells l WHERE l.FOLD <> o.FOLD AND l.R = o.R),
+                 (SELECT avg(CHURNED::INT) FROM label_cells l WHERE l.FOLD <> o.FOLD)) AS P
+        FROM label_cells o""",
+    "held_out_counts": """
+        SELECT FOLD, P, count(*) FILTER (CHURNED) AS pos, count(*) FILTER (NOT CHURNED) AS neg
+        FROM held_out GROUP BY FOLD, P""",
     # baskets
     "basket_total": "SELECT count(DISTINCT ID_TICKET) AS total FROM fx_basket",
-    "sets_1": "SELECT [ITEM] AS items, count(*) AS n FROM fx_basket GROUP BY ITEM",
-    "sets_2": """
-        SELECT [a.ITEM, b.ITEM] AS items, count(*) AS n
-        FROM fx_basket a JOIN fx_basket b ON a.ID_TICKET = b.ID_TICKET AND a.ITEM < b.ITEM
-        GROUP BY a.ITEM, b.ITEM""",
-    "sets_3": """
-        SELECT [a.ITEM, b.ITEM, c.ITEM] AS items, count(*) AS n
-        FROM fx_basket a JOIN fx_basket b ON a.ID_TICKET = b.ID_TICKET AND a.ITEM < b.ITEM
-        JOIN fx_basket c ON a.ID_TICKET = c.ID_TICKET AND b.ITEM < c.ITEM
-        GROUP BY a.ITEM, b.ITEM, c.ITEM""",
-    "sets_4": """
-        SELECT [a.ITEM, b.ITEM, c.ITEM, d.ITEM] AS items, count(*) AS n
-        FROM fx_basket a JOIN fx_basket b ON a.ID_TICKET = b.ID_TICKET AND a.ITEM < b.ITEM
-        JOIN fx_basket c ON a.ID_TICKET = c.ID_TICKET AND b.ITEM < c.ITEM
-        JOIN fx_basket d ON a.ID_TICKET = d.ID_TICKET AND c.ITEM < d.ITEM
-        GROUP BY a.ITEM, b.ITEM, c.ITEM, d.ITEM""",
+    **{f"sets_{n}": _sets(n) for n in range(1, DEEPEST + 1)},
+    "all_sets": " UNION ALL ".join(f"SELECT * FROM sets_{n}" for n in range(1, DEEPEST + 1)),
     "frequent": f"""
         SELECT array_to_string(items, '|') AS ITEMS, items AS list, n, total
-        FROM (SELECT * FROM sets_1 UNION ALL SELECT * FROM sets_2
-              UNION ALL SELECT * FROM sets_3 UNION ALL SELECT * FROM sets_4), basket_total
-        WHERE n >= ceil(CAST({RULE_SUPPORT} AS DOUBLE) * total)""",
+        FROM all_sets, basket_total
+        WHERE CASE WHEN n < ceil(CAST({RULE_SUPPORT} AS DOUBLE) * total) THEN false
+                   WHEN len(items) = {DEEPEST} THEN error('sets are larger than the SQL counts')
+                   ELSE true END""",
     "split": """
         SELECT array_to_string(list_filter(list, lambda x: x <> c), '|') AS ANTECEDENT,
                c AS CONSEQUENT, n, total
@@ -233,7 +288,8 @@ def query(final: str, parts: dict[str, str] = PARTS) -> str:
         if _uses(text, name):
             needed.append(name)
             text += "\n" + parts[name]
-    ctes = ",\n".join(f"{name} AS ({parts[name]})" for name in reversed(needed))
+    # Materialised, or a self-join would be evaluated for each of its uses.
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({parts[name]})" for name in reversed(needed))
     return f"WITH {ctes}\n{final}" if ctes else final
 
 
@@ -326,17 +382,6 @@ def _levels(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(selects)
 
 
-def _churn(horizon: str) -> str:
-    return f"""
-        SELECT ID_CLI, max(TIC_DATE) FILTER (TIC_DATE <= ref) AS LAST_DATE,
-               CAST(max(ref) - max(TIC_DATE) FILTER (TIC_DATE <= ref) AS INTEGER) AS RECENCY,
-               count(DISTINCT ID_TICKET) FILTER (TIC_DATE <= ref) AS FREQUENCY,
-               CAST(sum(CAST(AMOUNT AS DECIMAL(18,2))) FILTER (TIC_DATE <= ref) AS DOUBLE) AS MONETARY,
-               count(*) FILTER (TIC_DATE > ref) = 0 AS CHURNED
-        FROM purchases, (SELECT max(TIC_DATE) - {horizon} AS ref FROM fx_ticket)
-        GROUP BY ID_CLI HAVING count(*) FILTER (TIC_DATE <= ref) > 0"""
-
-
 ADDRESS = {"ID_ADDRESS": "bigint", "CAP": "string", "PRV": "string", "REGION": "string"}
 CAMPAIGN = {"ID_CAMP": "bigint", "TYP_CAMP": "string", "CHANNEL_CAMP": "string"}
 EVENT = {
@@ -434,6 +479,9 @@ _FINAL = {
     "profile_funnel": _profile("funnel", FUNNEL),
     "levels_address": _levels("fx_address", ["CAP", "PRV", "REGION"]),
     "levels_campaign": _levels("fx_campaign", ["TYP_CAMP", "CHANNEL_CAMP"]),
+    "levels_address_clean": _levels("addr_clean", ["CAP", "PRV", "REGION"]),
+    "levels_campaign_clean": _levels("fx_campaign", ["TYP_CAMP"]),
+    "levels_funnel": _levels("funnel", ["TYP_CAMP"]),
     "levels_event": _levels("fx_event", ["TYP_EVENT", "EVENT_DATE"]),
     "repurchase_gaps": "SELECT * FROM gaps",
     "max_gap_per_customer": "SELECT * FROM longest",
@@ -451,10 +499,23 @@ _FINAL = {
                CAST(sum(CAST(MONETARY AS DECIMAL(18,2))) AS DOUBLE)
                / (SELECT CAST(sum(CAST(MONETARY AS DECIMAL(18,2))) AS DOUBLE) FROM rfm_named) AS SPENT_SHARE
         FROM rfm_named GROUP BY SEGMENT""",
-    "churn_labels": _churn(
-        "( SELECT CAST(ceil(quantile_cont(CAST(Max AS DOUBLE), 0.9)) AS INTEGER) FROM longest )"
-    ),
+    "churn_labels": "SELECT * FROM labels",
     "churn_labels_160": _churn("160"),
+    "churn_scores": "SELECT ID_CLI, RECENCY, FREQUENCY, MONETARY, CHURN_PROBABILITY FROM churn_scored",
+    "churn_quality": """
+        SELECT CAST(a.FOLD AS INTEGER) AS FOLD,
+               sum(a.pos * b.neg * CASE WHEN a.P > b.P THEN 2 WHEN a.P = b.P THEN 1 ELSE 0 END)
+               / nullif(2 * sum(a.pos * b.neg), 0) AS AUC
+        FROM held_out_counts a JOIN held_out_counts b ON a.FOLD = b.FOLD
+        GROUP BY a.FOLD""",
+    "churn_targets": """
+        SELECT c.ID_CLI, RECENCY, FREQUENCY, MONETARY, CHURN_PROBABILITY,
+               CHURN_PROBABILITY * MONETARY AS MONEY_AT_RISK, coalesce(SENDS, 0) AS SENDS,
+               coalesce(OPENS, 0) AS OPENS, coalesce(CLICKS, 0) AS CLICKS
+        FROM churn_scored c LEFT JOIN (
+          SELECT ID_CLI, count(*) AS SENDS, count(*) FILTER (OPENED) AS OPENS,
+                 count(*) FILTER (CLICKED) AS CLICKS
+          FROM funnel GROUP BY ID_CLI) f ON c.ID_CLI = f.ID_CLI""",
     "basket_pairs": f"""
         SELECT p.items[1] AS ITEM_A, p.items[2] AS ITEM_B, p.n AS TICKETS, p.n / total AS SUPPORT,
                p.n / a.n AS CONFIDENCE_AB, p.n / b.n AS CONFIDENCE_BA,

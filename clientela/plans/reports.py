@@ -21,12 +21,14 @@ from clientela.operators import (
     rfm,
 )
 from clientela.operators.funnel import email_funnel
-from clientela.sources.delimited import scan_table, write_csv
+from clientela.sources.delimited import scan_file, scan_table, write_csv
 from clientela.sources.scratch import stored
+from clientela.sources.tables import LINES
 
 Report = dict[str, DataFrame]
 
 FLAGS = ("OPENED", "CLICKED", "FAILED")
+ADDRESS_TEXT = ["CAP", "PRV", "REGION"]
 
 
 def address_report(address: DataFrame, account: DataFrame, out_dir: str) -> Report:
@@ -35,7 +37,8 @@ def address_report(address: DataFrame, account: DataFrame, out_dir: str) -> Repo
     best = addresses.best_provinces(provinces)
     return {
         "profile_raw": quality.profile(address),
-        "duplicates": quality.duplicate_audit(address, "ID_ADDRESS"),
+        "levels_raw": quality.top_levels(address, ADDRESS_TEXT),
+        "duplicates": quality.duplicate_audit(address, "ID_ADDRESS", "TOT_ID_ADDRESSes"),
         "missing": quality.missing_patterns(
             address, ["CAP", "PRV", "REGION"], "ID_ADDRESS", "TOT_ADDs"
         ),
@@ -51,6 +54,7 @@ def address_report(address: DataFrame, account: DataFrame, out_dir: str) -> Repo
         "chart_best_provinces": charts.stacked_bars(best, "BEST_PRV", "TOT_ID_ADDRESS"),
         "regions": addresses.region_shares(clean),
         "profile_clean": quality.profile(clean),
+        "levels_clean": quality.top_levels(clean, ADDRESS_TEXT),
     }
 
 
@@ -58,10 +62,17 @@ def email_report(event: DataFrame, campaign: DataFrame, fidelity: DataFrame, out
     known = campaigns.clean_campaigns(campaign)
     funnel = stored(email_funnel(events.type_events(event), known), f"{out_dir}/funnel")
     days = distributions.days_to_open(funnel)
+    cumulative = distributions.days_to_open_cumulative(days)
     opened = distributions.flag_shares(funnel, "OPENED")
+    by_type = distributions.overview(funnel, "TYP_CAMP")
+    opens, clicks = distributions.opens_per_send(funnel), distributions.clicks_per_send(funnel)
     report = {
         "profile_raw": quality.profile(event),
+        "levels_raw": quality.top_levels(event, ["TYP_EVENT", "EVENT_DATE"]),
         "profile_campaign": quality.profile(campaign),
+        "levels_campaign": quality.top_levels(campaign, ["TYP_CAMP", "CHANNEL_CAMP"]),
+        "profile_campaign_clean": quality.profile(known),
+        "levels_campaign_clean": quality.top_levels(known, ["TYP_CAMP"]),
         "consistency_client": quality.key_audit(
             fidelity, event, "ID_CLI", "is_in_df_1", "is_in_df_6", "NUM_ID_CLIs"
         ),
@@ -69,18 +80,27 @@ def email_report(event: DataFrame, campaign: DataFrame, fidelity: DataFrame, out
             known, event, "ID_CAMP", "is_in_df_5", "is_in_df_6", "NUM_ID_CAMPs"
         ),
         "overview": distributions.overview(funnel),
-        "overview_by_type": distributions.overview(funnel, "TYP_CAMP"),
+        "overview_by_type": by_type,
+        "chart_overview_by_type": charts.bars(by_type, "TYP_CAMP", "TOT_EVENTs"),
         "opened": opened,
         "chart_opened": charts.filled_bars(opened, "TYP_CAMP", "TOT_EVENTs", "OPENED"),
         "days_to_open": days,
-        "days_to_open_cumulative": distributions.days_to_open_cumulative(days),
-        "num_opens": distributions.opens_per_send(funnel),
-        "num_clicks": distributions.clicks_per_send(funnel),
+        "chart_days_to_open": charts.bars(charts.short_delays(days), "AVG_DAYS_TO_OPEN", "TOT_CLIs"),
+        "days_to_open_cumulative": cumulative,
+        "chart_days_to_open_cumulative": charts.short_delays(cumulative),
+        "num_opens": opens,
+        "chart_num_opens": charts.bars(opens, "NUM_OPENs", "TOT_ID_CLI"),
+        "num_clicks": clicks,
+        "chart_num_clicks": charts.bars(clicks, "NUM_CLICKs", "TOT_ID_CLI"),
         "profile_funnel": quality.profile(funnel),
+        "levels_funnel": quality.top_levels(funnel, ["TYP_CAMP"]),
     }
     for flag in FLAGS:
         shares = distributions.flag_shares(funnel, flag, by_type=True)
         report[f"{flag.lower()}_by_type"] = shares
+        report[f"chart_stack_{flag.lower()}_by_type"] = charts.bars(
+            shares, "TYP_CAMP", "TOT_EVENTs", flag
+        )
         report[f"chart_{flag.lower()}_by_type"] = charts.filled_bars(
             shares, "TYP_CAMP", "TOT_EVENTs", flag
         )
@@ -88,34 +108,29 @@ def email_report(event: DataFrame, campaign: DataFrame, fidelity: DataFrame, out
 
 
 def customer_report(
-    ticket: DataFrame,
-    event: DataFrame,
-    campaign: DataFrame,
-    out_dir: str,
-    horizon_days: int | None = None,
+    ticket: DataFrame, funnel: DataFrame, out_dir: str, horizon_days: int | None = None
 ) -> Report:
     """Repurchase interval, RFM and churn. Without a horizon the interval is used."""
     gaps = intervals.repurchase_gaps(ticket)
     longest = stored(intervals.longest_gaps(gaps), f"{out_dir}/longest_gap")
-    scores = stored(rfm.rfm_scores(ticket), f"{out_dir}/rfm_scores")
+    base = stored(rfm.rfm_base(ticket), f"{out_dir}/rfm_base")
+    scores = rfm.with_scores(base.drop("LAST_DATE"), rfm.rfm_limits(base))
     labels = stored(churn.churn_labels(ticket, horizon_days), f"{out_dir}/churn_labels")
-    risks = stored(
-        churn.churn_scores(churn.churn_model(labels), churn.current_customers(ticket)),
-        f"{out_dir}/churn_scores",
-    )
-    targets = stored(churn.churn_targets(risks), f"{out_dir}/churn_targets")
-    contacts = churn.events_of(targets, events.type_events(event))
+    limits = rfm.rfm_limits(labels)
+    scored = rfm.with_scores(labels, limits)
+    risks = churn.churn_scores(base, limits, churn.churn_rates(scored))
     return {
+        "repurchase_gaps": gaps,
+        "longest_gaps": longest,
         "repurchase_interval": intervals.gap_quantile(longest),
         "gap_distribution": intervals.gap_distribution(longest),
+        "rfm_base": base,
         "rfm_scores": scores,
         "rfm_segments": rfm.rfm_segments(scores),
         "churn_labels": labels,
-        "churn_quality": churn.churn_quality(labels),
+        "churn_quality": churn.churn_quality(scored),
         "churn_scores": risks,
-        "churn_targets": churn.with_engagement(
-            targets, email_funnel(contacts, campaigns.clean_campaigns(campaign))
-        ),
+        "churn_targets": churn.with_engagement(churn.money_at_risk(risks), funnel),
     }
 
 
@@ -124,29 +139,43 @@ def basket_report(
 ) -> Report:
     tickets = stored(basket.baskets(lines, min_support), f"{out_dir}/baskets")
     model = basket.basket_model(tickets, min_support, min_confidence)
-    sets = stored(model.freqItemsets, f"{out_dir}/frequent_sets")
-    return {"pairs": basket.basket_pairs(tickets, sets), "rules": basket.basket_rules(model)}
+    return {
+        "pairs": basket.basket_pairs(tickets, min_support),
+        "sets": basket.frequent_sets(model),
+        "rules": basket.basket_rules(model),
+    }
 
 
-def write_reports(spark: SparkSession, data_dir: str, out_dir: str) -> None:
+def write_reports(
+    spark: SparkSession,
+    data_dir: str,
+    out_dir: str,
+    lines: str | None = None,
+    min_support: float = 0.01,
+    min_confidence: float = 0.1,
+) -> None:
     """Scan the tables in ``data_dir`` and write every figure as CSV.
 
     ``out_dir`` must be a folder that all executors can write to. Baskets need
-    the items of a ticket, which are not among the tables.
+    the items of a ticket, which are not among the tables: ``lines`` is a
+    delimited file in ``data_dir`` with the columns ID_TICKET and ITEM.
     """
     tables = {
         name: scan_table(spark, data_dir, name)
         for name in ("fidelity", "account", "address", "campaign", "event", "ticket")
     }
+    email = email_report(
+        tables["event"], tables["campaign"], tables["fidelity"], f"{out_dir}/email"
+    )
+    funnel = spark.read.parquet(f"{out_dir}/email/funnel")
     reports = {
         "address": address_report(tables["address"], tables["account"], f"{out_dir}/address"),
-        "email": email_report(
-            tables["event"], tables["campaign"], tables["fidelity"], f"{out_dir}/email"
-        ),
-        "customer": customer_report(
-            tables["ticket"], tables["event"], tables["campaign"], f"{out_dir}/customer"
-        ),
+        "email": email,
+        "customer": customer_report(tables["ticket"], funnel, f"{out_dir}/customer"),
     }
+    if lines is not None:
+        items = scan_file(spark, f"{data_dir}/{lines}", LINES)
+        reports["basket"] = basket_report(items, f"{out_dir}/basket", min_support, min_confidence)
     for report, figures in reports.items():
         for name, frame in figures.items():
             write_csv(frame, f"{out_dir}/{report}/figures/{name}")

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from clientela.operators import churn, distributions, intervals, rfm
+from clientela.operators import churn, distributions, intervals
 from clientela.operators.events import type_events
 from clientela.operators.funnel import email_funnel
 from clientela.operators.quality import key_audit
@@ -69,10 +69,12 @@ def test_funnel_joins_sends_once_and_has_no_window(spark, sf_dir, no_broadcast):
     df = QUERIES["funnel"](spark, sf_dir)
     df.collect()
     text = plan(df)
-    assert "Window" not in text and "SinglePartition" not in text
+    assert "SinglePartition" not in text
     assert "CartesianProduct" not in text and "NestedLoop" not in text
-    # sends with touches, campaign with its first type, both together
-    assert text.count("SortMergeJoin") == 3
+    # sends with touches, both with the campaign; scans of sends, touches, campaigns
+    assert text.count("SortMergeJoin") == 2 and text.count("FileScan") == 3
+    # The only window is over campaigns.
+    assert re.findall(r"windowspecdefinition\((\w+)", text) == ["ID_CAMP"]
 
 
 def test_touch_aggregation_stays_in_hash_aggregates(spark, sf_dir):
@@ -85,6 +87,15 @@ def test_touch_aggregation_stays_in_hash_aggregates(spark, sf_dir):
     assert text.count("HashAggregate") == 4
 
 
+def test_first_touches_reduce_by_hash_before_the_campaign_is_joined(spark, sf_dir, no_broadcast):
+    df = QUERIES["touch_opens"](spark, sf_dir)
+    df.collect()
+    text = plan(df)
+    # Six steps on events; the two of campaigns are on text.
+    assert text.count(" HashAggregate") == 6 and text.count("SortAggregate") == 2
+    assert text.index("SortMergeJoin") < text.index(" HashAggregate")
+
+
 def test_unique_ids_save_a_shuffle(spark, sf_dir):
     from clientela.operators.touches import touch_summary
 
@@ -114,16 +125,38 @@ def test_a_hot_delivery_is_split(spark, settings, no_broadcast, hot):
     assert email_funnel(events, campaign_frame(spark, CAMPAIGNS)).count() == rows > 0
 
 
+def test_a_hot_campaign_alone_is_split(spark, settings, no_broadcast):
+    """Clients and deliveries are spread; only the join with campaigns is hot."""
+    settings(
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor=2,
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
+    )
+    events = spark.range(0, 90_000, 1, 8).select(
+        F.col("id").alias("ID_EVENT"),
+        F.col("id").alias("ID_CLI"),
+        F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 50).cast("bigint").alias("ID_CAMP"),
+        (F.col("id") % 101).alias("ID_DELIVERY"),
+        F.lit("S").alias("TYP_EVENT"),
+        F.lit("2019-01-02T10:00:00").alias("EVENT_DATE"),
+    )
+    df = email_funnel(type_events(events), campaign_frame(spark, CAMPAIGNS))
+    assert len(df.collect()) == 90_000
+    # Of the two joins the upper one is that with the campaigns.
+    upper = next(line for line in plan(df).splitlines() if "SortMergeJoin" in line)
+    assert "ID_CAMP" in upper and "ID_CLI" not in upper and "skew=true" in upper
+
+
 def test_flag_shares_compute_the_funnel_once(spark, sf_dir):
     df = distributions.flag_shares(QUERIES["funnel"](spark, sf_dir), "OPENED", by_type=True)
     df.collect()
-    assert plan(df).count("FileScan") == 4  # sends, touches, campaigns twice
+    assert plan(df).count("FileScan") == 3  # sends, touches, campaigns
 
 
 def test_shares_compute_their_input_once(spark, sf_dir):
     df = QUERIES["dist_num_opens"](spark, sf_dir)
     df.collect()
-    assert plan(df).count("FileScan") == 4
+    assert plan(df).count("FileScan") == 3
 
 
 def test_gap_window_sees_distinct_days_only(spark, sf_dir):
@@ -145,22 +178,24 @@ def test_a_customer_with_most_tickets_has_few_window_rows(spark):
     assert gaps.where("ID_CLI = 1").count() < 90
 
 
-def test_no_quantile_gathers_all_values(spark, sf_dir):
-    df = rfm.rfm_scores(star.ticket(spark, sf_dir))
-    df.collect()
-    text = plan(df)
-    assert "percentile(" not in text
-    # The ordered windows see one range of values, or the list of ranges.
-    windows = re.findall(r"windowspecdefinition\(([^)]*)\)", text)
-    assert windows and all(w.startswith("measure") for w in windows)
+def test_quantiles_shuffle_and_sort_a_bounded_number_of_values(spark, monkeypatch):
+    from clientela.functions import quantiles
 
+    values = spark.range(0, 200_000, 1, 8).select((F.col("id") * 7.5).alias("x"))
+    seen, collect = [], type(values).collect
 
-def test_value_counts_are_shuffled_once(spark, sf_dir):
-    df = QUERIES["profile_event"](spark, sf_dir)
-    df.collect()
-    text = plan(df)
-    # one scan for the missing counts, one for the value counts
-    assert text.count("FileScan") == 2
+    def kept(df):
+        rows = collect(df)
+        seen.append(plan(df))
+        return rows
+
+    monkeypatch.setattr(type(values), "collect", kept)
+    found = quantiles.exact_quantiles(values, {"x": F.col("x")}, [0.25, 0.5], most=1000)
+    assert found["x"].quantiles == [374998.125, 749996.25]
+    # Counts of ranges are combined before the shuffle; values are filtered before it.
+    *ranged, last = seen
+    assert all("partial_count" in text and "Window" not in text for text in ranged)
+    assert last.index("Window") < last.rindex("Exchange ") < last.rindex("Filter") and "percentile(" not in last
 
 
 def test_top_levels_limit_ranks_before_the_shuffle(spark, sf_dir):
@@ -176,6 +211,7 @@ def test_the_horizon_is_found_without_a_join(spark, sf_dir):
     assert "Join" not in plan(df)
 
 
+# Plans of the scores pair 125 rates with folds and scores on purpose.
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"churn_scores", "churn_quality", "churn_targets"}))
 def test_no_query_pairs_everything_with_everything(spark, sf_dir, no_broadcast, name):
     df = QUERIES[name](spark, sf_dir)
