@@ -109,7 +109,9 @@ def churn_quality(scored: DataFrame) -> DataFrame:
         {x: F.sum(f"own_{x}").over(all_folds) - F.col(f"own_{x}") for x in ("n", "c")}
     )
     return ranking_quality(
-        _with_rate(others, "FOLD").select(
+        _with_rate(others, "FOLD")
+        .where("own_n > 0")
+        .select(
             "FOLD", "CHURN_PROBABILITY", F.col("own_c").alias("positive"), (F.col("own_n") - F.col("own_c")).alias("negative")
         )
     )
