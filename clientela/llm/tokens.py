@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
-# Words that normalisation and splitting leave in one run of letters, or in one
-# run of letters and one of ASCII punctuation other than the apostrophe.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
-_REMEMBERED = 150_000
+# A run of letters that normalisation leaves one run, and ASCII punctuation other
+# than the apostrophe after it.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_REMEMBERED = 120_000
 _AT_ONCE = 2000
 
 
@@ -17,12 +18,14 @@ class WordTokenizer:
     """Ids of a text by a tokenizer that drops white space and ends words.
 
     White space separates the pieces that such a tokenizer encodes, so a text's
-    ids are those of its words one after another. Frequent words are encoded
-    once; two generations of ``_REMEMBERED`` words bound what is remembered.
-    New plain words are encoded together and cut at the tokens that end a word.
+    ids are those of its words one after another, and those of a word those of
+    its letters and of the punctuation after them. Each is encoded once; two
+    generations of ``_REMEMBERED`` words bound what is remembered. New runs of
+    letters are encoded together and cut at the tokens that end a run.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -32,45 +35,55 @@ class WordTokenizer:
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> None:
-        plain, runs, rest = [], [], []
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(one.ids, "<u4") for one in found]
+
+    def _missing(self, words: set[bytes]) -> list[bytes]:
+        """Words not remembered; those of the older generation are young again."""
+        missing = []
+        for word in words.difference(self._young):
+            known = self._old.get(word)
+            if known is None:
+                missing.append(word)
+            else:
+                self._young[word] = known
+        return missing
+
+    def _learn(self, words: list[bytes]) -> None:
+        letters, others, joined = set(), set(), []
         for word in words:
             match = _PLAIN.fullmatch(word)
-            if match:
-                plain.append(word)
-                runs.append(2 if match[2] else 1)
+            if match is None:
+                others.add(word)
+            elif match[2]:
+                joined.append((word, *match.groups()))
+                letters.add(match[1])
+                others.add(match[2])
             else:
-                rest.append(word)
-        for start in range(0, len(plain), _AT_ONCE):
-            part = plain[start : start + _AT_ONCE]
-            text = b" ".join(part).decode()
-            ids = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self._ends[ids])[np.cumsum(runs[start : start + _AT_ONCE]) - 1]
-            whole = ids.tobytes()
-            begin = 0
-            for word, end in zip(part, ((last + 1) * 4).tolist(), strict=True):
+                letters.add(word)
+        new = self._missing(letters)
+        for start in range(0, len(new), _AT_ONCE):
+            part = new[start : start + _AT_ONCE]
+            (ids,) = self._ids([b" ".join(part).decode()])
+            whole, begin = ids.tobytes(), 0
+            for word, end in zip(part, ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist(), strict=True):
                 self._young[word] = whole[begin:end]
                 begin = end
-        for word in rest:
-            ids = self._tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self._young[word] = np.array(ids, "<u4").tobytes()
+        new = self._missing(others)
+        for word, ids in zip(new, self._ids([w.decode(errors="replace") for w in new]), strict=True):
+            self._young[word] = ids.tobytes()
+        for word, letters_, tail in joined:
+            self._young[word] = self._young[letters_] + self._young[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [text.split() for text in texts]
-        words = set().union(*split)
+        # Ids do not depend on case, but for special tokens written out.
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
         if len(self._young) > _REMEMBERED:
             self._old, self._young = self._young, {}
-        unknown = words.difference(self._young)
-        new = []
-        for word in unknown:
-            known = self._old.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                self._young[word] = known
-        self._encode(new)
-        return [b"".join(map(self._young.__getitem__, text)) for text in split]
+        self._learn(self._missing(set().union(*split)))
+        return [b"".join(map(self._young.__getitem__, words)) for words in split]
 
 
 _loaded: dict[str, WordTokenizer] = {}
