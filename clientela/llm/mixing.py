@@ -22,10 +22,11 @@ STATISTICS = {
     "n_words": (0, 20, 60, 150, 400, 1000, 4000),
     "symbol_share": (0.0, 0.002, 0.01, 0.03, 0.08, 0.15),
     "upper_share": (0.0, 0.02, 0.05, 0.1, 0.3),
-    "word_length": (2.0, 3.5, 4.5, 5.5, 7.0, 9.0),
+    "word_length": (3.0, 4.5, 5.5, 6.5, 8.0, 10.0),
     "distinct_share": (0.1, 0.2, 0.35, 0.5, 0.7, 0.9),
 }
 SYMBOLS = "#*$%&|<>!"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Bounds of the sample that the classifier learns from and of its vocabulary.
 MOST_LABELLED = 20_000
@@ -47,28 +48,30 @@ class DomainModel:
 
 
 def described(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and the statistics and distinct words of each text; null as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """``keep`` and the statistics and distinct words of each text; null as empty.
+
+    Words are in lower case, without ASCII punctuation, between ASCII white space.
+    """
+    own = [F.col(c).alias(f"{c}_") for c in keep]
+    found = docs.select(*own, F.coalesce(F.col("text"), F.lit("")).alias("text_"))
     chars = F.char_length("text_")
-    without = lambda set_: chars - F.char_length(F.translate("text_", set_, ""))
-    words = F.filter(F.split(F.lower("text_"), r"[^\p{L}]+"), lambda w: w != "")
-    found = docs.select(*(F.col(c).alias(f"{c}_") for c in keep), text.alias("text_")).select(
-        *(F.col(f"{c}_") for c in keep),
+    stripped = F.translate(F.lower("text_"), PUNCTUATION, "")
+    found = found.select(
+        *(f"{c}_" for c in keep),
         chars.alias("n_chars"),
-        without(SYMBOLS).alias("n_symbols"),
-        without(CAPITALS).alias("n_upper"),
-        without(" \t\n\x0b\x0c\r").alias("n_blank"),
-        F.regexp_count("text_", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"),
-        words.alias("all_words"),
+        (chars - F.char_length(F.translate("text_", SYMBOLS, ""))).alias("n_symbols"),
+        (chars - F.char_length(F.translate("text_", CAPITALS, ""))).alias("n_upper"),
+        F.array_remove(F.split(stripped, r"[ \t-\r]+"), "").alias("all_words"),
     )
     found = found.withColumn("words", F.array_distinct("all_words"))
+    n_words = F.size("all_words")
     return found.select(
         *(F.col(f"{c}_").alias(c) for c in keep),
-        "n_words",
+        n_words.cast("long").alias("n_words"),
         F.try_divide("n_symbols", "n_chars").alias("symbol_share"),
         F.try_divide("n_upper", "n_chars").alias("upper_share"),
-        F.try_divide(F.col("n_chars") - F.col("n_blank"), "n_words").alias("word_length"),
-        F.try_divide(F.size("words"), F.size("all_words")).alias("distinct_share"),
+        F.try_divide(F.col("n_chars"), n_words).alias("word_length"),
+        F.try_divide(F.size("words"), n_words).alias("distinct_share"),
         "words",
     )
 
