@@ -1,12 +1,12 @@
-"""Helpers for functions that Spark calls with Arrow batches."""
+"""Helpers: slices of Arrow batches, new names, values computed once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 CHUNK_BYTES = 1 << 20
 
@@ -44,3 +44,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name in taken:
         name = f"_{name}"
     return name
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used.
+
+    A lambda that names a column may see its definition instead, once the
+    optimiser has moved it, and compute it anew for every element.
+    """
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -10,6 +10,7 @@ from math import log2
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clientela.llm.batches import bound
 from clientela.sources.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +30,29 @@ MOST_WRONG = 0.1
 GROW, PRUNE = 0, 1
 
 
+def _repeated(words: Column) -> Column:
+    """Words in windows of three that occur twice or more."""
+
+    def in_twice(ranked: Column) -> Column:
+        twice = F.filter(
+            ranked,
+            lambda x, k: (x["h"] == F.get(ranked, k - 1)["h"]) | (x["h"] == F.get(ranked, k + 1)["h"]),
+        )
+        covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+        return F.size(F.array_distinct(covered))
+
+    def in_windows(hashes: Column) -> Column:
+        ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        some_twice = F.size(hashes) > F.size(F.array_distinct(hashes))
+        return F.when(some_twice, bound(ranked, in_twice)).otherwise(0)
+
+    places = F.sequence(F.lit(0), F.size(words) - 3)
+    hashes = F.transform(
+        places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    )
+    return F.when(F.size(words) > 2, bound(hashes, in_windows)).otherwise(0)
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts of the whole text, and their shares.
 
@@ -39,52 +63,33 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     sorted within the document, so repetitive texts take no longer than others.
     Null counts as empty, and a share of nothing is 0. Other columns are not read.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole"))
     n_chars = F.char_length("whole")
 
     def without(chars: str) -> Column:
         return F.char_length(F.translate("whole", chars, ""))
 
     lines = F.filter(F.split("whole", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    found = text.select(
+    words = F.regexp_extract_all("whole", F.lit(WORD), F.lit(0))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole")).select(
         "doc_id",
         n_chars.alias("n_chars"),
         without(BLANKS).alias("word_chars"),
         (n_chars - without(SYMBOLS)).alias("n_symbols"),
         (n_chars - without(CAPITALS)).alias("n_upper"),
         (n_chars - without("!?")).alias("n_marks"),
-        lines.alias("lines"),
-        F.regexp_extract_all("whole", F.lit(WORD), F.lit(0)).alias("words"),
+        bound(
+            lines,
+            lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")),
+        ).alias("lines"),
+        bound(words, lambda x: F.struct(F.size(x).alias("n"), _repeated(x).alias("repeat"))).alias("words"),
     )
-    counts = ("doc_id", "n_chars", "word_chars", "n_symbols", "n_upper", "n_marks")
     found = found.select(
-        *counts,
-        F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.size("words").alias("n_words"),
-        F.when(
-            F.size("words") > 2,
-            F.transform(
-                F.sequence(F.lit(0), F.size("words") - 3),
-                lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
-            ),
-        )
-        .otherwise(F.array().cast("array<long>"))
-        .alias("windows"),
-    )
-    counts += ("n_lines", "n_dup_lines", "n_words")
-    sorted_ = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    some_twice = F.size("windows") > F.size(F.array_distinct("windows"))
-    found = found.select(
-        *counts,
-        F.when(some_twice, sorted_).otherwise(F.array().cast("array<struct<h:long,i:int>>")).alias("ranked"),
-    )
-    twice = F.filter(
-        "ranked",
-        lambda x, k: (x["h"] == F.get("ranked", k - 1)["h"]) | (x["h"] == F.get("ranked", k + 1)["h"]),
+        *("doc_id", "n_chars", "word_chars", "n_symbols", "n_upper", "n_marks"),
+        F.col("lines.n").alias("n_lines"),
+        F.col("lines.dup").alias("n_dup_lines"),
+        F.col("words.n").alias("n_words"),
+        F.col("words.repeat").alias("n_repeat_words"),
     )
-    covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-    found = found.select(*counts, F.size(F.array_distinct(covered)).alias("n_repeat_words"))
 
     def share(part: str, whole: str) -> Column:
         return F.coalesce(F.try_divide(part, whole), F.lit(0.0))

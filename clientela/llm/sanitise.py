@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from clientela.llm.batches import as_batch, text_chunks, texts_of
+from clientela.llm.batches import as_batch, bound, text_chunks, texts_of
 from clientela.sources.scratch import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -272,21 +272,25 @@ def disclosures(docs: DataFrame) -> DataFrame:
     joined = found.drop("near").join(
         other, found["doc_id"].eqNullSafe(other["id"]) & (found["text_hash"] == other["hash"]), "left"
     )
-    base = F.transform(
-        F.filter(F.split("base", ","), lambda s: s != ""),
+    base = F.filter(F.split("base", ","), lambda s: s != "")
+    places = F.transform(
+        base,
         lambda s: F.struct(
             F.split_part(s, F.lit(":"), F.lit(2)).cast("long").alias("start"),
             F.split_part(s, F.lit(":"), F.lit(3)).cast("long").alias("end"),
         ),
     )
-    apart = F.filter(
-        "revealing",
-        lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
+    apart = bound(
+        places,
+        lambda own: F.filter(
+            "revealing",
+            lambda r: ~F.exists(own, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
+        ),
     )
-    joined = joined.withColumn("base_spans", base)
-    joined = joined.withColumn("revealing", F.coalesce(apart, F.array().cast("array<struct<action:string,start:long,end:long>>")))
+    nothing = F.array().cast("array<struct<action:string,start:long,end:long>>")
+    joined = joined.withColumn("revealing", F.when(F.col("revealing").isNotNull(), apart).otherwise(nothing))
     extra = F.transform("revealing", lambda r: F.concat_ws(":", r["action"], r["start"], r["end"]))
-    all_ = F.array_join(F.concat(F.filter(F.split("base", ","), lambda s: s != ""), extra), ",")
+    all_ = F.array_join(F.concat(base, extra), ",")
     return joined.select("doc_id", *(f"n_{k}" for k in KINDS), "base", "revealing", all_.alias("spans"), "text_hash")
 
 
