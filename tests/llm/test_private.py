@@ -1,0 +1,158 @@
+"""Personal data, terms that reveal it, and secrets."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from hypothesis import given, settings as limits, strategies as st
+
+from clientela.llm.folds import held_out
+from clientela.llm.sanitise import (
+    disclosures, find_personal_data, listed, personal_spans, revealing_terms, sanitise_documents, sanitised,
+)
+from clientela.llm.secret_scan import candidates, findings_by_syntax, judged, learn_forest, learn_text
+from clientela.sources.scratch import stored
+
+
+def literal_spans(text):
+    def luhn(digits):
+        doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+        return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+    spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            spans.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            spans.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            spans.append(("phone", *m.span()))
+    return spans
+
+
+PIECES = [
+    "a.b+c@d-e.f", "@", "x@y", "x@y.z", "..", "1.2.3.4", "256.1.1.1", "01.002.3.255.7", "4111 1111 1111 1111", "4111-1111-1111-1111",
+    "+49 (30) 123-45.67", "+1", " ", "-", "é😀", "\n", "0", "12", ".", "@a.b@c.d", "4111111111111111", "+", "word",
+]
+
+
+@limits(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+def test_spans_equal_the_plain_patterns(text):
+    assert personal_spans(text) == literal_spans(text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" + " " * 300_000, "1 " * 150_000):
+        personal_spans(text)
+
+
+@pytest.mark.parametrize("frame", ["odd", "clashing", "empty"])
+def test_odd_rows(request, frame):
+    docs = request.getfixturevalue(frame)
+    rows = disclosures(docs).collect()
+    assert len(rows) == docs.count()
+    assert all(r["spans"] == "" and r["n_email"] == 0 for r in rows)
+    assert sanitise_documents(docs).columns == docs.columns
+    assert sanitise_documents(docs).exceptAll(docs).count() == 0
+
+
+def people(make):
+    """Each of 12 values stands by its nickname thrice, in different words; the
+    nickname stands elsewhere too. Common words stand by all of them."""
+    generator = random.Random(4)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ka", "tu", "re", "so") for b in ("na", "fe", "zu", "di", "po", "ke")]
+    rows = []
+
+    def text(n):
+        return " ".join(generator.choices(words, k=n))
+
+    for who in range(12):
+        name = "nick" + "abcdefghijkl"[who] * 3
+        for _ in range(3):
+            rows.append(f"{text(30)} mail {name} at user{who}@mail.example.com {text(30)}")
+        rows.append(f"{text(40)} and {name} was here {text(20)}")
+    rows += [text(60) for _ in range(200)]
+    # The only evidence is one passage, copied.
+    rows += ["mail copycat at only@mail.example.com now"] * 4
+    return make([(i, t) for i, t in enumerate(rows)])
+
+
+def test_terms_that_reveal_a_value(make):
+    docs = people(make)
+    terms = {r["term"]: r for r in revealing_terms(docs, stored(find_personal_data(docs))).collect()}
+    assert set(terms) == set()
+    rows = {r["doc_id"]: r for r in disclosures(docs).collect()}
+    assert all(r["n_email"] == (1 if i < 48 and i % 4 != 3 or i >= 248 else 0) for i, r in rows.items())
+
+
+def test_terms_by_bits(make, monkeypatch):
+    from clientela.llm import sanitise
+
+    monkeypatch.setattr(sanitise, "GENERALISE_BITS", 2.0)
+    monkeypatch.setattr(sanitise, "REMOVE_BITS", 100.0)
+    docs = people(make)
+    terms = {r["term"]: r for r in revealing_terms(docs, stored(find_personal_data(docs))).collect()}
+    assert set(terms) == {"nick" + c * 3 for c in "abcdefghijkl"}
+    # 3 of 4 occurrences are near the value, which is 3 of 40 mentions.
+    for r in terms.values():
+        assert r["share"] == 0.75 and abs(r["bits"] - 3.3219) < 1e-3 and r["action"] == "generalised"
+    texts = {r["doc_id"]: r["text"] for r in sanitise_documents(docs).collect()}
+    assert "mail [TERM] at [EMAIL] " in texts[0] and "and [TERM] was here" in texts[3]
+    assert texts[250] == "mail copycat at [EMAIL] now"
+    rows = {r["doc_id"]: r for r in disclosures(docs).collect()}
+    source = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, r in rows.items():
+        base = literal_spans(source[i])
+        extra = [("generalised", *m.span()) for m in re.finditer("nick[a-l]{3}", source[i])]
+        assert (r["base"], r["spans"]) == (listed(base), listed(base + extra))
+
+
+def test_sanitised_texts():
+    assert sanitised(None, "") is None
+    assert sanitised("a b c", "") == "a b c"
+    assert sanitised("é x@y.z q term", "email:2:7,removed:10:14") == "é [EMAIL] q "
+    assert sanitised("1.2.3.4", "ip:0:7,card:0:7") == "[CARD]"
+
+
+def test_secrets_of_odd_rows(odd, clashing, empty):
+    for docs in (odd, clashing, empty):
+        found = candidates(docs, learn_text(docs))
+        assert found.count() == 0
+        assert learn_forest(findings_by_syntax(found)) is None
+        assert judged(found, None).columns[-2:] == ["score", "is_secret"]
+
+
+def test_candidates_and_their_features(make):
+    text = 'é token = "0123456789abcdef0123" and 4111111111111111 or /srv/data/2024-05-06-backup.tar or nodigitsinthislongword'
+    docs = make([(1, text)])
+    rows = candidates(docs, learn_text(docs)).orderBy("start").collect()
+    assert [text[r["start"] : r["end"]] for r in rows] == [
+        "0123456789abcdef0123", "4111111111111111", "/srv/data/2024-05-06-backup",
+    ]
+    assert [r["value"] for r in rows] == [text[r["start"] : r["end"]] for r in rows]
+    from clientela.llm.secret_scan import FEATURES
+
+    first, second, third = (dict(zip(FEATURES, r["features"])) for r in rows)
+    assert first["quoted"] == first["assigned"] == first["credential_before"] == 1
+    assert second["assigned"] == second["quoted"] == 0 and second["digit_share"] == 1
+    assert third["path"] == 1 and first["path"] == 0
+
+
+def test_planted_secrets_are_found_in_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = stored(candidates(docs, learn_text(docs)))
+    forest = learn_forest(findings_by_syntax(found.where(~held_out())))
+    rows = judged(found, forest).where(held_out()).collect()
+    planted = {
+        (r["doc_id"], m.start() + 9)
+        for r in docs.where(held_out()).select("doc_id", "text").collect()
+        for m in re.finditer(r'(?i)token = "[0-9a-f]{40}"', r["text"])
+    }
+    got = {(r["doc_id"], r["start"]) for r in rows if r["is_secret"]}
+    assert planted and got == planted
