@@ -5,7 +5,7 @@ differ in at most 31 values have a chunk with at most one difference, since two
 in each would make 32. So a document is indexed under every chunk with every one
 of its values left out, 64 keys, and two such documents share one of them. Texts
 whose shingle sets have a Jaccard similarity of 0.75 differ in 16 of 64 values
-on average, in more than 31 once in 70,000 pairs, at 0.8 once in 20 million.
+on average, in more than 31 once in 70,000 pairs, at 0.8 once in 12 million.
 
 Pairs under one key are not listed. First each document meets only the smallest
 of each of its keys, and verified links are merged into components. Then only

@@ -49,7 +49,44 @@ LEFT JOIN sizes USING (doc_id)
 LEFT JOIN (SELECT node, min(other) AS m FROM reach GROUP BY node) ON node = doc_id
 """
 
+# Windows are cut from blocks of 1000 bytes and 49 more, as text in hexadecimal.
+REPEATS = """
+WITH raw AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (
+  SELECT doc_id, k, substr(h, 2000 * k + 1, 2098) AS part
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM raw)
+),
+windows AS MATERIALIZED (
+  SELECT doc_id, 1000 * k + i AS pos, substr(part, 2 * i + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, least(1000, len(part) // 2 - 49))) AS i FROM blocks WHERE len(part) >= 100)
+),
+firsts AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s),
+hits AS (SELECT DISTINCT doc_id, pos FROM windows JOIN firsts USING (s) WHERE first_id < doc_id),
+marked AS (
+  SELECT *, coalesce(pos > 50 + lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), true)::INT AS opens FROM hits
+),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM marked),
+spans AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM numbered GROUP BY doc_id, n
+),
+between_ AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS rest,
+         string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS pieces
+  FROM between_ JOIN raw USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id,
+       CAST(len(h) // 2 AS BIGINT) AS n_bytes,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM raw LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": REPEATS,
     "op2_minhash_near_dedup": NEAR,
     "op8_exact_dedup": EXACT,
 }
