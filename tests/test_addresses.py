@@ -48,7 +48,7 @@ def test_cleaning_drops_duplicates_and_incomplete_rows(spark):
             (4, "1", "A", None), (None, "1", "A", "R")]
     df = spark.createDataFrame(rows, "ID_ADDRESS bigint, CAP string, PRV string, REGION string")
     assert sorted_rows(addresses.clean_addresses(df).select("ID_ADDRESS")) == [(None,), (1,)]
-    audit = quality.duplicate_audit(df, "ID_ADDRESS").first()
+    audit = quality.duplicate_audit(df, "ID_ADDRESS", "TOT_ID_ADDRESSes").first()
     assert (audit.TOT_ID_ADDRESSes, audit.TOT_ROWs) == (5, 6)
     assert sorted_rows(addresses.province_without_region(df).select("ID_ADDRESS")) == [(4,)]
     patterns = quality.missing_patterns(df, ["CAP", "PRV", "REGION"], "ID_ADDRESS", "n")
