@@ -191,7 +191,9 @@ def document_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataF
     a step has to know of the corpus is one sum per domain, and a rate follows
     from the list of steps, so there is no state but ``posteriors``: store them.
     The targets add up to the most tokens for which no domain needs repeating.
-    A domain without tokens, or with weight 0, has target 0.
+    In the end the rates are divided by the largest, if it is above 1: no document
+    is repeated, and the domains keep their shares. A domain without tokens, or
+    with weight 0, has target 0.
     """
     domains = list(weights)
 
@@ -211,7 +213,8 @@ def document_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataF
             break
         steps.append(step)
         now = totals(steps)
-    return posteriors.withColumn("rate", _rate(domains, steps))
+    largest = posteriors.agg(F.max(_rate(domains, steps))).first()[0] or 1.0
+    return posteriors.withColumn("rate", _rate(domains, steps) / F.lit(max(1.0, largest)))
 
 
 def copies(rate: Column, doc_id: Column, seed: int = 0) -> Column:

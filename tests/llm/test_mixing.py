@@ -29,9 +29,10 @@ def test_rates_equal_projected_gradient_in_numpy(spark, monkeypatch):
         if abs(step).max() < 1e-6:
             break
         want = np.maximum(0, want - p @ step)
-    assert np.allclose(rate, want, atol=1e-9)
-    assert (rate >= 0).all() and (rate == 0).any()
-    assert np.abs((rate * tokens) @ p - target).max() / target.sum() < 0.2
+    assert np.allclose(rate, want / want.max(), atol=1e-9)
+    assert rate.min() == 0 and rate.max() == 1
+    totals = (rate * tokens) @ p
+    assert np.abs(totals / totals.sum() - target / target.sum()).max() < 0.1
 
 
 def labels(spark, docs):
@@ -69,6 +70,7 @@ def test_targets_are_met_and_clean_documents_stay(spark):
     found = rates.join(labelled, "doc_id").groupBy("domain").agg(F.avg("copies").alias("n"))
     mean = {r["domain"]: r["n"] for r in found.collect()}
     assert mean["good"] > 0.98 and mean["poor"] < 0.7 and mean["toxic"] < 0.7
+    assert rates.agg(F.max("copies")).first()[0] == 1
     # A document stays as often as its rate says.
     sums = rates.agg(F.sum("copies"), F.sum("rate")).first()
     assert abs(sums[0] / sums[1] - 1) < 0.05
