@@ -105,17 +105,25 @@ def _signed(value: bytes | str) -> int:
 
 def _near(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """Of each value: its hash, the hash of its surroundings, and the terms there."""
+    places = sorted((start, end) for _, start, end in spans)
+    opens = np.array([start for start, _ in places])
+    ends = np.maximum.accumulate([end for _, end in places])
+
+    def apart(start: int, end: int) -> bool:
+        before = np.searchsorted(opens, end)
+        return before == 0 or ends[before - 1] <= start
+
     terms = [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text)]
-    starts = np.array([t[0] for t in terms])
-    inside = sorted((start, end) for _, start, end in spans)
+    starts = np.array([start for start, _, _ in terms])
     found = []
     for kind, start, end in spans:
-        here = int(np.searchsorted(starts, start))
-        after = int(np.searchsorted(starts, end))
+        here, after = np.searchsorted(starts, (start, end))
         around = terms[max(0, here - NEAR) : here] + terms[after : after + NEAR]
-        words = [w for a, b, w in around if not any(s < b and a < e for s, e in inside)]
+        words = [word for a, b, word in around if apart(a, b)]
         value = re.sub(r"[ ().-]", "", text[start:end]).lower() if kind != "ip" else text[start:end]
-        found.append({"value": _signed(f"{kind} {value}"), "around": _signed(" ".join(words)), "terms": sorted(set(words))})
+        found.append(
+            {"value": _signed(f"{kind} {value}"), "around": _signed(" ".join(words)), "terms": sorted(set(words))}
+        )
     return found
 
 

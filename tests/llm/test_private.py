@@ -10,7 +10,7 @@ from hypothesis import given, settings as limits, strategies as st
 
 from clientela.llm.folds import held_out
 from clientela.llm.sanitise import (
-    disclosures, find_personal_data, listed, personal_spans, revealing_terms, sanitise_documents, sanitised,
+    _near, disclosures, find_personal_data, listed, personal_spans, revealing_terms, sanitise_documents, sanitised,
 )
 from clientela.llm.secret_scan import candidates, findings_by_syntax, judged, learn_forest, learn_text
 from clientela.sources.scratch import stored
@@ -50,6 +50,8 @@ def test_spans_equal_the_plain_patterns(text):
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" + " " * 300_000, "1 " * 150_000):
         personal_spans(text)
+    many = "call 1.2.3.4 now " * 30_000
+    assert len(_near(many, personal_spans(many))) == 30_000
 
 
 @pytest.mark.parametrize("frame", ["odd", "clashing", "empty"])
