@@ -3,15 +3,19 @@
 A classifier learned from a labelled table gives each document a probability of
 every domain. Its tokens then belong to all domains by those probabilities, and
 document rates are fitted so that the expected tokens of the domains, rate x
-tokens x probability, meet the targets. DataFrame functions only.
+tokens x probability, meet the targets. The clean domain sets the scale: others
+are lowered to their weight beside it, and scarce ones fall short. DataFrame
+functions only; the driver solves for one number per domain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from math import log
+from math import inf, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientela.llm.batches import free_name
@@ -36,6 +40,12 @@ LEAST_DOCUMENTS = 10
 LEAST_LIFT = 3.0
 MOST_STEPS = 40
 CLOSE = 1e-6
+# Parts of a Newton step that one pass tries, and the most passes.
+TRIED = (4.0, 1.0, 0.25, 0.05, 0.01, 0.0005)
+MOST_PASSES = 60
+# Domains with a smaller share of the tokens do not set the scale, and smaller
+# weights count as this one: probabilities are never quite 0.
+NEGLIGIBLE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -134,8 +144,13 @@ def fit_domains(
         p = (rows.get(domain, none).get(f"word_{i}", 0) + 0.5) / (size[domain] + 1)
         return log(p), log(1 - p)
 
+    # A domain without labels has no probability, unless none has labels.
+    priors = {
+        d: log((size[d] + 1) / (sum(size.values()) + len(domains))) if size[d] or not counts else -inf
+        for d in domains
+    }
     return DomainModel(
-        {d: log((size[d] + 1) / (sum(size.values()) + len(domains))) for d in domains},
+        priors,
         {d: {s: bin_logs(d, s) for s in STATISTICS} for d in domains},
         {d: {w: word_logs(d, i) for i, w in enumerate(vocabulary)} for d in domains},
     )
@@ -190,7 +205,8 @@ def document_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataF
     scaled by a document's tokens, so a rate depends on probabilities alone. All
     a step has to know of the corpus is one sum per domain, and a rate follows
     from the list of steps, so there is no state but ``posteriors``: store them.
-    The targets add up to the most tokens for which no domain needs repeating.
+    Steps end after ``MOST_STEPS``, whether or not the targets are met, and the
+    scarcest domain sets the scale: queries use ``clean_rates`` instead. The targets add up to the most tokens for which no domain needs repeating.
     In the end the rates are divided by the largest, if it is above 1: no document
     is repeated, and the domains keep their shares. A domain without tokens, or
     with weight 0, has target 0.
@@ -217,6 +233,103 @@ def document_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataF
     return posteriors.withColumn("rate", _rate(domains, steps) / F.lit(max(1.0, largest)))
 
 
+@dataclass(frozen=True)
+class Sums:
+    """What one pass finds for some prices: the dual's value, slopes and curvature."""
+
+    value: float
+    slopes: np.ndarray
+    curves: np.ndarray
+    tokens: float
+
+
+def _solved(sums: Callable[[list[np.ndarray]], list[Sums]], n: int) -> tuple[np.ndarray, float]:
+    """Nonnegative prices by Newton steps on the concave dual, and the largest
+    excess left, as a share of the tokens taken. Each pass tries several parts of a step."""
+    prices = np.zeros(n)
+    now = sums([prices])[0]
+    total = now.tokens
+    for _ in range(MOST_PASSES):
+        free = (prices > 0) | (now.slopes > 0)
+        unmet = np.abs(now.slopes[free]).max(initial=0.0) / max(now.tokens, NEGLIGIBLE * total, 1e-300)
+        if unmet < CLOSE:
+            break
+        curves = now.curves[np.ix_(free, free)] + np.eye(free.sum()) * 1e-9 * total
+        step = np.zeros(n)
+        step[free] = np.linalg.solve(curves, now.slopes[free])
+        trials = [np.maximum(0.0, prices + part * step) for part in TRIED]
+        found = sums(trials)
+        best = max(range(len(trials)), key=lambda i: found[i].value)
+        if found[best].value <= now.value:
+            break
+        prices, now = trials[best], found[best]
+    return prices, float(unmet)
+
+
+def clean_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """``posteriors`` with a ``rate`` from 0 to 1 per document.
+
+    The domain with the largest weight (the first of several, without those of a
+    negligible share of the tokens) is the clean one. Of all rates at which no
+    other domain has more expected tokens than its weight beside the clean one's,
+    these are the closest to 1, by squares weighted with tokens: 1 - sum of
+    price x (p_domain - weight / clean weight x p_clean), cut to 0 and 1. Documents
+    of the clean domain keep rate 1 however rare the others are; a domain that has
+    too little is taken whole and falls short, with a warning. Nothing is repeated.
+    The prices solve the dual problem, one number per domain: store ``posteriors``,
+    which each of some ten passes reads.
+    """
+    domains = list(weights)
+    has = posteriors.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in domains)).first()
+    has = {d: float(x or 0) for d, x in zip(domains, has, strict=True)}
+    total, wanted = sum(has.values()), sum(weights.values())
+    if not total:
+        return posteriors.withColumn("rate", F.lit(1.0))
+    present = [d for d in domains if weights[d] > 0 and has[d] >= NEGLIGIBLE * total]
+    if not present:
+        return posteriors.withColumn("rate", F.lit(0.0))
+    clean = max(present, key=weights.get)
+    others = [d for d in domains if d != clean]
+    limits = {d: max(weights[d], NEGLIGIBLE * wanted) / weights[clean] for d in others}
+    over = [F.col(f"p_{d}") - F.lit(limits[d]) * F.col(f"p_{clean}") for d in others]
+
+    def cost(prices: np.ndarray) -> Column:
+        return sum((F.lit(float(x)) * o for x, o in zip(prices, over, strict=True)), F.lit(0.0))
+
+    def rate(prices: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cost(prices)))
+
+    def sums(trials: list[np.ndarray]) -> list[Sums]:
+        size, wide, n = F.col("tokens"), [], len(others)
+        for prices in trials:
+            taken = rate(prices)
+            moves = F.when((cost(prices) >= 0) & (cost(prices) <= 1), size).otherwise(0)
+            wide.append(F.sum(size * ((1 - taken) * (1 - taken) / 2 + taken * cost(prices))))
+            wide += [F.sum(size * taken)]
+            wide += [F.sum(size * taken * o) for o in over]
+            wide += [F.sum(moves * over[i] * over[j]) for i in range(n) for j in range(i, n)]
+        row = np.array([float(x) for x in posteriors.agg(*wide).first()]).reshape(len(trials), -1)
+        found = []
+        for one in row:
+            curves = np.zeros((n, n))
+            curves[np.triu_indices(n)] = one[2 + n :]
+            curves = curves + np.triu(curves, 1).T
+            found.append(Sums(one[0], one[2 : 2 + n], curves, one[1]))
+        return found
+
+    prices, _ = _solved(sums, len(others))
+    rates = posteriors.withColumn("rate", rate(prices))
+    kept = rates.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")) for d in domains)).first()
+    kept = {d: float(x) for d, x in zip(domains, kept, strict=True)}
+    for d in others:
+        target = weights[d] / weights[clean] * kept[clean]
+        if kept[d] < target * (1 - NEGLIGIBLE):
+            warnings.warn(f"{d} has {kept[d]:.6g} of {target:.6g} wanted tokens", stacklevel=2)
+    if kept[clean] < 0.5 * has[clean]:
+        warnings.warn(f"{clean} keeps {kept[clean]:.6g} of {has[clean]:.6g} tokens", stacklevel=2)
+    return rates
+
+
 def copies(rate: Column, doc_id: Column, seed: int = 0) -> Column:
     """How often a document is taken: the rate, rounded by the document's hash."""
     uniform = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
@@ -231,7 +344,7 @@ def mix_domains(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, floa
     taken alike.
     """
     model = fit_domains(docs, labelled, list(weights))
-    rates = document_rates(stored(domain_posteriors(docs, model)), weights)
+    rates = clean_rates(stored(domain_posteriors(docs, model)), weights)
     return rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 

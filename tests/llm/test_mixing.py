@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientela.llm import mixing
-from clientela.llm.mixing import document_rates, mix_domains, mixed_documents
+from clientela.llm.mixing import clean_rates, document_rates, mix_domains, mixed_documents
 from clientela.llm.queries import WEIGHTS, domain_labels
 
 
@@ -81,3 +81,25 @@ def test_copies_are_rows(spark, make):
     none = docs.select("doc_id", F.lit("a").alias("domain"))
     rows = mixed_documents(docs, none, {"a": 1.0}).collect()
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in rows) == [-1, *range(400)]
+
+
+@pytest.mark.parametrize("rare", [0, 1, 10])
+@pytest.mark.filterwarnings("ignore:toxic has")
+def test_clean_documents_stay_where_a_domain_is_rare(make, rare):
+    texts = ["plain words about some matter %d" % i for i in range(800)]
+    texts += ["#buy $cheap *deal* |now| <click>" for _ in range(200 - rare)] + ["vile foul nasty words"] * rare
+    docs = make(list(enumerate(texts)))
+    domain = F.when(F.col("doc_id") < 800, "good").when(F.col("doc_id") < 1000 - rare, "poor").otherwise("toxic")
+    labelled = docs.select("doc_id", domain.alias("domain"))
+    rows = mix_domains(docs, labelled, WEIGHTS).collect()
+    rate = np.array([r["rate"] for r in sorted(rows, key=lambda r: r["doc_id"])])
+    assert rate[:800].mean() > 0.99 and rate[800 : 1000 - rare].mean() < 0.7
+    assert rate.max() == 1 and (not rare or rate[1000 - rare :].mean() > 0.9)
+
+
+def test_scarce_domains_fall_short_visibly(spark):
+    rows = [(i, 100, 0.999, 0.001) if i < 999 else (i, 100, 0.01, 0.99) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, tokens long, p_a double, p_b double")
+    with pytest.warns(UserWarning, match="b has"):
+        rates = clean_rates(frame, {"a": 0.9, "b": 0.1})
+    assert rates.agg(F.min("rate")).first()[0] == 1
