@@ -40,8 +40,10 @@ LEAST_DOCUMENTS = 10
 LEAST_LIFT = 3.0
 MOST_STEPS = 40
 CLOSE = 1e-6
-# Parts of a Newton step that one pass tries, and the most passes.
-TRIED = (4.0, 1.0, 0.25, 0.05, 0.01, 0.0005)
+# Parts of a Newton step, and of a step scaled by the diagonal, that one pass
+# tries, and the most passes.
+TRIED = (4.0, 1.0, 0.25, 0.05, 0.002)
+TRIED_DIAGONAL = (1.0, 0.1, 0.003)
 MOST_PASSES = 60
 # Domains with a smaller share of the tokens do not set the scale, and smaller
 # weights count as this one: probabilities are never quite 0.
@@ -245,7 +247,9 @@ class Sums:
 
 def _solved(sums: Callable[[list[np.ndarray]], list[Sums]], n: int) -> tuple[np.ndarray, float]:
     """Nonnegative prices by Newton steps on the concave dual, and the largest
-    excess left, as a share of the tokens taken. Each pass tries several parts of a step."""
+    excess left, as a share of the tokens taken. Each pass tries several parts of
+    two steps, and the one with the highest value counts. Fails if it cannot bring
+    the excess below ``CLOSE``."""
     prices = np.zeros(n)
     now = sums([prices])[0]
     total = now.tokens
@@ -253,17 +257,19 @@ def _solved(sums: Callable[[list[np.ndarray]], list[Sums]], n: int) -> tuple[np.
         free = (prices > 0) | (now.slopes > 0)
         unmet = np.abs(now.slopes[free]).max(initial=0.0) / max(now.tokens, NEGLIGIBLE * total, 1e-300)
         if unmet < CLOSE:
-            break
+            return prices, float(unmet)
         curves = now.curves[np.ix_(free, free)] + np.eye(free.sum()) * 1e-9 * total
         step = np.zeros(n)
         step[free] = np.linalg.solve(curves, now.slopes[free])
+        scaled = np.where(free, now.slopes / (np.diag(now.curves) + 1e-9 * total), 0.0)
         trials = [np.maximum(0.0, prices + part * step) for part in TRIED]
+        trials += [np.maximum(0.0, prices + part * scaled) for part in TRIED_DIAGONAL]
         found = sums(trials)
         best = max(range(len(trials)), key=lambda i: found[i].value)
         if found[best].value <= now.value:
             break
         prices, now = trials[best], found[best]
-    return prices, float(unmet)
+    raise ArithmeticError(f"rates miss the shares by {unmet:.3g} of the tokens taken, at prices {prices.tolist()}")
 
 
 def clean_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataFrame:
@@ -277,7 +283,8 @@ def clean_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataFram
     of the clean domain keep rate 1 however rare the others are; a domain that has
     too little is taken whole and falls short, with a warning. Nothing is repeated.
     The prices solve the dual problem, one number per domain: store ``posteriors``,
-    which each of some ten passes reads.
+    which each of some ten passes reads. Fails if the shares are not met, which is
+    so if no document has probabilities that meet them.
     """
     domains = list(weights)
     has = posteriors.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in domains)).first()
@@ -321,6 +328,8 @@ def clean_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataFram
     rates = posteriors.withColumn("rate", rate(prices))
     kept = rates.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")) for d in domains)).first()
     kept = {d: float(x) for d, x in zip(domains, kept, strict=True)}
+    if not kept[clean]:
+        raise ArithmeticError(f"no documents have shares within {limits} of {clean}: the weights are out of reach")
     for d in others:
         target = weights[d] / weights[clean] * kept[clean]
         if kept[d] < target * (1 - NEGLIGIBLE):

@@ -103,3 +103,29 @@ def test_scarce_domains_fall_short_visibly(spark):
     with pytest.warns(UserWarning, match="b has"):
         rates = clean_rates(frame, {"a": 0.9, "b": 0.1})
     assert rates.agg(F.min("rate")).first()[0] == 1
+
+
+def test_overlapping_domains_meet_their_shares(spark):
+    generator = np.random.default_rng(3)
+    p = generator.dirichlet([2, 1.5, 1], 5000)
+    tokens = generator.integers(0, 400, 5000)
+    frame = spark.createDataFrame(
+        [(i, int(t), *map(float, row)) for i, (t, row) in enumerate(zip(tokens, p))],
+        "doc_id long, tokens long, p_good double, p_poor double, p_toxic double",
+    )
+    with pytest.warns(UserWarning, match="good keeps"):
+        rate = np.array([r["rate"] for r in clean_rates(frame, WEIGHTS).orderBy("doc_id").collect()])
+    assert rate.min() == 0 and rate.max() == 1
+    totals = (rate * tokens) @ p
+    assert np.abs(totals / totals.sum() - list(WEIGHTS.values())).max() < 1e-6
+    with pytest.raises(ArithmeticError, match="out of reach"):
+        clean_rates(frame.withColumn("p_good", F.lit(0.3)).withColumn("p_poor", F.lit(0.5)), WEIGHTS)
+
+
+def test_unmet_shares_fail(monkeypatch):
+    def sums(trials):
+        return [mixing.Sums(-((x[0] - 3) ** 4), np.array([-4 * (x[0] - 3) ** 3]), np.eye(1) * 108, 1.0) for x in trials]
+
+    monkeypatch.setattr(mixing, "MOST_PASSES", 2)
+    with pytest.raises(ArithmeticError, match="miss the shares"):
+        mixing._solved(sums, 1)
