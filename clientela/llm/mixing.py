@@ -10,10 +10,12 @@ functions only; the driver solves for one number per domain.
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from math import inf, log
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,12 +34,17 @@ STATISTICS = {
 SYMBOLS = "#*$%&|<>!"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Bounds of the sample that the classifier learns from and of its vocabulary.
+# Bounds of the sample that the classifier learns from and of the words that
+# tell of one domain.
 MOST_LABELLED = 20_000
-VOCABULARY = 16
+VOCABULARY = 4000
 LEAST_DOCUMENTS = 10
-# How much more frequent than overall a word is in the domain it tells of.
+# How much more frequent than overall a word is in the domain it tells of, and
+# the log likelihood ratio by which it is so: chance reaches it once in 10^5 words.
 LEAST_LIFT = 3.0
+LEAST_SURPRISE = 10.0
+# Words' log odds are looked up by hash, in so many lists.
+BUCKETS = 4096
 MOST_STEPS = 40
 CLOSE = 1e-6
 # Parts of a Newton step, and of a step scaled by the diagonal, that one pass
@@ -115,25 +122,31 @@ def fit_domains(
     seen = seen.agg(
         F.count(F.lit(1)).alias("documents"),
         *(F.count_if(F.col("domain_") == d).alias(f"in_{i}") for i, d in enumerate(domains)),
-    ).where(F.col("documents") >= LEAST_DOCUMENTS)
+    )
+    seen = stored(seen.where(F.col("documents") >= LEAST_DOCUMENTS))
     counts = {row[0]: row[1] for row in sample.groupBy("domain_").count().collect()}
     size = {d: counts.get(d, 0) for d in domains}
     total = max(1, sum(size.values()))
-    # Log likelihood ratio of a word's spread over domains, and its highest lift.
-    surprise, lift = F.lit(0.0), F.lit(0.0)
+    # A word tells of a domain by its lift and log likelihood ratio there.
+    telling: dict[str, list[int]] = {}
     for i, d in enumerate(domains):
-        times = F.col(f"in_{i}") / (F.col("documents") * (max(size[d], 0.5) / total))
-        surprise += F.when(F.col(f"in_{i}") > 0, F.col(f"in_{i}") * F.log(times)).otherwise(0.0)
-        lift = F.greatest(lift, times)
-    telling = seen.where(lift >= LEAST_LIFT).orderBy(F.desc(surprise), "word").limit(VOCABULARY)
-    vocabulary = [row[0] for row in telling.collect()]
+        if not 0 < size[d] < total:
+            continue
+        inside, share = F.col(f"in_{i}"), size[d] / total
+        times = inside / (F.col("documents") * share)
+        outside = F.col("documents") - inside
+        rest = outside / (F.col("documents") * (1 - share))
+        surprise = inside * F.log(times) + F.when(outside > 0, outside * F.log(rest)).otherwise(0.0)
+        own = seen.where((times >= LEAST_LIFT) & (surprise >= LEAST_SURPRISE))
+        for row in own.orderBy(F.desc(surprise), "word").limit(VOCABULARY).collect():
+            telling[row["word"]] = [row[f"in_{j}"] for j in range(len(domains))]
+    vocabulary = sorted(telling)
 
     sums = [
         F.count_if(_bin(s) == b).alias(f"{s}_{b}")
         for s, limits in STATISTICS.items()
         for b in range(len(limits) + 1)
     ]
-    sums += [F.count_if(F.array_contains("words", w)).alias(f"word_{i}") for i, w in enumerate(vocabulary)]
     rows = {row["domain_"]: row.asDict() for row in sample.groupBy("domain_").agg(*sums).collect()}
     none: dict[str, int] = {}
 
@@ -142,8 +155,8 @@ def fit_domains(
         row = rows.get(domain, none)
         return [log((row.get(f"{statistic}_{b}", 0) + 1) / (size[domain] + width)) for b in range(width)]
 
-    def word_logs(domain: str, i: int) -> tuple[float, float]:
-        p = (rows.get(domain, none).get(f"word_{i}", 0) + 0.5) / (size[domain] + 1)
+    def word_logs(domain: str, word: str) -> tuple[float, float]:
+        p = (telling[word][domains.index(domain)] + 0.5) / (size[domain] + 1)
         return log(p), log(1 - p)
 
     # A domain without labels has no probability, unless none has labels.
@@ -154,10 +167,23 @@ def fit_domains(
     return DomainModel(
         priors,
         {d: {s: bin_logs(d, s) for s in STATISTICS} for d in domains},
-        {d: {w: word_logs(d, i) for i, w in enumerate(vocabulary)} for d in domains},
+        {d: {w: word_logs(d, w) for w in vocabulary} for d in domains},
     )
 
 
+def _bucket(word: Column) -> Column:
+    return (F.crc32(word.cast("binary")) % BUCKETS).cast("int")
+
+
+def _odds(model: DomainModel, vocabulary: list[str]) -> Column:
+    """Log odds of a word's presence by domain, as a constant: bucket, word, domain."""
+    buckets: list[dict[str, list[float]]] = [{} for _ in range(BUCKETS)]
+    hashes = [crc32(w.encode()) % BUCKETS for w in vocabulary]
+    for w, bucket in zip(vocabulary, hashes, strict=True):
+        buckets[bucket][w] = [present - absent for present, absent in (own[w] for own in model.words.values())]
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<double>>>")
+
+
 def domain_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens (words) and the probability ``p_<domain>`` of each domain."""
     found = described(docs, "doc_id")
@@ -167,18 +193,18 @@ def domain_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
         "doc_id",
         F.col("n_words").alias("tokens"),
         *(_bin(s).alias(f"bin_{s}") for s in STATISTICS),
-        F.array_intersect("words", F.lit(vocabulary).cast("array<string>")).alias("told"),
+        F.filter("words", lambda w: w.isin(vocabulary)).alias("told"),
+    )
+    odds_of = _odds(model, vocabulary)
+    found = found.withColumn(
+        "told", F.transform("told", lambda w: F.element_at(F.get(odds_of, _bucket(w)), w))
     )
     logs = []
     for i, d in enumerate(domains):
         value = F.lit(model.priors[d] + sum(absent for _, absent in model.words[d].values()))
         for s in STATISTICS:
             value += F.element_at(F.lit(model.bins[d][s]), F.col(f"bin_{s}") + 1)
-        present = F.map_from_arrays(
-            F.lit(vocabulary).cast("array<string>"),
-            F.lit([model.words[d][w][0] - model.words[d][w][1] for w in vocabulary]).cast("array<double>"),
-        )
-        told = F.aggregate("told", F.lit(0.0), lambda sum_, w: sum_ + F.element_at(present, w))
+        told = F.aggregate("told", F.lit(0.0), lambda sum_, odds: sum_ + F.get(odds, i))
         logs.append((value + told).alias(f"log_{i}"))
     found = found.select("doc_id", "tokens", *logs)
     top = F.greatest(*(f"log_{i}" for i in range(len(domains)))) if len(domains) > 1 else F.col("log_0")

@@ -129,3 +129,17 @@ def test_unmet_shares_fail(monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PASSES", 2)
     with pytest.raises(ArithmeticError, match="miss the shares"):
         mixing._solved(sums, 1)
+
+
+def test_a_wide_vocabulary_tells_rare_domains(make):
+    """Toxic texts of 60 kinds of words, beside poor ones with more frequent words."""
+    filler = "some plain words about the matter"
+    texts = [f"{filler} bad{i % 20}a bad{i % 20}b" for i in range(600)]
+    texts += [f"{filler} vile{i % 60}x" for i in range(900)] + [f"{filler} fine{i % 7}y" for i in range(4500)]
+    docs = make(list(enumerate(texts)))
+    domain = F.when(F.col("doc_id") < 600, "poor").when(F.col("doc_id") < 1500, "toxic").otherwise("good")
+    labelled = docs.select("doc_id", domain.alias("domain"))
+    model = mixing.fit_domains(docs, labelled, list(WEIGHTS))
+    rows = mixing.domain_posteriors(docs, model).select("doc_id", "p_toxic", "p_poor").collect()
+    for r in rows:
+        assert (r["p_toxic"] > 0.5) == (600 <= r["doc_id"] < 1500) and (r["p_poor"] > 0.5) == (r["doc_id"] < 600)
