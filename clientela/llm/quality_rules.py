@@ -141,10 +141,20 @@ class Rule:
 
 
 def _cuts(rows: DataFrame) -> dict[str, list[float]]:
-    """Midpoints between the distinct quantiles of each feature in the labelled rows."""
+    """Midpoints between the quantiles of each feature in bad and in good rows.
+
+    Each class has its own quantiles, from its least to its greatest value, so a
+    class is divided as finely however rare it is.
+    """
     steps = [i / CUTS for i in range(CUTS + 1)]
-    quantiles = rows.agg(*(F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES)).first()
-    distinct = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
+    kinds = {"bad": F.col("bad"), "good": ~F.col("bad")}
+    sums = [
+        F.percentile_approx(F.when(own, F.col(f)), steps, 10_000).alias(f"{kind}_{f}")
+        for kind, own in kinds.items()
+        for f in FEATURES
+    ]
+    quantiles = rows.agg(*sums).first()
+    distinct = {f: sorted({x for kind in kinds for x in quantiles[f"{kind}_{f}"] or []}) for f in FEATURES}
     return {f: [(a + b) / 2 for a, b in zip(q, q[1:], strict=False)] for f, q in distinct.items()}
 
 
@@ -157,9 +167,11 @@ def _bin(feature: str, cuts: list[float]) -> Column:
 def _grown(rows: DataFrame, cuts: dict[str, list[float]]) -> list[Condition]:
     """Conditions added one by one by their gain of information on bad rows.
 
-    One aggregation per condition: counts by feature and bin, of bounded size.
+    A condition has to gain the bits that it takes to name it among all, so that
+    fine cuts do not follow chance. One aggregation per condition: counts by feature and bin, of bounded size.
     """
     conditions: list[Condition] = []
+    to_name = log2(max(2, 2 * sum(map(len, cuts.values()))))
     bins = F.array(*(F.struct(F.lit(f).alias("feature"), _bin(f, cuts[f]).alias("bin")) for f in FEATURES))
     binned = rows.select("bad", *FEATURES, F.explode(bins).alias("at")).select("*", "at.feature", "at.bin")
     while len(conditions) < MOST_CONDITIONS:
@@ -182,7 +194,7 @@ def _grown(rows: DataFrame, cuts: dict[str, list[float]]) -> list[Condition]:
                     gain = bad * (log2(bad / (bad + good)) - before)
                     if best is None or gain > best[0]:
                         best = gain, Condition(feature, above, float(cut))
-        if best is None or best[0] <= 1e-9:
+        if best is None or best[0] <= to_name:
             break
         conditions.append(best[1])
     return conditions
@@ -214,19 +226,20 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
     """Decision list from rows of statistics with a boolean ``bad``; nulls are ignored.
 
     Sequential covering: a rule is grown on two thirds of the rows, pruned on the
-    rest, and the rows it covers are taken out before the next. Learning stops at
+    rest, and the rows it covers are taken out before the next, which has cuts of
+    its own from the rows left. Learning stops at
     the first rule that fails on the pruning rows. No labels, or labels of one
     kind, give no rules.
     """
     rows = labelled.where("bad is not null").select("bad", *FEATURES, (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).alias("held"))
     rows = stored(rows)
-    cuts = _cuts(rows)
     rules: list[Rule] = []
     while len(rules) < MOST_RULES:
         left = rows
         for rule in rules:
             left = left.where(~rule.holds())
-        rule = _pruned(left.where("held"), _grown(left.where("not held"), cuts))
+        grow = left.where("not held")
+        rule = _pruned(left.where("held"), _grown(grow, _cuts(grow)))
         if rule is None:
             break
         rules.append(rule)

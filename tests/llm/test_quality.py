@@ -88,6 +88,22 @@ def test_no_rules_from_labels_of_one_kind_or_noise(spark):
     assert learn_rules(statistics_frame(spark, []).where("false")) == []
 
 
+def test_rules_separate_rare_documents_in_a_long_tail(spark):
+    """1 % poor documents between the good ones and a few good ones far beyond."""
+    generator = random.Random(7)
+    rows = []
+    for i in range(6000):
+        bad = i % 100 == 0
+        x = generator.uniform(0.03, 0.5) if bad else generator.uniform(0, 0.01)
+        rows.append((i, bad, 100.0, 5.0, x if bad or i % 1500 != 1 else 20.0 + i, 0.0, 0.0, 0.0, 0.0))
+    frame = statistics_frame(spark, rows)
+    holds = F.lit(False)
+    for rule in learn_rules(frame):
+        holds = holds | rule.holds()
+    counts = frame.agg(F.count_if(holds & F.col("bad")), F.count_if(holds & ~F.col("bad"))).first()
+    assert counts[0] >= 59 and counts[1] <= 6
+
+
 def test_first_rule_that_holds_is_named(make):
     text = "word #a " * 30 + "$ more words to read in here " * 20
     rules = [Rule((Condition("symbol_share", True, 0.9),)), Rule((Condition("symbol_share", True, 0.0), Condition("n_words", True, 10.0)))]
