@@ -85,8 +85,91 @@ SELECT doc_id,
 FROM raw LEFT JOIN kept USING (doc_id)
 """
 
+AUDIT = f"""
+WITH facts AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS whole, regexp_extract_all(coalesce(text, ''), {WORD}) AS w,
+         doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS later
+  FROM documents
+),
+flags AS MATERIALIZED (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(whole, '[^A-Z]', '', 'g')) > 2 * length(whole) AS c,
+         regexp_matches(whole, '[#$%&*|]') AS d, coalesce(later, false) AS e,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM facts LEFT JOIN labels USING (doc_id)
+),
+failing AS MATERIALIZED (
+  SELECT part, good, toxic, list_filter([if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')], x -> x <> '') AS fails
+  FROM flags
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS MATERIALIZED (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order
+  FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5
+),
+gone AS MATERIALIZED (
+  SELECT *, coalesce(list_min(list_transform(fails, x -> strpos(filter_order, x))), 6) AS left_at FROM failing, orders
+),
+steps AS MATERIALIZED (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+         count(*) FILTER (left_at > step) AS kept, count(*) FILTER (left_at = step) AS removed,
+         count(*) FILTER (left_at < step AND list_contains(fails, filter_order[step])) AS redundant,
+         count(*) FILTER (len(fails) = 1 AND left_at = step) AS unique_fails,
+         count(*) FILTER (left_at = step AND good) AS good_lost, count(*) FILTER (left_at = step AND toxic) AS toxic_lost
+  FROM gone, range(1, 6) s(step) GROUP BY ALL
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM steps
+"""
+
+
+def _codes() -> str:
+    """Rounds of assigning each part to its nearest entry and moving the entries."""
+    parts = ["""
+whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, label,
+         list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+points AS MATERIALIZED (
+  SELECT id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM whole, range(0, 4) r(p)
+),
+first AS (SELECT id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM whole QUALIFY entry < 256),
+book_0 AS MATERIALIZED (SELECT p, entry, x AS y FROM points JOIN first USING (id))"""]
+    for k in range(5):
+        parts.append(f"""
+near_{k} AS MATERIALIZED (
+  SELECT id, a.p, min({{'d': list_dot_product(x::DOUBLE[], x::DOUBLE[]) + list_dot_product(y::DOUBLE[], y::DOUBLE[])
+                       - 2 * list_dot_product(x::DOUBLE[], y::DOUBLE[]), 'entry': entry}}) AS best
+  FROM points a JOIN book_{k} b ON a.p = b.p GROUP BY id, a.p
+)""")
+        if k < 4:
+            parts.append(f"""
+sums_{k} AS (
+  SELECT p, entry, i, sum(c) AS s, count(*) AS n
+  FROM (SELECT p, best.entry AS entry, unnest(x) AS c, unnest(range(len(x))) AS i FROM near_{k} JOIN points USING (id, p))
+  GROUP BY ALL
+),
+means_{k} AS (SELECT p, entry, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS y FROM sums_{k} GROUP BY ALL),
+book_{k + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.y, b.y) AS y FROM book_{k} b LEFT JOIN means_{k} m USING (p, entry)
+)""")
+    return "WITH" + ",".join(parts) + """,
+coded AS MATERIALIZED (
+  SELECT id, string_agg(printf('%02x', best.entry), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near_4 GROUP BY id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, entry)) FROM book_4) AS codebooks_sha256
+FROM whole JOIN coded USING (id)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": REPEATS,
     "op2_minhash_near_dedup": NEAR,
     "op8_exact_dedup": EXACT,
+    "op11_filter_audit": AUDIT,
+    "op12_vector_codes": _codes(),
 }

@@ -1,4 +1,4 @@
-"""The operators as queries over whole tables, named op1_ to op10_."""
+"""The operators as queries over whole tables, named op1_ to op13_."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientela.llm import (
-    exact_dedup, language_id, mixing, near_dedup, packing, quality_mil, quality_rules, sanitise,
-    secret_scan, suffix_dedup,
+    exact_dedup, filter_audit, language_id, license_scan, mixing, near_dedup, packing, quality_mil, quality_rules,
+    sanitise, secret_scan, suffix_dedup, vector_codes,
 )
 from clientela.llm.folds import held_out
 from clientela.llm.shipping import ship
@@ -114,6 +114,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    coded = vector_codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.label_errors(coded).select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", "codebooks_sha256"
+    )
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = license_scan.scan_licenses(docs, license_scan.learn_index(docs))
+    base = F.filter("places", lambda p: p["base"])
+
+    def labels(places: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    starts = F.transform(base, lambda p: p["start"])
+    shares = F.transform("places", lambda p: p["share"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(shares), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -125,4 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_license_scan": op13_license_scan,
 }

@@ -1,0 +1,130 @@
+"""Codes of vectors against comparing every part with every entry in Python."""
+
+from __future__ import annotations
+
+import hashlib
+from math import floor, isfinite
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clientela.llm import vector_codes as codes
+from clientela.llm.batches import as_batch  # noqa: F401  (the package is importable in workers)
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def literal(rows, entries=256, rounds=4):
+    """(vec_id, code, error, label_error, sha256) per kept row, by the definition."""
+    kept = [(i, [floor(1024 * float(np.float32(x))) for x in v], label) for i, v, label in rows
+            if v is not None and all(x is not None and isfinite(x) for x in v)]
+    first = {}
+    for i, v, _ in kept:
+        if i is not None:
+            first[i] = min(first.get(i, v), v)
+    size = len(kept[0][1]) // 4
+    books = [[first[i][p * size:(p + 1) * size] for i in sorted(first)[:entries]] for p in range(4)]
+
+    def nearest(v, p):
+        part = v[p * size:(p + 1) * size]
+        return min((sum((a - b) ** 2 for a, b in zip(part, e)), n) for n, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(4):
+            members = {}
+            for _, v, _ in kept:
+                members.setdefault(nearest(v, p)[1], []).append(v[p * size:(p + 1) * size])
+            for n, parts in members.items():
+                books[p][n] = [sum(column) // len(parts) for column in zip(*parts)]
+    digest = hashlib.sha256(",".join(str(c) for book in books for e in book for c in e).encode()).hexdigest()
+    found = [(i, label, [nearest(v, p) for p in range(4)]) for i, v, label in kept]
+    errors = {}
+    for _, label, near in found:
+        errors[label] = errors.get(label, 0) + sum(d for d, _ in near)
+    return sorted(
+        ((i, "".join(f"{n:02x}" for _, n in near), sum(d for d, _ in near), errors[label], digest) for i, label, near in found),
+        key=str,
+    )
+
+
+def got(frame):
+    coded = codes.label_errors(codes.compress_vectors(frame))
+    columns = ("vec_id", F.lower(F.hex("codes")), "error", "label_error", "codebooks_sha256")
+    return sorted(map(tuple, coded.select(*columns).collect()), key=str)
+
+
+def _random(seed, n, dims, spread=0.3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 0.4, (7, dims))
+    return [
+        (i, (centres[i % 7] + rng.normal(0, spread, dims)).astype(np.float32).tolist(), [None, 1, 2][i % 3]) for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed,n,dims,spread", [(0, 420, 8, 0.3), (1, 300, 4, 0.02), (2, 40, 12, 1.0)])
+def test_against_every_entry(spark, seed, n, dims, spread):
+    rows = _random(seed, n, dims, spread)
+    assert got(spark.createDataFrame(rows, VECTORS).repartition(3)) == literal(rows)
+
+
+def test_ties_copies_and_unused_entries(spark):
+    # A coarse grid: equal entries, equal distances, entries that nothing uses.
+    rng = np.random.default_rng(5)
+    rows = [(i // 2, (rng.integers(-2, 3, 8) / 512).tolist(), 1) for i in range(700)]
+    assert got(spark.createDataFrame(rows, VECTORS)) == literal(rows)
+
+
+def test_odd_rows(spark):
+    rows = _random(3, 30, 8) + [
+        (100, None, 1), (101, [1.0, None] * 4, 1), (102, [float("nan")] * 8, 1), (103, [float("inf")] + [0.0] * 7, 1),
+        (None, [0.25] * 8, None), (5, [0.5] * 8, 2), (-7, [-100.0] * 8, None), (104, [-0.0] * 8, 9),
+    ]
+    frame = spark.createDataFrame(rows, VECTORS).withColumn("codes", F.lit("x")).withColumn("error", F.lit("x")).withColumn("entry", F.lit(1))
+    assert got(frame) == literal(rows)
+
+
+def test_lengths_that_cannot_be_cut_alike_are_left_out(spark):
+    rows = _random(4, 20, 8)
+    odd = [(-1, [], 0), (-2, [1.0, 2.0], 0), (200, [1.0] * 12, 0)]
+    assert got(spark.createDataFrame(rows + odd, VECTORS)) == literal(rows)
+
+
+def test_no_vectors_and_null_ids_only(spark):
+    for rows in ([], [(1, None, 1)], [(None, [1.0] * 8, 1)]):
+        frame = spark.createDataFrame(rows, VECTORS)
+        assert codes.label_errors(codes.compress_vectors(frame)).count() == 0
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(0, 2e4, 8)).astype(np.float32).tolist(), 0) for i in range(60)]
+    assert got(spark.createDataFrame(rows, VECTORS)) == literal(rows)
+    with pytest.raises(Exception, match="beyond"):
+        got(spark.createDataFrame([(1, [2e5] * 8, 0)], VECTORS))
+
+
+@pytest.mark.parametrize("exact", [np.float64, np.int64])
+def test_balls_and_rings_find_the_nearest(exact):
+    rng = np.random.default_rng(11)
+    for spread in (0, 3, 200):
+        entries = rng.integers(-100, 100, (40, 3))
+        points = (entries[rng.integers(0, 40, 900)] + rng.integers(-spread, spread + 1, (900, 3))).astype(exact)
+        balls = codes.Balls(entries, np.ones(40, bool), exact)
+        want = balls.nearest(points)
+        start = rng.integers(0, 40, 900)
+        found, looked = balls.reassigned(points, start)
+        assert (found == want).all()
+        again, looked = balls.reassigned(points, want)
+        assert (again == want).all()
+        # Entries near their own points: the cores are stable and rings small.
+        assert looked < 900 * 39 / (20 if spread < 10 else 1)
+
+
+def test_balls_whose_entries_stay_are_skipped():
+    rng = np.random.default_rng(12)
+    entries = rng.integers(-100, 100, (30, 2))
+    points = rng.integers(-100, 100, (500, 2)).astype(np.float64)
+    want = codes.Balls(entries, np.ones(30, bool), np.float64).nearest(points)
+    found, looked = codes.Balls(entries, np.zeros(30, bool), np.float64).reassigned(points, want)
+    assert (found == want).all() and looked == 0
