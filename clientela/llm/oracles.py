@@ -99,7 +99,7 @@ flags AS MATERIALIZED (
   FROM facts LEFT JOIN labels USING (doc_id)
 ),
 failing AS MATERIALIZED (
-  SELECT part, good, toxic, list_filter([if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')], x -> x <> '') AS fails
+  SELECT part, good, toxic, list_filter([if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')], lambda x: x <> '') AS fails
   FROM flags
 ),
 letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
@@ -109,7 +109,7 @@ orders AS MATERIALIZED (
   WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5
 ),
 gone AS MATERIALIZED (
-  SELECT *, coalesce(list_min(list_transform(fails, x -> strpos(filter_order, x))), 6) AS left_at FROM failing, orders
+  SELECT *, coalesce(list_min(list_transform(fails, lambda x: strpos(filter_order, x))), 6) AS left_at FROM failing, orders
 ),
 steps AS MATERIALIZED (
   SELECT part, filter_order, CAST(step AS INTEGER) AS step,
@@ -128,9 +128,9 @@ def _codes() -> str:
     parts = ["""
 whole AS MATERIALIZED (
   SELECT row_number() OVER () AS id, vec_id, label,
-         list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 points AS MATERIALIZED (
   SELECT id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM whole, range(0, 4) r(p)
