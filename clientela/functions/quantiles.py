@@ -1,24 +1,28 @@
 """Exact quantiles of many columns without shuffling their values.
 
-Values are counted in ranges between approximate cut points, which every task
-does for its own rows. Only ranges that hold a wanted rank are looked at again:
-cut once more while they hold many different values, and sorted when they hold
-few. So no shuffle carries all values and no task sorts more than a bounded
-number, whatever the size and the shape of the data.
+Every value has a key that keeps the order: the leading bits of its logarithm,
+so a key's values differ by about one percent. Tasks count their values per key,
+with the smallest and the largest of each, and such counts add up. Only keys that
+hold a wanted rank are looked at again: those with many different values are
+divided once more, those with few are sorted. So no shuffle carries all values
+and no task sorts more than a bounded number, whatever the size and the shape of
+the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, fsum
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Cut points are looked up in two steps of this many, giving BLOCK * BLOCK ranges.
-BLOCK = 16
+# Keys of a power of two; a range that is divided again has BLOCK * BLOCK parts.
+BLOCK = 64
 # Values of a range that are sorted in one task.
 MOST_SORTED = 100_000
+# Beyond the exponents of doubles, so that keys of positive values are positive.
+_LIFT = 1100
 
 
 @dataclass(frozen=True)
@@ -32,56 +36,62 @@ class Summary:
 
 @dataclass
 class _Span:
-    """Values of a column in (low, high], with the ranks that are wanted there."""
+    """Values of a column from low to high, with the ranks that are wanted there."""
 
     column: str
-    low: float | None
-    high: float | None
+    low: float
+    high: float
     before: int
     ranks: set[int]
 
     def holds(self) -> Column:
-        value = F.col(self.column)
-        inside = value.isNotNull()
-        if self.low is not None:
-            inside &= value > self.low
-        if self.high is not None:
-            inside &= value <= self.high
-        return inside
-
-
-def _count_below(cuts: Column, positions: Sequence[Column], value: str) -> Column:
-    """How many of the cuts at ``positions`` are below the value; compiled code,
-    which a lambda over the array would not be."""
-    below = [F.when(F.get(cuts, i) < F.col(value), 1).otherwise(0) for i in positions]
-    return sum(below[1:], below[0])
-
-
-def _ranged(values: DataFrame, spans: list[_Span], cuts: list[list[float]], block: int) -> DataFrame:
-    """Per span and range between its cuts: number of values, smallest, largest."""
-    arrays = [F.lit(c).cast("array<double>") for c in cuts]
-    last = [F.lit(block * j + block - 1) for j in range(block)]
-    skipped = values.select(
-        "*",
-        *(
-            F.when(s.holds(), block * _count_below(a, last, s.column)).alias(f"skipped_{i}")
-            for i, (s, a) in enumerate(zip(spans, arrays, strict=True))
-        ),
+        return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
+
+    def key(self, block: int) -> Column:
+        """Which of equal parts of the span a value is in; low and high are in different ones."""
+        parts = block * block
+        place = (F.col(self.column) - F.lit(self.low)) / F.lit(self.high - self.low)
+        return F.when(self.holds(), F.least(F.floor(place * parts), F.lit(parts - 1)))
+
+
+def _leading_key(column: str, block: int) -> Column:
+    """A whole number that never falls where the value rises.
+
+    Logarithm, product and floor are monotone in floating point. Infinite values
+    and NaN, the largest value in SQL, have keys of their own.
+    """
+    value = F.col(column)
+    size = F.abs(value)
+    last = 4 * _LIFT * block
+    key = (
+        F.when(F.isnan(value) | (size == float("inf")), F.lit(last))
+        .when(size == 0, F.lit(0))
+        .otherwise(F.floor(F.log2(size) * block) + _LIFT * block)
     )
+    signed = F.when(value < 0, -key).otherwise(key)
+    return F.when(F.isnan(value), F.lit(last + 1)).when(value.isNotNull(), signed)
+
+
+def _counted(values: DataFrame, columns: Sequence[str], keys: Sequence[Column]) -> dict[int, list]:
+    """Per column number, in the order of keys: rows of n, low, high and total per key."""
     cells = [
-        F.struct(
-            F.lit(i).alias("span"),
-            (F.col(f"skipped_{i}") + _count_below(a, [F.col(f"skipped_{i}") + j for j in range(block - 1)], s.column)).alias("range"),
-            F.col(s.column).alias("value"),
-        )
-        for i, (s, a) in enumerate(zip(spans, arrays, strict=True))
+        F.struct(F.lit(i).alias("span"), key.cast("bigint").alias("key"), F.col(column).alias("value"))
+        for i, (column, key) in enumerate(zip(columns, keys, strict=True))
     ]
-    return (
-        skipped.select(F.inline(F.array(*cells)))
-        .where(F.col("range").isNotNull())
-        .groupBy("span", "range")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    )
+    found = (
+        values.select(F.inline(F.array(*cells)))
+        .where(F.col("key").isNotNull())
+        .groupBy("span", "key")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+            F.sum("value").alias("total"),
+        )
+    )
+    counts: dict[int, list] = {}
+    # The numbers of keys and of parts bound these rows.
+    for row in sorted(found.collect(), key=lambda r: (r["span"], r["key"])):
+        counts.setdefault(row["span"], []).append(row)
+    return counts
 
 
 def _sorted_values(values: DataFrame, spans: list[_Span]) -> dict[tuple[str, int], float]:
@@ -117,70 +127,58 @@ def exact_quantiles(
 ) -> dict[str, Summary]:
     """Quantiles of columns of doubles, with linear interpolation between ranks.
 
-    Runs at once: three passes over ``df`` unless a range has to be cut again, so
-    store ``df`` if it is costly. The driver sees cut points and counts, at most
-    ``block ** 2`` of each per column and rank. Nulls are left out; a column of
-    nulls has the count 0.
+    Runs at once: two passes over ``df`` unless a key with a wanted rank has more
+    than ``most`` values, so store ``df`` if it is costly. The driver sees counts,
+    at most ``block`` per power of two and column, and ``block ** 2`` per rank
+    that is looked for again. Nulls are left out; a column of nulls has the count 0.
     """
     names = {name: f"v{i}" for i, name in enumerate(columns)}
     values = df.select(*(columns[name].cast("double").alias(v) for name, v in names.items()))
-    ranges = block * block
-    steps = [i / ranges for i in range(1, ranges)]
-
-    def cut_points(spans: list[_Span], *more: Column) -> tuple[list[list[float]], dict]:
-        # The smallest value is a cut, so that a range always becomes smaller.
-        parts = []
-        for i, s in enumerate(spans):
-            inside = F.when(s.holds(), F.col(s.column))
-            parts += [F.percentile_approx(inside, steps, 10 * ranges).alias(f"c{i}"), F.min(inside).alias(f"m{i}")]
-        row = values.agg(*parts, *more).first().asDict()
-        cuts = [sorted({*(row[f"c{i}"] or []), row[f"m{i}"]} - {None}) for i in range(len(spans))]
-        return cuts, row
-
-    spans = [_Span(v, None, None, 0, set()) for v in names.values()]
-    counted = [f(v).alias(f"{f.__name__}_{v}") for v in names.values() for f in (F.count, F.avg)]
-    cuts, totals = cut_points(spans, *counted)
-    places = {}
-    for span in spans:
-        n = totals[f"count_{span.column}"]
-        places[span.column] = [p * (n - 1) for p in probs] if n else []
-        span.ranks = {r for x in places[span.column] for r in (floor(x), ceil(x))}
-    spans, cuts = [s for s in spans if s.ranks], [c for s, c in zip(spans, cuts, strict=True) if s.ranks]
-
+    parts = list(names.values())
+    counts = _counted(values, parts, [_leading_key(v, block) for v in parts])
+    totals, means, places = {}, {}, {}
     at: dict[tuple[str, int], float] = {}
     few: list[_Span] = []
-    while spans:
-        counts: dict[int, list] = {}
-        for row in _ranged(values, spans, cuts, block).collect():
-            counts.setdefault(row["span"], []).append(row)
-        wide = []
+    wide: list[_Span] = []
+
+    def sort_out(column: str, ranks: set[int], before: int, rows: list) -> None:
+        """Find the wanted ranks among counted keys: known, few or to be divided."""
+        for row in rows:
+            here = {r for r in ranks if before <= r < before + row["n"]}
+            if here and not row["low"] < row["high"]:
+                at.update({(column, r): row["low"] for r in here})
+            elif here:
+                (few if row["n"] <= most else wide).append(_Span(column, row["low"], row["high"], before, here))
+            before += row["n"]
+
+    for i, v in enumerate(parts):
+        rows = counts.get(i, [])
+        n = totals[v] = sum(r["n"] for r in rows)
+        means[v] = _sum([r["total"] for r in rows]) / n if n else None
+        places[v] = [p * (n - 1) for p in probs] if n else []
+        sort_out(v, {r for x in places[v] for r in (floor(x), ceil(x))}, 0, rows)
+    while wide:
+        spans, wide = wide, []
+        counts = _counted(values, [s.column for s in spans], [s.key(block) for s in spans])
         for i, span in enumerate(spans):
-            before = span.before
-            for row in sorted(counts[i], key=lambda r: r["range"]):
-                here = {r for r in span.ranks if before <= r < before + row["n"]}
-                if here and row["low"] == row["high"]:
-                    at.update({(span.column, r): row["low"] for r in here})
-                elif here:
-                    number = row["range"]
-                    low = cuts[i][number - 1] if number else span.low
-                    high = cuts[i][number] if number < len(cuts[i]) else span.high
-                    (few if row["n"] <= most else wide).append(_Span(span.column, low, high, before, here))
-                before += row["n"]
-        spans = wide
-        if spans:
-            cuts, _ = cut_points(spans)
+            sort_out(span.column, span.ranks, span.before, counts[i])
     if few:
         at.update(_sorted_values(values, few))
 
     def quantile(column: str, place: float) -> float:
+        low, high = at[column, floor(place)], at[column, ceil(place)]
         weight = place - floor(place)
-        return (1 - weight) * at[column, floor(place)] + weight * at[column, ceil(place)]
+        return low if low == high else (1 - weight) * low + weight * high
 
     return {
-        name: Summary(
-            totals[f"count_{v}"],
-            totals[f"avg_{v}"],
-            [quantile(v, x) for x in places[v]] or [None] * len(probs),
-        )
+        name: Summary(totals[v], means[v], [quantile(v, x) for x in places[v]] or [None] * len(probs))
         for name, v in names.items()
     }
+
+
+def _sum(numbers: list[float]) -> float:
+    """Exact where all are finite."""
+    try:
+        return fsum(numbers)
+    except (OverflowError, ValueError):
+        return sum(numbers)

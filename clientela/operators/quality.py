@@ -70,19 +70,22 @@ def profile(df: DataFrame) -> DataFrame:
 
     Dates count as days and timestamps as seconds since 1970, booleans as 0 and
     1; text has no numbers. Quartiles are exact. The summary is computed at once,
-    in three passes over ``df``, which shuffle counts and a bounded part of the
+    in two passes over ``df``, which shuffle counts and a bounded part of the
     values: store ``df`` if it is costly.
     """
-    total = F.count(F.lit(1)).alias("rows")
-    known = df.agg(total, *(F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(df.columns))).first()
-    numbers = {name: _as_number(name, kind) for name, kind in df.dtypes}
-    numeric = {name: number for name, number in numbers.items() if number is not None}
-    found = exact_quantiles(df, numeric, list(FIVE_NUMBERS.values())) if numeric else {}
+    numbers = {i: _as_number(name, kind) for i, (name, kind) in enumerate(df.dtypes)}
+    # Rows and known texts are counted in the same pass, as columns of zeros.
+    zeros = {i: F.when(F.col(f"`{name}`").isNotNull(), 0.0) for i, name in enumerate(df.columns)}
+    counted = {str(i): zeros[i] if number is None else number for i, number in numbers.items()}
+    found = exact_quantiles(df, {"rows": F.lit(0.0), **counted}, list(FIVE_NUMBERS.values()))
+    total = found["rows"].count
     rows = []
     for i, (name, kind) in enumerate(df.dtypes):
-        low, q1, median, q3, high = found[name].quantiles if name in found else [None] * 5
-        mean = found[name].mean if name in found else None
-        rows.append((name, kind, known["rows"], known["rows"] - known[f"n{i}"], low, q1, median, mean, q3, high))
+        known = found[str(i)].count
+        text = numbers[i] is None
+        low, q1, median, q3, high = [None] * 5 if text else found[str(i)].quantiles
+        mean = None if text else found[str(i)].mean
+        rows.append((name, kind, total, total - known, low, q1, median, mean, q3, high))
     # One row per column of df.
     return df.sparkSession.createDataFrame(rows, _PROFILE)
 
