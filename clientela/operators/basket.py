@@ -1,14 +1,19 @@
 """Products that are bought together.
 
-A basket is the set of distinct items of a ticket. Frequent sets of any size come
-from MLlib's FP-growth, which hands every task the baskets it needs for the items
-it is responsible for; pairs alone are counted directly.
+A basket is the set of distinct items of a ticket. Pairs are counted ticket by
+ticket. Larger sets are found by the tickets of smaller ones: tickets are dealt
+into blocks of 64, the tickets of a set in a block are the bits of one number,
+and those of two sets that differ in their last item are the bits that both have.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth, FPGrowthModel
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from clientela.sources.scratch import stored
 
 
 def _known(lines: DataFrame) -> DataFrame:
@@ -39,42 +44,143 @@ def baskets(lines: DataFrame, min_support: float) -> DataFrame:
     )
 
 
-def basket_model(baskets: DataFrame, min_support: float, min_confidence: float = 0.0) -> FPGrowthModel:
-    """Search of all frequent sets. ``baskets`` are read several times: store them."""
-    tasks = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    growth = FPGrowth(
-        itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=tasks
+@dataclass(frozen=True)
+class BasketModel:
+    """Frequent sets (items, sorted, and freq), number of tickets, confidence of rules."""
+
+    sets: DataFrame
+    tickets: int
+    min_confidence: float
+
+
+def basket_model(baskets: DataFrame, min_support: float, min_confidence: float = 0.0) -> BasketModel:
+    """Search of all frequent sets, of any size.
+
+    Runs at once and stores what it needs. A set is its last item after a prefix
+    of the others, so the sets with one prefix are the children of one node of a
+    trie. Two of them make a candidate one item longer if all its subsets are
+    frequent, and the tickets of a candidate are found block by block. All rows
+    of a block are of 64 tickets, so an item of every ticket, or of a third of
+    them, is spread like the tickets are. Nothing but the numbers of tickets and
+    of sets reaches the driver.
+    """
+    # Stored, so that no ticket is numbered twice.
+    numbered = stored(
+        baskets.select(F.monotonically_increasing_id().alias("ticket"), F.array_sort("items").alias("items"))
     )
-    return growth.fit(baskets)
+    total = numbered.count()
+    least = max(1, ceil(min_support * total))
+    nothing = F.array().cast("array<string>")
+    single = numbered.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
+    found = [stored(single.where(F.col("freq") >= least).select(nothing.alias("prefix"), "item", "freq"))]
+    pairs = _pair_counts(numbered).where(F.col("freq") >= least)
+    found.append(stored(pairs.select(F.array("a").alias("prefix"), F.col("b").alias("item"), "freq")))
+    bit = F.expr("shiftleft(1L, cast(ticket & 63 AS int))")
+    alone = (
+        numbered.select(F.shiftright("ticket", 6).alias("block"), bit.alias("bit"), F.explode("items").alias("item"))
+        .groupBy("block", "item")
+        .agg(F.bit_or("bit").alias("bits"))
+        .select("block", nothing.alias("prefix"), "item", "bits")
+    )
+    paired = found[1].select(nothing.alias("prefix"), F.get("prefix", F.lit(0)).alias("a"), F.col("item").alias("b"))
+    held = stored(_held_by_both(stored(alone), paired))
+    while True:
+        candidates = stored(_candidates(found[-1], len(found)))
+        if candidates.isEmpty():
+            break
+        longer = stored(_held_by_both(held, candidates))
+        counts = longer.groupBy("prefix", "item").agg(F.sum(F.bit_count("bits")).alias("freq"))
+        found.append(stored(counts.where(F.col("freq") >= least)))
+        held = longer.join(found[-1], ["prefix", "item"], "left_semi")
+    sets = found[0]
+    for level in found[1:]:
+        sets = sets.unionByName(level)
+    return BasketModel(sets.select(_appended("prefix", "item").alias("items"), "freq"), total, min_confidence)
+
+
+def _appended(prefix: str, item: str) -> Column:
+    return F.concat(F.col(prefix), F.array(item))
+
+
+def _held_by_both(held: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Tickets of the sets prefix + a + b, from those of prefix + a and prefix + b.
+
+    ``held`` has block, prefix, item and bits; blocks without a ticket have no row.
+    """
+    first = held.withColumnsRenamed({"item": "a", "bits": "bits_a"})
+    second = held.withColumnsRenamed({"item": "b", "bits": "bits_b"})
+    both = first.join(candidates, ["prefix", "a"]).join(second, ["block", "prefix", "b"])
+    bits = F.col("bits_a").bitwiseAND(F.col("bits_b")).alias("bits")
+    return both.select("block", _appended("prefix", "a").alias("prefix"), F.col("b").alias("item"), bits).where("bits <> 0")
+
 
+def _candidates(sets: DataFrame, size: int) -> DataFrame:
+    """prefix, a and b of the sets of ``size`` + 1 items of which all subsets are in ``sets``.
+
+    The subsets without a or without b are the two that the set is made of.
+    """
+    a = sets.select("prefix", F.col("item").alias("a"))
+    b = sets.select("prefix", F.col("item").alias("b"))
+    made = a.join(b, "prefix").where("a < b")
+    if size == 1:
+        return made
+    places = F.explode(F.sequence(F.lit(0), F.lit(size - 2)))
+    other = F.filter("prefix", lambda x, i: i != F.col("dropped"))
+    needed = made.withColumn("dropped", places).select(
+        "*", F.concat(other, F.array("a")).alias("rest"), F.col("b").alias("last")
+    )
+    frequent = sets.select(F.col("prefix").alias("rest"), F.col("item").alias("last"))
+    kept = needed.join(frequent, ["rest", "last"], "left_semi")
+    return kept.groupBy("prefix", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size - 1).drop("n")
 
-def frequent_sets(model: FPGrowthModel) -> DataFrame:
+
+def frequent_sets(model: BasketModel) -> DataFrame:
     """Frequent sets as sorted text, with their size and number of tickets."""
-    return model.freqItemsets.select(
-        F.array_join(F.array_sort("items"), "|").alias("ITEMS"),
-        F.size("items").alias("SIZE"),
-        F.col("freq").alias("TICKETS"),
+    return model.sets.select(
+        F.array_join("items", "|").alias("ITEMS"), F.size("items").alias("SIZE"), F.col("freq").alias("TICKETS")
     )
 
 
-def basket_rules(model: FPGrowthModel) -> DataFrame:
+def basket_rules(model: BasketModel) -> DataFrame:
     """Rules with one item on the right: confidence, lift and support."""
-    return model.associationRules.select(
-        F.array_join(F.array_sort("antecedent"), "|").alias("ANTECEDENT"),
-        F.col("consequent")[0].alias("CONSEQUENT"),
-        F.col("confidence").alias("CONFIDENCE"),
-        F.col("lift").alias("LIFT"),
-        F.col("support").alias("SUPPORT"),
+    sets = model.sets
+    split = sets.where(F.size("items") > 1).select("items", "freq", F.explode("items").alias("consequent"))
+    rest = F.array_except("items", F.array("consequent"))
+    left = sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("n_left"))
+    right = sets.where(F.size("items") == 1)
+    right = right.select(F.get("items", F.lit(0)).alias("consequent"), F.col("freq").alias("n_right"))
+    confidence = F.col("freq") / F.col("n_left")
+    return (
+        split.withColumn("antecedent", rest)
+        .join(left, "antecedent")
+        .where(confidence >= model.min_confidence)
+        .join(right, "consequent")
+        .select(
+            F.array_join("antecedent", "|").alias("ANTECEDENT"),
+            F.col("consequent").alias("CONSEQUENT"),
+            confidence.alias("CONFIDENCE"),
+            (confidence / (F.col("n_right") / F.lit(model.tickets))).alias("LIFT"),
+            (F.col("freq") / F.lit(model.tickets)).alias("SUPPORT"),
+        )
     )
 
 
+def _pair_counts(ordered: DataFrame) -> DataFrame:
+    """a, b and freq of all pairs of items of sorted baskets, a before b.
+
+    Counted in the task first: with K frequent items, K being bounded by mean
+    items of a ticket / support, a task sends at most K * (K - 1) / 2 rows.
+    """
+    placed = ordered.select("items", F.posexplode("items").alias("place", "a"))
+    later = F.slice("items", F.col("place") + 2, F.size("items"))
+    return placed.select("a", F.explode(later).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
+
+
 def basket_pairs(baskets: DataFrame, min_support: float) -> DataFrame:
     """Frequent pairs with support, confidence both ways, and lift.
 
     ``baskets`` are those of the same minimum support, stored because they are
-    read three times. Every basket yields the pairs of its frequent items, which
-    are counted in the task first: with K frequent items, K being bounded by mean
-    items of a ticket / support, a task sends at most K * (K - 1) / 2 rows.
+    read three times. Every basket yields the pairs of its frequent items.
     """
     total = baskets.agg(F.count(F.lit(1))).scalar()
     single = baskets.select(F.explode("items").alias("item")).groupBy("item")
@@ -82,12 +188,9 @@ def basket_pairs(baskets: DataFrame, min_support: float) -> DataFrame:
     a = single.select(F.col("item").alias("ITEM_A"), F.col("freq").alias("n_a"))
     b = single.select(F.col("item").alias("ITEM_B"), F.col("freq").alias("n_b"))
     ordered = baskets.select(F.array_sort("items").alias("items"))
-    placed = ordered.select("items", F.posexplode("items").alias("place", "ITEM_A"))
-    later = F.slice("items", F.col("place") + 2, F.size("items"))
     pairs = (
-        placed.select("ITEM_A", F.explode(later).alias("ITEM_B"))
-        .groupBy("ITEM_A", "ITEM_B")
-        .agg(F.count(F.lit(1)).alias("TICKETS"))
+        _pair_counts(ordered)
+        .withColumnsRenamed({"a": "ITEM_A", "b": "ITEM_B", "freq": "TICKETS"})
         .withColumn("total", total)
         .where(F.col("TICKETS") >= F.ceil(F.lit(min_support) * F.col("total")))
     )

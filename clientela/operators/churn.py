@@ -5,23 +5,24 @@ after it. The horizon is the repurchase interval of ``intervals`` on the same
 data unless a number of days is given; the reference day lies one horizon before
 the end of the data, so that every label can be observed.
 
-The score is the share of churned customers among those alike in recency,
-frequency and money. A logistic regression on the measures is the alternative.
+There are two scores: the share of churned customers among those alike in
+recency, frequency and money, and a logistic regression on the measures, which
+also ranks the customers of a cell.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clientela.functions.logistic import Logistic, fit_logistics
 from clientela.operators.intervals import gap_quantile, longest_gaps, repurchase_gaps
 from clientela.operators.rfm import MEASURES, Limits, last_day, purchase_history, with_scores
 
 CELL = ["R_SCORE", "F_SCORE", "M_SCORE"]
 FOLDS = 3
+# Places of a modelled probability, so that equal customers tie however the sums
+# of the fit were ordered, and a fold has at most a million different scores.
+DECIMALS = 6
 
 
 def reference_day(ticket: DataFrame, horizon_days: int | None = None) -> Column:
@@ -146,52 +147,40 @@ def with_engagement(customers: DataFrame, funnel: DataFrame) -> DataFrame:
     return customers.join(engagement, "ID_CLI", "left").fillna(0, ["SENDS", "OPENS", "CLICKS"])
 
 
-def _inputs(customers: DataFrame) -> DataFrame:
-    label = F.col("CHURNED").cast("double") if "CHURNED" in customers.columns else F.lit(None)
-    return customers.withColumns(
-        {
-            "recency": F.col("RECENCY").cast("double"),
-            "frequency_log": F.log1p("FREQUENCY"),
-            "monetary_log": F.log1p(F.greatest(F.col("MONETARY"), F.lit(0.0))),
-            "label": label.cast("double"),
-        }
-    )
+def _inputs() -> list[Column]:
+    """What the regression sees: recency, and frequency and money by their logarithms."""
+    money = F.greatest(F.col("MONETARY"), F.lit(0.0))
+    return [F.col("RECENCY"), F.log1p("FREQUENCY"), F.log1p(money)]
 
 
-def churn_model(labels: DataFrame) -> PipelineModel:
-    """Logistic regression of the label on recency, frequency and money."""
-    features = VectorAssembler(
-        inputCols=["recency", "frequency_log", "monetary_log"], outputCol="features"
-    )
-    model = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.01)
-    return Pipeline(stages=[features, model]).fit(_inputs(labels))
+def churn_model(labels: DataFrame) -> Logistic:
+    """Logistic regression of the label on recency, frequency and money.
 
+    ``labels`` are read once per step: store them. Labels of one kind give that
+    probability to everyone, no labels a null.
+    """
+    return fit_logistics(labels, F.col("CHURNED"), _inputs(), {"all": F.lit(True)})["all"]
 
-def model_scores(model: PipelineModel, customers: DataFrame) -> DataFrame:
-    """Probability of churn by the regression."""
-    scored = model.transform(_inputs(customers))
-    return scored.select(
-        "ID_CLI", *MEASURES, vector_to_array("probability")[1].alias("CHURN_PROBABILITY")
-    )
+
+def model_scores(model: Logistic, customers: DataFrame) -> DataFrame:
+    """Probability of churn by the regression, to ``DECIMALS`` places."""
+    probability = F.round(model.probability(_inputs()), DECIMALS).alias("CHURN_PROBABILITY")
+    return customers.select("ID_CLI", *MEASURES, probability)
 
 
 def model_quality(labels: DataFrame) -> DataFrame:
-    """``churn_quality`` of the regression. ``labels`` are read for every fold,
-    one after the other: store them."""
-    dealt = labels.withColumn("FOLD", F.pmod("ID_CLI", F.lit(FOLDS)).cast("int"))
-    parts = []
-    for held_out in range(FOLDS):
-        model = churn_model(dealt.where(F.col("FOLD") != held_out))
-        scored = model.transform(_inputs(dealt.where(F.col("FOLD") == held_out)))
-        parts.append(
-            scored.select(
-                "FOLD",
-                vector_to_array("probability")[1].alias("CHURN_PROBABILITY"),
-                F.col("CHURNED").cast("int").alias("positive"),
-                (~F.col("CHURNED")).cast("int").alias("negative"),
-            )
-        )
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    return ranking_quality(together)
+    """``churn_quality`` of the regression: each fold by the model of the others.
+
+    The models of all folds take their steps in the same passes over ``labels``.
+    """
+    fold = F.pmod("ID_CLI", F.lit(FOLDS)).cast("int")
+    others = {str(k): fold != k for k in range(FOLDS)}
+    models = fit_logistics(labels, F.col("CHURNED"), _inputs(), others)
+    by_fold = [F.when(fold == k, models[str(k)].probability(_inputs())) for k in range(FOLDS)]
+    scored = labels.select(
+        fold.alias("FOLD"),
+        F.round(F.coalesce(*by_fold), DECIMALS).alias("CHURN_PROBABILITY"),
+        F.col("CHURNED").cast("int").alias("positive"),
+        (~F.col("CHURNED")).cast("int").alias("negative"),
+    )
+    return ranking_quality(scored)

@@ -77,13 +77,15 @@ def na_tokens_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.apply_table_rules(star.address_text(spark, sf_dir), "address")
 
 
-def _round_trip(name: str, rows: Callable[[SparkSession, str], DataFrame]) -> Query:
+def _round_trip(
+    name: str, rows: Callable[[SparkSession, str], DataFrame], multiline: bool = False
+) -> Query:
     """Write a table as delimited text and scan it again."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch_dir(spark)
         delimited.write_table(rows(spark, sf_dir), folder, name)
-        return delimited.scan_table(spark, folder, name)
+        return delimited.scan_table(spark, folder, name, multiline)
 
     return query
 
@@ -189,28 +191,25 @@ def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.churn_scores(customers, limits, churn.churn_rates(scored))
 
 
+def churn_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = churn.churn_model(stored(labels(spark, sf_dir)))
+    return churn.model_scores(model, churn.current_customers(star.ticket(spark, sf_dir)))
+
+
 def churn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.with_engagement(
         churn.money_at_risk(churn_scores(spark, sf_dir)), funnel(spark, sf_dir)
     )
 
 
-def _stored_baskets(spark: SparkSession, sf_dir: str, min_support: float) -> DataFrame:
-    return stored(basket.baskets(star.basket(spark, sf_dir), min_support))
-
-
 def basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.basket_pairs(_stored_baskets(spark, sf_dir, PAIR_SUPPORT), PAIR_SUPPORT)
-
-
-def basket_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tickets = _stored_baskets(spark, sf_dir, RULE_SUPPORT)
-    return basket.frequent_sets(basket.basket_model(tickets, RULE_SUPPORT))
+    tickets = stored(basket.baskets(star.basket(spark, sf_dir), PAIR_SUPPORT))
+    return basket.basket_pairs(tickets, PAIR_SUPPORT)
 
 
-def basket_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tickets = _stored_baskets(spark, sf_dir, RULE_SUPPORT)
-    return basket.basket_rules(basket.basket_model(tickets, RULE_SUPPORT, RULE_CONFIDENCE))
+def _basket_model(spark: SparkSession, sf_dir: str) -> basket.BasketModel:
+    tickets = basket.baskets(star.basket(spark, sf_dir), RULE_SUPPORT)
+    return basket.basket_model(tickets, RULE_SUPPORT, RULE_CONFIDENCE)
 
 
 QUERIES: dict[str, Query] = {
@@ -221,6 +220,7 @@ QUERIES: dict[str, Query] = {
     "csv_round_trip_campaign": _round_trip("campaign", star.campaign),
     "csv_round_trip_account": _round_trip("account", star.account),
     "csv_round_trip_fidelity": _round_trip("fidelity", star.fidelity),
+    "csv_round_trip_multiline": _round_trip("event", star.event_notes, multiline=True),
     "na_tokens_default": na_tokens_default,
     "na_tokens_address": na_tokens_address,
     "sink_region_csv": sink_region_csv,
@@ -319,9 +319,11 @@ QUERIES: dict[str, Query] = {
     "churn_labels_160": lambda s, d: churn.churn_labels(star.ticket(s, d), horizon_days=160),
     "churn_scores": churn_scores,
     "churn_quality": lambda s, d: churn.churn_quality(_scored_labels(s, d)[0]),
+    "churn_model_scores": churn_model_scores,
+    "churn_model_quality": lambda s, d: churn.model_quality(stored(labels(s, d))),
     "churn_targets": churn_targets,
     # baskets
     "basket_pairs": basket_pairs,
-    "basket_sets": basket_sets,
-    "basket_rules": basket_rules,
+    "basket_sets": lambda s, d: basket.frequent_sets(_basket_model(s, d)),
+    "basket_rules": lambda s, d: basket.basket_rules(_basket_model(s, d)),
 }

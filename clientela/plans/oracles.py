@@ -59,18 +59,38 @@ def _cell() -> str:
                1 + {passed('MONETARY', 'm')} AS M"""
 
 
-# Frequent sets up to one item less are counted; a frequent one of this size is an error.
-DEEPEST = 6
+def _newton(steps: int = 25, ridge: float = 0.01) -> str:
+    """Weights k, b0 to b3 of the regressions on ``model_points`` after so many Newton steps."""
+    x = ["1", "x1", "x2", "x3"]
+    upper = [(i, j) for i in range(4) for j in range(i, 4)]
+    z = "b0 + b1 * x1 + b2 * x2 + b3 * x3"
+    sums = ", ".join(
+        [f"sum((p - y) * {x[i]}) / count(*) + {ridge if i else 0} * b{i} AS g{i}" for i in range(4)]
+        + [f"sum(p * (1 - p) * {x[i]} * {x[j]}) / count(*) + {ridge if i == j > 0 else 0} AS h{i}{j}" for i, j in upper]
+    )
+    system = f"""SELECT i, k, b0, b1, b2, b3, {sums}
+        FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM step JOIN model_points USING (k) WHERE i < {steps})
+        GROUP BY i, k, b0, b1, b2, b3"""
+    for c in range(3):
+        rows = ", ".join(
+            [f"h{i}{j} - h{c}{i} * h{c}{j} / h{c}{c} AS h{i}{j}" for i, j in upper if i > c]
+            + [f"g{i} - h{c}{i} * g{c} / h{c}{c} AS g{i}" for i in range(c + 1, 4)]
+        )
+        system = f"SELECT * REPLACE ({rows}) FROM ({system})"
+    return f"""
+        WITH RECURSIVE step(i, k, b0, b1, b2, b3) AS (
+          SELECT 0, k, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM model_scale
+          UNION ALL
+          SELECT i + 1, k, b0 - d0, b1 - d1, b2 - d2, b3 - d3
+          FROM (SELECT *, (g0 - h01 * d1 - h02 * d2 - h03 * d3) / h00 AS d0
+                FROM (SELECT *, (g1 - h12 * d2 - h13 * d3) / h11 AS d1
+                      FROM (SELECT *, (g2 - h23 * d3) / h22 AS d2
+                            FROM (SELECT *, g3 / h33 AS d3 FROM ({system}))))))
+        SELECT k, b0, b1, b2, b3, m1, s1, m2, s2, m3, s3 FROM step JOIN model_scale USING (k) WHERE i = {steps}"""
 
 
-def _sets(size: int) -> str:
-    """Sets of ``size`` items with their number of tickets."""
-    items = ", ".join(f"l{i}.ITEM" for i in range(size))
-    joins = "".join(
-        f" JOIN fx_basket l{i} ON l0.ID_TICKET = l{i}.ID_TICKET AND l{i - 1}.ITEM < l{i}.ITEM"
-        for i in range(1, size)
-    )
-    return f"SELECT [{items}] AS items, count(*) AS n FROM fx_basket l0 {joins} GROUP BY {items}"
+_INPUTS = "CAST(RECENCY AS DOUBLE) AS x1, ln(1 + FREQUENCY) AS x2, ln(1 + greatest(MONETARY, 0)) AS x3"
+_MODELLED = """round(1 / (1 + exp(-(b0 + b1 * ((x1 - m1) / s1) + b2 * ((x2 - m2) / s2) + b3 * ((x3 - m3) / s3)))), 6)"""
 
 
 # Named sub-queries, in an order in which each uses only earlier ones.
@@ -257,16 +277,39 @@ PARTS = {
     "held_out_counts": """
         SELECT FOLD, P, count(*) FILTER (CHURNED) AS pos, count(*) FILTER (NOT CHURNED) AS neg
         FROM held_out GROUP BY FOLD, P""",
+    # churn: regressions on everyone (k = -1) and on all folds but one
+    "model_rows": f"SELECT ID_CLI, ((ID_CLI % 3) + 3) % 3 AS FOLD, CHURNED, CHURNED::INT AS y, {_INPUTS} FROM labels",
+    "model_members": "SELECT k, y, x1, x2, x3 FROM model_rows, range(-1, 3) r(k) WHERE k <> FOLD",
+    "model_scale": "SELECT k, " + ", ".join(
+        f"avg(x{j}) AS m{j}, coalesce(nullif(stddev_pop(x{j}), 0), 1) AS s{j}" for j in (1, 2, 3)
+    ) + " FROM model_members GROUP BY k",
+    "model_points": "SELECT k, y, " + ", ".join(f"(x{j} - m{j}) / s{j} AS x{j}" for j in (1, 2, 3))
+    + " FROM model_members JOIN model_scale USING (k)",
+    "newton": _newton(),
+    "modelled": f"SELECT FOLD, CHURNED, {_MODELLED} AS P FROM model_rows JOIN newton ON k = FOLD",
+    "modelled_counts": """
+        SELECT FOLD, P, count(*) FILTER (CHURNED) AS pos, count(*) FILTER (NOT CHURNED) AS neg
+        FROM modelled GROUP BY FOLD, P""",
     # baskets
     "basket_total": "SELECT count(DISTINCT ID_TICKET) AS total FROM fx_basket",
-    **{f"sets_{n}": _sets(n) for n in range(1, DEEPEST + 1)},
-    "all_sets": " UNION ALL ".join(f"SELECT * FROM sets_{n}" for n in range(1, DEEPEST + 1)),
-    "frequent": f"""
-        SELECT array_to_string(items, '|') AS ITEMS, items AS list, n, total
-        FROM all_sets, basket_total
-        WHERE CASE WHEN n < ceil(CAST({RULE_SUPPORT} AS DOUBLE) * total) THEN false
-                   WHEN len(items) = {DEEPEST} THEN error('sets are larger than the SQL counts')
-                   ELSE true END""",
+    "items": "SELECT ITEM, count(*) AS n FROM fx_basket GROUP BY ITEM",
+    "pairs": """
+        SELECT a.ITEM AS ITEM_A, b.ITEM AS ITEM_B, count(*) AS n
+        FROM fx_basket a JOIN fx_basket b ON a.ID_TICKET = b.ID_TICKET AND a.ITEM < b.ITEM
+        GROUP BY ALL""",
+    "least": f"SELECT ceil(CAST({RULE_SUPPORT} AS DOUBLE) * total) AS few FROM basket_total",
+    # Sets of each ticket's items, one item longer per step, while they are frequent.
+    "grown": """
+        WITH RECURSIVE grown(ID_TICKET, list, last, n) AS (
+          SELECT ID_TICKET, [ITEM], ITEM, n FROM fx_basket JOIN items USING (ITEM) WHERE n >= (SELECT few FROM least)
+          UNION ALL
+          SELECT * FROM (
+            SELECT ID_TICKET, list, last, count(*) OVER (PARTITION BY list) AS n
+            FROM (SELECT g.ID_TICKET, list_append(g.list, b.ITEM) AS list, b.ITEM AS last
+                  FROM grown g JOIN fx_basket b ON g.ID_TICKET = b.ID_TICKET AND b.ITEM > g.last))
+          WHERE n >= (SELECT few FROM least))
+        SELECT list, min(n) AS n FROM grown GROUP BY list""",
+    "frequent": "SELECT array_to_string(list, '|') AS ITEMS, list, n, total FROM grown, basket_total",
     "split": """
         SELECT array_to_string(list_filter(list, lambda x: x <> c), '|') AS ANTECEDENT,
                c AS CONSEQUENT, n, total
@@ -365,6 +408,15 @@ def _profile(source: str, columns: dict[str, str]) -> str:
     return " UNION ALL ".join(selects)
 
 
+def _auc(counts: str) -> str:
+    return f"""
+        SELECT CAST(a.FOLD AS INTEGER) AS FOLD,
+               sum(a.pos * b.neg * CASE WHEN a.P > b.P THEN 2 WHEN a.P = b.P THEN 1 ELSE 0 END)
+               / nullif(2 * sum(a.pos * b.neg), 0) AS AUC
+        FROM {counts} a JOIN {counts} b ON a.FOLD = b.FOLD
+        GROUP BY a.FOLD"""
+
+
 def _levels(source: str, columns: list[str]) -> str:
     selects = []
     for name in columns:
@@ -402,6 +454,11 @@ _FINAL = {
     "csv_round_trip_campaign": "SELECT * FROM fx_campaign",
     "csv_round_trip_account": "SELECT * FROM fx_account",
     "csv_round_trip_fidelity": "SELECT c_custkey AS ID_CLI FROM customer",
+    "csv_round_trip_multiline": """
+        SELECT *, CASE ID_EVENT % 5 WHEN 0 THEN 'first line' || chr(10) || 'second of ' || ID_EVENT
+                    WHEN 1 THEN 'said "yes";' || chr(13) || chr(10) || chr(13) || chr(10) || 'then left'
+                    WHEN 2 THEN chr(10) WHEN 3 THEN 'one line' END AS NOTE
+        FROM fx_event""",
     "na_tokens_default": "SELECT * FROM fx_event_missing",
     "na_tokens_address": """
         SELECT * REPLACE (CASE PRV WHEN 'NATION_0' THEN 'NA' ELSE PRV END AS PRV) FROM fx_address""",
@@ -502,12 +559,11 @@ _FINAL = {
     "churn_labels": "SELECT * FROM labels",
     "churn_labels_160": _churn("160"),
     "churn_scores": "SELECT ID_CLI, RECENCY, FREQUENCY, MONETARY, CHURN_PROBABILITY FROM churn_scored",
-    "churn_quality": """
-        SELECT CAST(a.FOLD AS INTEGER) AS FOLD,
-               sum(a.pos * b.neg * CASE WHEN a.P > b.P THEN 2 WHEN a.P = b.P THEN 1 ELSE 0 END)
-               / nullif(2 * sum(a.pos * b.neg), 0) AS AUC
-        FROM held_out_counts a JOIN held_out_counts b ON a.FOLD = b.FOLD
-        GROUP BY a.FOLD""",
+    "churn_quality": _auc("held_out_counts"),
+    "churn_model_scores": f"""
+        SELECT ID_CLI, RECENCY, FREQUENCY, MONETARY, {_MODELLED} AS CHURN_PROBABILITY
+        FROM (SELECT *, {_INPUTS} FROM rfm_base) JOIN newton ON k = -1""",
+    "churn_model_quality": _auc("modelled_counts"),
     "churn_targets": """
         SELECT c.ID_CLI, RECENCY, FREQUENCY, MONETARY, CHURN_PROBABILITY,
                CHURN_PROBABILITY * MONETARY AS MONEY_AT_RISK, coalesce(SENDS, 0) AS SENDS,
@@ -517,11 +573,10 @@ _FINAL = {
                  count(*) FILTER (CLICKED) AS CLICKS
           FROM funnel GROUP BY ID_CLI) f ON c.ID_CLI = f.ID_CLI""",
     "basket_pairs": f"""
-        SELECT p.items[1] AS ITEM_A, p.items[2] AS ITEM_B, p.n AS TICKETS, p.n / total AS SUPPORT,
+        SELECT ITEM_A, ITEM_B, p.n AS TICKETS, p.n / total AS SUPPORT,
                p.n / a.n AS CONFIDENCE_AB, p.n / b.n AS CONFIDENCE_BA,
                p.n / a.n / (b.n / total) AS LIFT
-        FROM sets_2 p JOIN sets_1 a ON p.items[1] = a.items[1] JOIN sets_1 b ON p.items[2] = b.items[1],
-             basket_total
+        FROM pairs p JOIN items a ON ITEM_A = a.ITEM JOIN items b ON ITEM_B = b.ITEM, basket_total
         WHERE p.n >= ceil(CAST({PAIR_SUPPORT} AS DOUBLE) * total)""",
     "basket_sets": "SELECT ITEMS, CAST(len(list) AS INTEGER) AS SIZE, n AS TICKETS FROM frequent",
     "basket_rules": f"""

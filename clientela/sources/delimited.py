@@ -7,6 +7,7 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientela.functions.missing import tokens_to_null
+from clientela.sources.records import odd_quotes, whole_records
 from clientela.sources.tables import TABLES, Table
 
 _FORMAT = {"sep": ";", "quote": '"', "escape": '"'}
@@ -59,14 +60,11 @@ def _records(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     names = next(csv.reader([header[0]], delimiter=";"))
     schema = ", ".join(f"`{name}` string" for name in [*names, _SURPLUS])
     if multiline:
-        # Read as one record per file part: quotes are balanced by construction.
-        read = spark.read.schema(schema).csv(path, header=True, multiLine=True, **_FORMAT)
-        return read.withColumn(_OPEN, F.lit(False))
-    lines = spark.read.text(path).where((F.col("value") != header[0]) & (F.trim("value") != ""))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    parsed = lines.select(
-        F.from_csv("value", schema, _FORMAT).alias("fields"), (quotes % 2 == 1).alias(_OPEN)
-    )
+        lines = whole_records(spark, path).where(F.col("value") != header[0])
+    else:
+        lines = spark.read.text(path).where((F.col("value") != header[0]) & (F.trim("value") != ""))
+        lines = lines.withColumn("open", odd_quotes(F.col("value")))
+    parsed = lines.select(F.from_csv("value", schema, _FORMAT).alias("fields"), F.col("open").alias(_OPEN))
     return parsed.select("fields.*", _OPEN)
 
 
@@ -75,12 +73,13 @@ def scan_table(
 ) -> DataFrame:
     """Read one input table. Nothing is inferred: all text, then cast by name.
 
-    Records are one line each, so that large files split across tasks; with
-    ``multiline`` quoted values may have line breaks, and a file is one task.
-    Lines equal to the header are headers. Records with fewer fields than the
-    header are filled up. A surplus field, a quote that a line leaves open and a
-    number that cannot be read fail with the value; if not ``strict``, what
-    cannot be kept is lost as ``scan_losses`` counts it.
+    Records are one line each; with ``multiline`` quoted values may have line
+    breaks, for one shuffle of the lines. Large files split across tasks either
+    way. The header is one line. Lines equal to it are headers. Records with
+    fewer fields than the header are filled up. A surplus field, a quote that is
+    left open, by a line or with ``multiline`` by a file, and a number that cannot
+    be read fail with the value; if not ``strict``, what cannot be kept is lost as
+    ``scan_losses`` counts it.
     """
     return scan_file(spark, f"{data_dir}/{TABLES[table].file}", TABLES[table], multiline, strict)
 
@@ -118,7 +117,8 @@ def scan_losses(spark: SparkSession, data_dir: str, table: str, multiline: bool
 
 
 def write_table(df: DataFrame, data_dir: str, table: str) -> None:
-    """Write ``df`` in the layout that ``scan_table`` reads.
+    """Write ``df`` in the layout that ``scan_table`` reads, with ``multiline`` if
+    values have line breaks.
 
     Missing values become the table's first token. That is NA where it may be,
     because a row of nothing but empty fields could be taken for a blank line.

@@ -95,6 +95,18 @@ def event(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a text column whose values have line breaks, quotes and separators."""
+    key = F.col("ID_EVENT")
+    note = (
+        F.when(key % 5 == 0, F.concat(F.lit("first line\nsecond of "), key.cast("string")))
+        .when(key % 5 == 1, F.lit('said "yes";\r\n\r\nthen left'))
+        .when(key % 5 == 2, F.lit("\n"))
+        .when(key % 5 == 3, F.lit("one line"))
+    )
+    return event(spark, sf_dir).withColumn("NOTE", note)
+
+
 def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as text with missing values, written as NA or as nothing."""
     rows = event(spark, sf_dir)
