@@ -68,13 +68,16 @@ def failures(docs: DataFrame, part: str = "source") -> DataFrame:
     """
     named = docs.select(F.col("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), "text")
     facts = stored(named.mapInArrow(_facts, "doc_id long, part string, failing int, digest binary"))
-    # Combined in the tasks first; only texts with two ids are looked up again.
-    spread = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = spread.where("first < last").select("digest", "first")
-    later = F.when(F.col("doc_id") > F.col("first"), 1 << 4).otherwise(0)
-    return facts.join(repeated, "digest", "left").select(
+    # Equal texts are combined in the tasks first, and rows then look up themselves,
+    # not their text: a text that most rows share leaves one row per task and is
+    # looked up under as many keys as it has ids.
+    known = facts.where(F.col("doc_id").isNotNull())
+    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("is_first", F.lit(True))
+    later = F.when(F.col("is_first").isNull(), 1 << 4).otherwise(0)
+    judged = known.join(firsts, ["doc_id", "digest"], "left").select(
         "doc_id", "part", F.col("failing").bitwiseOR(later).alias("failing")
     )
+    return judged.unionByName(facts.where(F.col("doc_id").isNull()).select(*judged.columns))
 
 
 def truth_table(filters: int) -> np.ndarray:
