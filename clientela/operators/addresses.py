@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clientela.functions.missing import choose
-from clientela.functions.shares import running_share
+from clientela.functions.shares import running_totals
 from clientela.operators.distributions import distinct_share
 
 # Fixed value: the share of addresses the best provinces have to reach.
@@ -48,19 +48,23 @@ def region_shares(complete: DataFrame) -> DataFrame:
 def best_provinces(shares: DataFrame) -> DataFrame:
     """Label the largest provinces that together reach the coverage, others 'others'.
 
-    Provinces are a closed list, so the ordered windows see few rows. The label
-    keeps two edge cases of the analysis it follows: a first province that is
-    above the coverage on its own has no predecessor and hence a null label, and
-    a running share of exactly the coverage is neither below nor above it.
+    Provinces are text, so there may be any number of them. What the province
+    before covers is the running sum without the own one. The label keeps two
+    edge cases of the analysis it follows: a first province that is above the
+    coverage on its own has no predecessor and hence a null label, and a running
+    share of exactly the coverage is neither below nor above it.
     """
     order = [F.desc("PERCENT"), F.asc_nulls_last("PRV")]
-    covered = F.col("PERCENT_COVERED")
-    crosses = (covered > COVERAGE) & (F.lag(covered).over(Window.orderBy(*order)) < COVERAGE)
+    summed = running_totals(shares, "TOT_ID_ADDRESS", order, "running", "total")
+    before = F.col("running") - F.col("TOT_ID_ADDRESS")
+    covered = F.try_divide("running", "total")
+    crosses = (covered > COVERAGE) & (F.when(before > 0, F.try_divide(before, F.col("total"))) < COVERAGE)
     return (
-        shares.withColumn("PERCENT_COVERED", running_share("TOT_ID_ADDRESS", order))
+        summed.withColumn("PERCENT_COVERED", covered)
         .withColumn("PRV", F.col("PRV").cast("string"))
         .withColumn("AUX", (covered < COVERAGE) | crosses)
         .withColumn("BEST_PRV", choose(F.col("AUX"), F.col("PRV"), F.lit("others")))
+        .select(*shares.columns, "PERCENT_COVERED", "AUX", "BEST_PRV")
     )
 
 

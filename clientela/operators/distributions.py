@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clientela.functions.missing import n_distinct, strict_max, strict_min
-from clientela.functions.shares import running_share, share_of_total
+from clientela.functions.shares import with_running_share, with_share
 
 
 def distinct_share(df: DataFrame, by: str, key: str, count: str) -> DataFrame:
     """Distinct keys per value and their share of the summed counts, largest first.
 
-    ``by`` has few values, which one task adds up: provinces and regions are a
-    closed set, and n different counts of opens take n * n / 2 events of one
-    delivery. There may be any number of keys.
+    There may be any number of keys and of values.
     """
     counts = df.groupBy(by).agg(n_distinct(key).alias(count))
-    return counts.withColumn("PERCENT", share_of_total(count)).orderBy(
-        F.desc("PERCENT"), F.asc_nulls_last(by)
-    )
+    return with_share(counts, count, "PERCENT").orderBy(F.desc("PERCENT"), F.asc_nulls_last(by))
 
 
 # The names of dates, totals and shares in the results below.
@@ -96,7 +92,7 @@ def days_to_open(funnel: DataFrame) -> DataFrame:
 def days_to_open_cumulative(days: DataFrame) -> DataFrame:
     """Share of clients who open within so many days; one row per day count."""
     order = F.asc_nulls_last("AVG_DAYS_TO_OPEN")
-    return days.withColumn("PERCENT_COVERED", running_share("TOT_CLIs", [order])).orderBy(order)
+    return with_running_share(days, "TOT_CLIs", [order], "PERCENT_COVERED").orderBy(order)
 
 
 def opens_per_send(funnel: DataFrame) -> DataFrame:

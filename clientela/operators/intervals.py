@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clientela.functions.missing import strict_max
-from clientela.functions.shares import running_share
+from clientela.functions.shares import with_running_share
 
 # Fixed value: the share of customers the repurchase interval has to cover.
 RETURNING_SHARE = 0.9
@@ -46,6 +46,4 @@ def gap_quantile(longest: DataFrame, prob: float = RETURNING_SHARE) -> DataFrame
 
 def gap_distribution(longest: DataFrame) -> DataFrame:
     """Share of customers whose longest gap is at most so many days."""
-    return gap_histogram(longest).select(
-        "Max", "n", running_share("n", [F.asc("Max")]).alias("SHARE")
-    )
+    return with_running_share(gap_histogram(longest), "n", [F.asc("Max")], "SHARE")

@@ -1,0 +1,69 @@
+"""Shares and running shares against Python, and how they are distributed."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from clientela.functions.shares import running_totals, with_running_share, with_share
+
+from helpers import plan
+
+
+def _rows(seed, n):
+    rng = random.Random(seed)
+    return [(rng.choice([None, *"abcdef"]) and f"{rng.choice('abc')}{i}", rng.choice([0, 1, 1, 1, 50, 10**6]), i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed,n,partitions", [(0, 500, 8), (1, 500, 3), (2, 1, 8), (3, 40, 50)])
+def test_running_totals(spark, settings, seed, n, partitions):
+    settings(spark__sql__shuffle__partitions=partitions, spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = _rows(seed, n)
+    df = spark.createDataFrame(rows, "name string, n bigint, i int").repartition(4)
+    order = [F.desc("n"), F.asc_nulls_last("name"), F.asc("i")]
+    got = {r.i: (r.running, r.total) for r in running_totals(df, "n", order, "running", "total").collect()}
+    so_far, want = 0, {}
+    for name, amount, i in sorted(rows, key=lambda r: (-r[1], r[0] is None, r[0] or "", r[2])):
+        so_far += amount
+        want[i] = so_far
+    assert got == {i: (v, so_far) for i, v in want.items()}
+
+
+def test_shares_add_up_and_are_null_without_a_total(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 0)], "k string, n bigint")
+    assert {r.k: r.s for r in with_share(df, "n", "s").collect()} == {"a": 0.25, "b": 0.75, "c": 0.0}
+    running = with_running_share(df, "n", [F.asc("k")], "s")
+    assert {r.k: r.s for r in running.collect()} == {"a": 0.25, "b": 1.0, "c": 1.0}
+    nothing = df.withColumn("n", F.lit(0).cast("bigint"))
+    assert {r.s for r in with_share(nothing, "n", "s").collect()} == {None}
+    assert {r.s for r in with_running_share(nothing, "n", [F.asc("k")], "s").collect()} == {None}
+    for empty in (with_share(df.where("false"), "n", "s"), with_running_share(df.where("false"), "n", [F.asc("k")], "s")):
+        assert empty.columns == ["k", "n", "s"] and empty.collect() == []
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6)], "part int, before int, running int, total int, _total int, n bigint")
+    row = with_running_share(df, "n", [F.asc("part")], "s").first()
+    assert tuple(row) == (1, 2, 3, 4, 5, 6, 1.0)
+
+
+def test_no_task_sees_all_rows(spark, settings):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false")
+    df = spark.range(0, 200_000, 1, 8).select(F.concat(F.lit("p"), "id").alias("k"), F.lit(1).cast("bigint").alias("n"))
+    counts = df.groupBy("k").agg(F.sum("n").alias("n"))
+    shares = with_running_share(counts, "n", [F.desc("n"), F.asc("k")], "s")
+    last = shares.agg(F.max("s"), F.min("s"), F.count_distinct("s")).first()
+    assert tuple(last) == (1.0, 1 / 200_000, 200_000)
+    sizes = [r["count"] for r in shares.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 60_000
+    text = shares._jdf.queryExecution().executedPlan().toString()
+    # The window over everything sees one row per range, after their sums.
+    whole = [line for line in text.splitlines() if "Window [" in line and "range_sum" in line]
+    assert len(whole) >= 2 and sum("Window [" in line for line in text.splitlines()) == len(whole) + 1
+
+
+def test_the_total_reads_the_same_shuffle(spark):
+    df = spark.range(1000).groupBy(F.col("id") % 7).agg(F.count_distinct("id").alias("n"))
+    shares = with_share(df, "n", "s")
+    shares.collect()
+    assert "ReusedExchange" in plan(shares) and "Window" not in plan(shares)
