@@ -54,7 +54,7 @@ class _Span:
         return F.when(self.holds(), F.least(F.floor(place * parts), F.lit(parts - 1)))
 
 
-def _leading_key(column: str, block: int) -> Column:
+def leading_key(column: str, block: int = BLOCK) -> Column:
     """A whole number that never falls where the value rises.
 
     Logarithm, product and floor are monotone in floating point. Infinite values
@@ -135,7 +135,7 @@ def exact_quantiles(
     names = {name: f"v{i}" for i, name in enumerate(columns)}
     values = df.select(*(columns[name].cast("double").alias(v) for name, v in names.items()))
     parts = list(names.values())
-    counts = _counted(values, parts, [_leading_key(v, block) for v in parts])
+    counts = _counted(values, parts, [leading_key(v, block) for v in parts])
     totals, means, places = {}, {}, {}
     at: dict[tuple[str, int], float] = {}
     few: list[_Span] = []

@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clientela.functions.logistic import Logistic, fit_logistics
+from clientela.functions.ranking import top_per_group
 from clientela.operators.intervals import gap_quantile, longest_gaps, repurchase_gaps
-from clientela.operators.rfm import MEASURES, Limits, last_day, purchase_history, with_scores
+from clientela.operators.rfm import MEASURES, Limits, last_day, money, purchase_history, with_scores
+from clientela.sources.scratch import stored
 
 CELL = ["R_SCORE", "F_SCORE", "M_SCORE"]
 FOLDS = 3
@@ -25,15 +27,17 @@ FOLDS = 3
 DECIMALS = 6
 
 
+def horizon(ticket: DataFrame, horizon_days: int | None = None) -> Column:
+    """Days that a label looks ahead, as a scalar."""
+    if horizon_days is not None:
+        return F.lit(horizon_days)
+    days = gap_quantile(longest_gaps(repurchase_gaps(ticket)))
+    return days.select(F.ceil("DAYS").cast("int")).scalar()
+
+
 def reference_day(ticket: DataFrame, horizon_days: int | None = None) -> Column:
     """The day whose customers are labelled, as a scalar."""
-    if horizon_days is None:
-        horizon = gap_quantile(longest_gaps(repurchase_gaps(ticket))).select(
-            F.ceil("DAYS").cast("int")
-        ).scalar()
-    else:
-        horizon = F.lit(horizon_days)
-    return F.date_sub(last_day(ticket), horizon)
+    return F.date_sub(last_day(ticket), horizon(ticket, horizon_days))
 
 
 def churn_labels(ticket: DataFrame, horizon_days: int | None = None) -> DataFrame:
@@ -44,6 +48,67 @@ def churn_labels(ticket: DataFrame, horizon_days: int | None = None) -> DataFram
     )
 
 
+def rolling_labels(
+    ticket: DataFrame, days_apart: int = 30, windows: int = 12, horizon_days: int | None = None
+) -> DataFrame:
+    """``churn_labels`` at ``windows`` reference days, each so many days before the next.
+
+    The last is that of ``churn_labels`` and has the same rows. Earlier ones know
+    the history up to their own day, and a customer has churned who did not buy
+    within the horizon after it.
+
+    A purchase belongs to the windows that began before it and to those whose
+    horizon holds it: two ranges of window numbers that follow from its date, so
+    there is no join. History is first summed between reference days; what is
+    expanded is at most ``windows`` rows of a customer and window.
+    """
+    known = ticket.where(F.col("ID_CLI").isNotNull() & F.col("TIC_DATE").isNotNull())
+    ahead = horizon(ticket, horizon_days)
+    last = reference_day(ticket, horizon_days)
+    # Window 0 is the last one; a purchase on day t is known to windows 0 to this.
+    earliest = F.floor(F.date_diff(last, "TIC_DATE") / days_apart).cast("int")
+    bucket = F.least(earliest, F.lit(windows - 1))
+
+    tickets = (
+        known.withColumn("bucket", bucket)
+        .where(F.col("bucket") >= 0)
+        .groupBy("ID_CLI", "ID_TICKET", "bucket")
+        .agg(F.max("TIC_DATE").alias("LAST_DATE"), F.sum(money("AMOUNT")).alias("spent"))
+    )
+    # A ticket with rows on both sides of a reference day counts where it begins.
+    begins = F.col("bucket") == F.max("bucket").over(Window.partitionBy("ID_CLI", "ID_TICKET"))
+    new = F.when(begins & F.col("ID_TICKET").isNotNull(), 1).otherwise(0).cast("bigint")
+    between = (
+        tickets.withColumn("new", new)
+        .groupBy("ID_CLI", "bucket")
+        .agg(F.max("LAST_DATE").alias("LAST_DATE"), F.sum("new").alias("new"), F.sum("spent").alias("spent"))
+    )
+    histories = between.select(
+        "ID_CLI", F.explode(F.sequence(F.lit(0), "bucket")).alias("window"), "LAST_DATE", "new", "spent",
+        F.lit(False).alias("after"),
+    )
+    first = F.greatest(earliest + 1, F.lit(0))
+    until = F.floor((F.date_diff(last, "TIC_DATE") + ahead) / days_apart).cast("int")
+    held = F.sequence(first, F.least(until, F.lit(windows - 1)))
+    returns = known.select(
+        "ID_CLI", F.explode(F.when(first <= F.least(until, F.lit(windows - 1)), held)).alias("window"),
+        F.lit(None).cast("date").alias("LAST_DATE"), F.lit(0).cast("bigint").alias("new"),
+        F.lit(None).cast("decimal(28,2)").alias("spent"), F.lit(True).alias("after"),
+    )
+    labelled = (
+        histories.unionByName(returns)
+        .groupBy("ID_CLI", "window")
+        .agg(
+            F.max("LAST_DATE").alias("LAST_DATE"), F.sum("new").alias("FREQUENCY"),
+            F.sum("spent").cast("double").alias("MONETARY"), (~F.bool_or("after")).alias("CHURNED"),
+        )
+        .where(F.col("LAST_DATE").isNotNull())
+        .withColumn("REF_DATE", F.date_sub(last, F.col("window") * days_apart))
+    )
+    recency = F.date_diff("REF_DATE", "LAST_DATE").alias("RECENCY")
+    return labelled.select("REF_DATE", "ID_CLI", "LAST_DATE", recency, "FREQUENCY", "MONETARY", "CHURNED")
+
+
 def churn_rates(scored: DataFrame) -> DataFrame:
     """Churn per cell of scores, all 125 of them: R_SCORE, F_SCORE, M_SCORE, CHURN_PROBABILITY.
 
@@ -137,6 +202,17 @@ def money_at_risk(scores: DataFrame) -> DataFrame:
     return scores.withColumn("MONEY_AT_RISK", F.col("CHURN_PROBABILITY") * F.col("MONETARY"))
 
 
+def top_targets(risks: DataFrame, funnel: DataFrame, k: int) -> DataFrame:
+    """Whom to address first: per campaign type the ``k`` customers with most money at risk.
+
+    The customers of a type are those it was sent to; all scored customers are in
+    ``risks``. Equal risks go to the smaller id.
+    """
+    reached = funnel.where(F.col("ID_CLI").isNotNull()).select("TYP_CAMP", "ID_CLI").distinct()
+    candidates = stored(reached.join(risks, "ID_CLI").select("TYP_CAMP", "ID_CLI", "CHURN_PROBABILITY", "MONEY_AT_RISK"))
+    return top_per_group(candidates, "TYP_CAMP", "MONEY_AT_RISK", "ID_CLI", k)
+
+
 def with_engagement(customers: DataFrame, funnel: DataFrame) -> DataFrame:
     """How the customers reacted to email so far."""
     engagement = funnel.groupBy("ID_CLI").agg(

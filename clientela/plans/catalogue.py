@@ -17,6 +17,8 @@ from clientela.operators import (
     intervals,
     quality,
     rfm,
+    summary,
+    survival,
     touches,
 )
 from clientela.operators.funnel import email_funnel
@@ -31,6 +33,9 @@ PAIR_SUPPORT = 0.02
 RULE_SUPPORT = 0.004
 RULE_CONFIDENCE = 0.05
 
+# Customers that a campaign addresses first.
+TARGETS = 100
+
 FLAGS = {"opened": "OPENED", "clicked": "CLICKED", "failed": "FAILED"}
 
 
@@ -98,6 +103,14 @@ def sink_region_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sink_region_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/df_3_reg.csv"
+    delimited.write_csv_file(dist_region(spark, sf_dir), path)
+    return delimited.read_csv(
+        spark, path, "REGION string, TOT_ID_ADDRESS bigint, PERCENT double"
+    )
+
+
 def account_address_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts with the address they refer to; a null id finds the null id."""
     return null_safe_join(
@@ -207,6 +220,15 @@ def basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.basket_pairs(tickets, PAIR_SUPPORT)
 
 
+def churn_targets_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    risks = churn.money_at_risk(churn_scores(spark, sf_dir))
+    return churn.top_targets(risks, funnel(spark, sf_dir), TARGETS)
+
+
+def gap_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival.survival(survival.purchase_clocks(star.ticket(spark, sf_dir)))
+
+
 def _basket_model(spark: SparkSession, sf_dir: str) -> basket.BasketModel:
     tickets = basket.baskets(star.basket(spark, sf_dir), RULE_SUPPORT)
     return basket.basket_model(tickets, RULE_SUPPORT, RULE_CONFIDENCE)
@@ -224,6 +246,7 @@ QUERIES: dict[str, Query] = {
     "na_tokens_default": na_tokens_default,
     "na_tokens_address": na_tokens_address,
     "sink_region_csv": sink_region_csv,
+    "sink_region_csv_file": sink_region_csv_file,
     # addresses
     "addr_duplicate_audit": lambda s, d: quality.duplicate_audit(
         star.address(s, d), "ID_ADDRESS", "TOT_ID_ADDRESSes"
@@ -288,6 +311,7 @@ QUERIES: dict[str, Query] = {
     **{f"flag_share_by_type_{name}": _flag_shares(flag, True) for name, flag in FLAGS.items()},
     **{f"chart_stack_by_type_{name}": _chart_stacked(flag) for name, flag in FLAGS.items()},
     **{f"chart_fill_by_type_{name}": _chart_filled(flag, True) for name, flag in FLAGS.items()},
+    "funnel_summary": lambda s, d: summary.funnel_summary(stored(summary.seen_ids(funnel(s, d)))),
     # profiles
     "profile_address": lambda s, d: quality.profile(star.address(s, d)),
     "profile_address_clean": lambda s, d: quality.profile(clean_addresses(s, d)),
@@ -310,6 +334,8 @@ QUERIES: dict[str, Query] = {
     "max_gap_per_customer": longest_gaps,
     "gap_quantile_90": lambda s, d: intervals.gap_quantile(longest_gaps(s, d)),
     "gap_ecdf": lambda s, d: intervals.gap_distribution(longest_gaps(s, d)),
+    "gap_survival": gap_survival,
+    "gap_survival_90": lambda s, d: survival.returning_day(gap_survival(s, d)),
     # customer value
     "rfm_base": lambda s, d: rfm.rfm_base(star.ticket(s, d)),
     "rfm_scores": lambda s, d: rfm.rfm_scores(star.ticket(s, d)),
@@ -317,11 +343,13 @@ QUERIES: dict[str, Query] = {
     # churn
     "churn_labels": labels,
     "churn_labels_160": lambda s, d: churn.churn_labels(star.ticket(s, d), horizon_days=160),
+    "churn_labels_rolling": lambda s, d: churn.rolling_labels(star.ticket(s, d)),
     "churn_scores": churn_scores,
     "churn_quality": lambda s, d: churn.churn_quality(_scored_labels(s, d)[0]),
     "churn_model_scores": churn_model_scores,
     "churn_model_quality": lambda s, d: churn.model_quality(stored(labels(s, d))),
     "churn_targets": churn_targets,
+    "churn_targets_top": churn_targets_top,
     # baskets
     "basket_pairs": basket_pairs,
     "basket_sets": lambda s, d: basket.frequent_sets(_basket_model(s, d)),

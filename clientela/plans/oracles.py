@@ -7,7 +7,7 @@ on views named like the parquet files.
 
 from __future__ import annotations
 
-from clientela.plans.catalogue import FLAGS, PAIR_SUPPORT, RULE_CONFIDENCE, RULE_SUPPORT
+from clientela.plans.catalogue import FLAGS, PAIR_SUPPORT, RULE_CONFIDENCE, RULE_SUPPORT, TARGETS
 
 KEYS = "ID_CLI, ID_CAMP, ID_DELIVERY"
 
@@ -213,6 +213,20 @@ PARTS = {
           FROM purchases)
         WHERE diff > 0""",
     "longest": "SELECT ID_CLI, max(diff) AS Max FROM gaps GROUP BY ID_CLI",
+    "clocks": """
+        SELECT ID_CLI, CAST(coalesce(following, (SELECT max(TIC_DATE) FROM fx_ticket)) - TIC_DATE AS INTEGER) AS DAYS,
+               following IS NOT NULL AS RETURNED
+        FROM (SELECT ID_CLI, TIC_DATE, lead(TIC_DATE) OVER (PARTITION BY ID_CLI ORDER BY TIC_DATE) AS following
+              FROM (SELECT DISTINCT ID_CLI, TIC_DATE FROM purchases))""",
+    "ended": """
+        SELECT DAYS, count(*) FILTER (RETURNED) AS RETURNED, count(*) FILTER (NOT RETURNED) AS CENSORED
+        FROM clocks GROUP BY DAYS""",
+    "running": """
+        SELECT a.DAYS, a.RETURNED, a.CENSORED, CAST(sum(b.RETURNED + b.CENSORED) AS BIGINT) AS AT_RISK
+        FROM ended a JOIN ended b ON b.DAYS >= a.DAYS GROUP BY ALL""",
+    "survival": """
+        SELECT a.DAYS, a.AT_RISK, a.RETURNED, a.CENSORED, round(product(1 - b.RETURNED / b.AT_RISK), 9) AS SURVIVAL
+        FROM running a JOIN running b ON b.DAYS <= a.DAYS GROUP BY ALL""",
     # customer value
     "rfm_base": """
         SELECT ID_CLI, max(TIC_DATE) AS LAST_DATE,
@@ -558,6 +572,17 @@ _FINAL = {
         FROM rfm_named GROUP BY SEGMENT""",
     "churn_labels": "SELECT * FROM labels",
     "churn_labels_160": _churn("160"),
+    "churn_labels_rolling": """
+        SELECT REF_DATE, ID_CLI, max(TIC_DATE) FILTER (TIC_DATE <= REF_DATE) AS LAST_DATE,
+               CAST(max(REF_DATE) - max(TIC_DATE) FILTER (TIC_DATE <= REF_DATE) AS INTEGER) AS RECENCY,
+               count(DISTINCT ID_TICKET) FILTER (TIC_DATE <= REF_DATE) AS FREQUENCY,
+               CAST(sum(CAST(AMOUNT AS DECIMAL(18,2))) FILTER (TIC_DATE <= REF_DATE) AS DOUBLE) AS MONETARY,
+               count(*) FILTER (TIC_DATE > REF_DATE AND TIC_DATE <= REF_DATE + ahead) = 0 AS CHURNED
+        FROM purchases, (SELECT ahead, max_day - ahead - CAST(30 * w AS INTEGER) AS REF_DATE
+                         FROM (SELECT max(TIC_DATE) AS max_day FROM fx_ticket),
+                              (SELECT CAST(ceil(quantile_cont(CAST(Max AS DOUBLE), 0.9)) AS INTEGER) AS ahead FROM longest),
+                              range(0, 12) r(w))
+        GROUP BY ID_CLI, REF_DATE HAVING count(*) FILTER (TIC_DATE <= REF_DATE) > 0""",
     "churn_scores": "SELECT ID_CLI, RECENCY, FREQUENCY, MONETARY, CHURN_PROBABILITY FROM churn_scored",
     "churn_quality": _auc("held_out_counts"),
     "churn_model_scores": f"""
@@ -572,6 +597,30 @@ _FINAL = {
           SELECT ID_CLI, count(*) AS SENDS, count(*) FILTER (OPENED) AS OPENS,
                  count(*) FILTER (CLICKED) AS CLICKS
           FROM funnel GROUP BY ID_CLI) f ON c.ID_CLI = f.ID_CLI""",
+    "churn_targets_top": f"""
+        SELECT TYP_CAMP, ID_CLI, CHURN_PROBABILITY, MONEY_AT_RISK, CAST(RANK AS INTEGER) AS RANK
+        FROM (SELECT *, row_number() OVER (PARTITION BY TYP_CAMP ORDER BY MONEY_AT_RISK DESC, ID_CLI) AS RANK
+              FROM (SELECT DISTINCT TYP_CAMP, ID_CLI FROM funnel)
+              JOIN (SELECT ID_CLI, CHURN_PROBABILITY, CHURN_PROBABILITY * MONETARY AS MONEY_AT_RISK FROM churn_scored) USING (ID_CLI))
+        WHERE RANK <= {TARGETS}""",
+    "gap_survival": "SELECT * FROM survival",
+    "gap_survival_90": """
+        SELECT min(DAYS) FILTER (SURVIVAL <= 0.1) AS DAYS, min(SURVIVAL) AS LAST_SURVIVAL,
+               CAST(coalesce(sum(RETURNED + CENSORED), 0) AS BIGINT) AS CLOCKS
+        FROM survival""",
+    "sink_region_csv_file": "SELECT * FROM dist_region",
+    "funnel_summary": " UNION ALL ".join(
+        [
+            f"SELECT '{scope}' AS SCOPE, TYP_CAMP, '{flag}' AS FLAG, {flag} AS SIDE, * EXCLUDE (TYP_CAMP, {flag})"
+            f" FROM ({_shares(flag, scope == 'type')})"
+            for scope in ("all", "type") for flag in FLAGS.values()
+        ]
+        + [
+            f"SELECT '{scope}', {name}, NULL, NULL, TOT_EVENTs, TOT_CLIs, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE)"
+            f" FROM ({_overview(by)})"
+            for scope, name, by in (("all", "'ALL'", ""), ("type", "TYP_CAMP", "TYP_CAMP"))
+        ]
+    ),
     "basket_pairs": f"""
         SELECT ITEM_A, ITEM_B, p.n AS TICKETS, p.n / total AS SUPPORT,
                p.n / a.n AS CONFIDENCE_AB, p.n / b.n AS CONFIDENCE_BA,

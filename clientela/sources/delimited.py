@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientela.functions.missing import tokens_to_null
 from clientela.sources.records import odd_quotes, whole_records
+from clientela.sources.scratch import stored
 from clientela.sources.tables import TABLES, Table
 
 _FORMAT = {"sep": ";", "quote": '"', "escape": '"'}
@@ -140,15 +141,44 @@ def write_table(df: DataFrame, data_dir: str, table: str) -> None:
     )
 
 
+_RESULT = {
+    "header": True, "nullValue": "NA", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a result table: comma separated, header, NA for missing, no row numbers."""
-    df.write.mode("overwrite").csv(
-        path,
-        header=True,
-        nullValue="NA",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    df.write.mode("overwrite").csv(path, **_RESULT)
+
+
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """``write_csv`` to one file at ``path``, rows in the order of ``df``.
+
+    All tasks compute the rows, which are stored with their place; then one task
+    writes them in order, sorting with spill, since a file has one writer. The
+    finished file is renamed to ``path`` on the session's file system, over an
+    earlier one. Until then everything is in the folder ``path`` + ``.parts``,
+    which a failed attempt leaves behind and the next one writes over.
+    """
+    spark = df.sparkSession
+    folder = f"{path}.parts"
+    place = "place"
+    while place in {c.lower() for c in df.columns}:
+        place = f"_{place}"
+    rows = stored(df.withColumn(place, F.monotonically_increasing_id()), f"{folder}/rows")
+    ordered = rows.coalesce(1).sortWithinPartitions(place).drop(place)
+    ordered.write.mode("overwrite").csv(f"{folder}/csv", **_RESULT)
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = hadoop.Path(f"{folder}/csv")
+    files = parts.getFileSystem(conf)
+    (written,) = [s.getPath() for s in files.globStatus(hadoop.Path(parts, "part-*"))]
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    target = files.makeQualified(hadoop.Path(path))
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(written, target, over)
+    files.delete(hadoop.Path(folder), True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
