@@ -2,17 +2,16 @@
 
 A classifier learned from a labelled table gives each document a probability of
 every domain. Its tokens then belong to all domains by those probabilities, and
-document rates are fitted so that the expected tokens of the domains, rate x
-tokens x probability, meet the targets. The clean domain sets the scale: others
-are lowered to their weight beside it, and scarce ones fall short. DataFrame
-functions only; the driver solves for one number per domain.
+nonnegative document rates are fitted by projected gradient steps so that the
+expected tokens of the domains, rate x tokens x probability, come as near to the
+targets as least squares can. The clean domain sets the scale of the targets.
+DataFrame functions only; the driver solves for one number per domain.
 """
 
 from __future__ import annotations
 
 import json
-import warnings
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 from math import inf, log
 from zlib import crc32
@@ -45,15 +44,22 @@ LEAST_LIFT = 3.0
 LEAST_SURPRISE = 10.0
 # Words' log odds are looked up by hash, in so many lists.
 BUCKETS = 4096
-MOST_STEPS = 40
+# How often a document of a scarce domain is taken at most; others are never repeated.
+MOST_RATE = 4.0
+# The part of what repeating gives that a scarce domain's target asks for at most.
+ATTAINED = 0.98
+# The part of the clean domain that targets may shrink to where domains overlap.
+LEAST_SCALE = 0.02
+# Targets are met if no domain misses by more than this share of all wanted tokens,
+# and out of reach if one still misses by more than UNMET when the steps end.
 CLOSE = 1e-6
-# Parts of a Newton step, and of a step scaled by the diagonal, that one pass
-# tries, and the most passes.
-TRIED = (4.0, 1.0, 0.25, 0.05, 0.002)
-TRIED_DIAGONAL = (1.0, 0.1, 0.003)
+UNMET = 1e-3
 MOST_PASSES = 60
-# Domains with a smaller share of the tokens do not set the scale, and smaller
-# weights count as this one: probabilities are never quite 0.
+# Multiples of a step by all documents, which is sure to lower the misses, and of
+# one by the documents that are free to move, that one pass tries.
+TRIED_ALL = (1.0, 4.0, 20.0)
+TRIED_FREE = (1.0, 0.4, 0.1)
+# Domains with a smaller share of the tokens do not set the scale.
 NEGLIGIBLE = 1e-3
 
 
@@ -64,6 +70,8 @@ class DomainModel:
     priors: dict[str, float]
     bins: dict[str, dict[str, list[float]]]
     words: dict[str, dict[str, tuple[float, float]]]
+    # Whether two domains had labelled documents.
+    tells: bool
 
 
 def described(docs: DataFrame, *keep: str) -> DataFrame:
@@ -168,6 +176,7 @@ def fit_domains(
         priors,
         {d: {s: bin_logs(d, s) for s in STATISTICS} for d in domains},
         {d: {w: word_logs(d, w) for w in vocabulary} for d in domains},
+        sum(n > 0 for n in size.values()) > 1,
     )
 
 
@@ -216,153 +225,206 @@ def domain_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     )
 
 
-def _rate(domains: list[str], steps: list[list[float]]) -> Column:
-    """The rate after the steps: down the gradient, and back to zero if below."""
-    rate = F.lit(1.0)
-    for step in steps:
-        change = sum((F.col(f"p_{d}") * F.lit(g) for d, g in zip(domains, step, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - change)
-    return rate
+@dataclass(frozen=True)
+class Targets:
+    """What the domains have and are to have.
 
+    The clean domain is the one with the largest weight of those with more than a
+    negligible share of the tokens. ``scale`` tokens per unit of weight leave it
+    whole. A domain that has too little for that is scarce: its documents may be
+    taken ``most`` times, and its target is nearly what that gives at most.
+    """
 
-def document_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """``posteriors`` with a nonnegative ``rate`` per document.
+    domains: list[str]
+    has: np.ndarray
+    moments: np.ndarray
+    weights: np.ndarray
+    clean: int
+    most: float
 
-    Least squares of the domains' expected tokens to their targets, each in units
-    of what the domain has, by projected gradient steps from rate 1. Steps are
-    scaled by a document's tokens, so a rate depends on probabilities alone. All
-    a step has to know of the corpus is one sum per domain, and a rate follows
-    from the list of steps, so there is no state but ``posteriors``: store them.
-    Steps end after ``MOST_STEPS``, whether or not the targets are met, and the
-    scarcest domain sets the scale: queries use ``clean_rates`` instead. The targets add up to the most tokens for which no domain needs repeating.
-    In the end the rates are divided by the largest, if it is above 1: no document
-    is repeated, and the domains keep their shares. A domain without tokens, or
-    with weight 0, has target 0.
-    """
-    domains = list(weights)
+    @property
+    def scale(self) -> float:
+        return float(self.has[self.clean] / self.weights[self.clean])
 
-    def totals(steps: list[list[float]]) -> list[float]:
-        expected = (F.sum(_rate(domains, steps) * F.col("tokens") * F.col(f"p_{d}")) for d in domains)
-        return [float(x or 0) for x in posteriors.agg(*expected).first()]
-
-    has = totals([])
-    wanted = [weights[d] if h > 0 else 0.0 for d, h in zip(domains, has, strict=True)]
-    most = min((h / w for h, w in zip(has, wanted, strict=True) if w > 0), default=0.0)
-    targets = [most * w for w in wanted]
-    steps: list[list[float]] = []
-    now = has
-    while len(steps) < MOST_STEPS:
-        step = [(n - t) / h if h > 0 else 0.0 for n, t, h in zip(now, targets, has, strict=True)]
-        if max(map(abs, step), default=0.0) < CLOSE:
-            break
-        steps.append(step)
-        now = totals(steps)
-    largest = posteriors.agg(F.max(_rate(domains, steps))).first()[0] or 1.0
-    return posteriors.withColumn("rate", _rate(domains, steps) / F.lit(max(1.0, largest)))
+    @property
+    def scarce(self) -> np.ndarray:
+        return self.has < self.scale * self.weights
+
+    def at(self, scale: float) -> np.ndarray:
+        repeated = (self.most - 1) * self.moments @ self.scarce
+        return np.minimum(scale * self.weights, self.has + ATTAINED * repeated)
+
+    def limit(self) -> Column:
+        """Upper limit of a document's rate: 1, and up to ``most`` by its part in scarce domains."""
+        part = F.lit(0.0)
+        for d, scarce in zip(self.domains, self.scarce, strict=True):
+            part = part + F.col(f"p_{d}") if scarce else part
+        return F.lit(1.0) + F.lit(self.most - 1) * part
 
 
 @dataclass(frozen=True)
-class Sums:
-    """What one pass finds for some prices: the dual's value, slopes and curvature."""
-
-    value: float
-    slopes: np.ndarray
-    curves: np.ndarray
-    tokens: float
-
-
-def _solved(sums: Callable[[list[np.ndarray]], list[Sums]], n: int) -> tuple[np.ndarray, float]:
-    """Nonnegative prices by Newton steps on the concave dual, and the largest
-    excess left, as a share of the tokens taken. Each pass tries several parts of
-    two steps, and the one with the highest value counts. Fails if it cannot bring
-    the excess below ``CLOSE``."""
-    prices = np.zeros(n)
-    now = sums([prices])[0]
-    total = now.tokens
-    for _ in range(MOST_PASSES):
-        free = (prices > 0) | (now.slopes > 0)
-        unmet = np.abs(now.slopes[free]).max(initial=0.0) / max(now.tokens, NEGLIGIBLE * total, 1e-300)
-        if unmet < CLOSE:
-            return prices, float(unmet)
-        curves = now.curves[np.ix_(free, free)] + np.eye(free.sum()) * 1e-9 * total
-        step = np.zeros(n)
-        step[free] = np.linalg.solve(curves, now.slopes[free])
-        scaled = np.where(free, now.slopes / (np.diag(now.curves) + 1e-9 * total), 0.0)
-        trials = [np.maximum(0.0, prices + part * step) for part in TRIED]
-        trials += [np.maximum(0.0, prices + part * scaled) for part in TRIED_DIAGONAL]
-        found = sums(trials)
-        best = max(range(len(trials)), key=lambda i: found[i].value)
-        if found[best].value <= now.value:
-            break
-        prices, now = trials[best], found[best]
-    raise ArithmeticError(f"rates miss the shares by {unmet:.3g} of the tokens taken, at prices {prices.tolist()}")
-
-
-def clean_rates(posteriors: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """``posteriors`` with a ``rate`` from 0 to 1 per document.
-
-    The domain with the largest weight (the first of several, without those of a
-    negligible share of the tokens) is the clean one. Of all rates at which no
-    other domain has more expected tokens than its weight beside the clean one's,
-    these are the closest to 1, by squares weighted with tokens: 1 - sum of
-    price x (p_domain - weight / clean weight x p_clean), cut to 0 and 1. Documents
-    of the clean domain keep rate 1 however rare the others are; a domain that has
-    too little is taken whole and falls short, with a warning. Nothing is repeated.
-    The prices solve the dual problem, one number per domain: store ``posteriors``,
-    which each of some ten passes reads. Fails if the shares are not met, which is
-    so if no document has probabilities that meet them.
+class _Tried:
+    """Expected tokens by domain after a step, and p p' summed over tokens that can go on."""
+
+    expected: np.ndarray
+    free: np.ndarray
+
+
+def _table(steps: list[np.ndarray]) -> Column:
+    """Steps as one constant. Numbers of a table are no part of the compiled code,
+    so that every pass runs the code of the one before."""
+    return F.from_json(F.lit(json.dumps([s.tolist() for s in steps])), "array<array<double>>")
+
+
+def _along(domains: list[str], step: Column) -> Column:
+    """How far a document's rate falls in a step of so much per domain."""
+    return sum((F.col(f"p_{d}") * F.get(step, F.lit(i)) for i, d in enumerate(domains)), F.lit(0.0))
+
+
+def _moved(rate: Column, domains: list[str], step: Column) -> Column:
+    """The rate after a step, put back between 0 and its limit."""
+    return F.greatest(F.lit(0.0), F.least(F.col("limit"), rate - _along(domains, step)))
+
+
+def _rate(domains: list[str], steps: list[np.ndarray]) -> Column:
+    """The rate that all steps from 1 lead to."""
+    return F.aggregate(_table(steps), F.lit(1.0), lambda rate, step: _moved(rate, domains, step))
+
+
+def _try(limited: DataFrame, domains: list[str], made: list[np.ndarray], steps: list[np.ndarray]) -> list[_Tried]:
+    """One pass over the documents: what each of ``steps`` would give after those ``made``."""
+    n, p = len(domains), [f"`p_{d}`" for d in domains]
+    rated = limited.withColumn("rate", _rate(domains, made)).withColumn("steps", _table(steps))
+    along = {
+        f"along_{j}": F.expr(" + ".join(f"{p[d]} * steps[{j}][{d}]" for d in range(n))) for j in range(len(steps))
+    }
+    after = {f"after_{j}": F.expr(f"greatest(0D, least(limit, rate - along_{j}))") for j in range(len(steps))}
+    tried, sums = rated.withColumns(along).withColumns(after), []
+    for j in range(len(steps)):
+        inside = f"(after_{j} > 0 or along_{j} < 0) and (after_{j} < limit or along_{j} > 0)"
+        sums += [F.expr(f"sum(after_{j} * tokens * {x})") for x in p]
+        sums += [F.expr(f"sum(if({inside}, tokens, 0) * {p[a]} * {p[b]})") for a in range(n) for b in range(a, n)]
+    row = np.array([float(x or 0) for x in tried.agg(*sums).first()]).reshape(len(steps), -1)
+    return [_Tried(one[:n], _symmetric(one[n:], n)) for one in row]
+
+
+def _symmetric(upper: np.ndarray, n: int) -> np.ndarray:
+    full = np.zeros((n, n))
+    full[np.triu_indices(n)] = upper
+    return full + np.triu(full, 1).T
+
+
+def document_rates(
+    posteriors: DataFrame, weights: Mapping[str, float], most: float = MOST_RATE
+) -> DataFrame:
+    """``posteriors`` with a nonnegative ``rate`` per document.
+
+    Least squares of the domains' expected tokens to the targets by projected
+    gradient steps from rate 1. Misses are measured by the inverse of the domains'
+    second moments, in which a full step by all documents never overshoots; longer
+    ones, and steps scaled by the documents that are not at a bound, are tried in
+    the same pass and the best one counts. A step is one number per domain, and a
+    document's rate moves by its probabilities times these, so all that a step has
+    to know of the corpus are a few sums.
+
+    Targets leave the clean domain whole, others at their weight beside it. Where
+    that is out of reach, because documents are of several domains, all targets
+    shrink together as little as the steps need, down to ``LEAST_SCALE``. If even
+    this leaves a miss above ``UNMET``, the rates are the nearest to the targets of
+    the clean domain's scale. So rates are defined for any weights and
+    probabilities; ``mix_report`` says what was missed. Without tokens, or without
+    a wanted domain that has any, all rates are 1.
+
+    Runs at once, some ten passes, at most ``MOST_PASSES``: store ``posteriors``.
     """
     domains = list(weights)
-    has = posteriors.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in domains)).first()
-    has = {d: float(x or 0) for d, x in zip(domains, has, strict=True)}
-    total, wanted = sum(has.values()), sum(weights.values())
-    if not total:
-        return posteriors.withColumn("rate", F.lit(1.0))
-    present = [d for d in domains if weights[d] > 0 and has[d] >= NEGLIGIBLE * total]
+    n = len(domains)
+    first = [F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in domains]
+    moments = [
+        F.sum(F.col("tokens") * F.col(f"p_{domains[a]}") * F.col(f"p_{domains[b]}"))
+        for a in range(n) for b in range(a, n)
+    ]
+    row = np.array([float(x or 0) for x in posteriors.agg(*first, *moments).first()])
+    has, all_ = row[:n], _symmetric(row[n:], n)
+    wanted = np.array([float(weights[d]) for d in domains])
+    present = [i for i in range(n) if wanted[i] > 0 and has[i] > NEGLIGIBLE * has.sum()]
     if not present:
-        return posteriors.withColumn("rate", F.lit(0.0))
-    clean = max(present, key=weights.get)
-    others = [d for d in domains if d != clean]
-    limits = {d: max(weights[d], NEGLIGIBLE * wanted) / weights[clean] for d in others}
-    over = [F.col(f"p_{d}") - F.lit(limits[d]) * F.col(f"p_{clean}") for d in others]
-
-    def cost(prices: np.ndarray) -> Column:
-        return sum((F.lit(float(x)) * o for x, o in zip(prices, over, strict=True)), F.lit(0.0))
-
-    def rate(prices: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cost(prices)))
-
-    def sums(trials: list[np.ndarray]) -> list[Sums]:
-        size, wide, n = F.col("tokens"), [], len(others)
-        for prices in trials:
-            taken = rate(prices)
-            moves = F.when((cost(prices) >= 0) & (cost(prices) <= 1), size).otherwise(0)
-            wide.append(F.sum(size * ((1 - taken) * (1 - taken) / 2 + taken * cost(prices))))
-            wide += [F.sum(size * taken)]
-            wide += [F.sum(size * taken * o) for o in over]
-            wide += [F.sum(moves * over[i] * over[j]) for i in range(n) for j in range(i, n)]
-        row = np.array([float(x) for x in posteriors.agg(*wide).first()]).reshape(len(trials), -1)
-        found = []
-        for one in row:
-            curves = np.zeros((n, n))
-            curves[np.triu_indices(n)] = one[2 + n :]
-            curves = curves + np.triu(curves, 1).T
-            found.append(Sums(one[0], one[2 : 2 + n], curves, one[1]))
-        return found
-
-    prices, _ = _solved(sums, len(others))
-    rates = posteriors.withColumn("rate", rate(prices))
-    kept = rates.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")) for d in domains)).first()
-    kept = {d: float(x) for d, x in zip(domains, kept, strict=True)}
-    if not kept[clean]:
-        raise ArithmeticError(f"no documents have shares within {limits} of {clean}: the weights are out of reach")
-    for d in others:
-        target = weights[d] / weights[clean] * kept[clean]
-        if kept[d] < target * (1 - NEGLIGIBLE):
-            warnings.warn(f"{d} has {kept[d]:.6g} of {target:.6g} wanted tokens", stacklevel=2)
-    if kept[clean] < 0.5 * has[clean]:
-        warnings.warn(f"{clean} keeps {kept[clean]:.6g} of {has[clean]:.6g} tokens", stacklevel=2)
-    return rates
+        return posteriors.withColumn("rate", F.lit(1.0))
+    targets = Targets(domains, has, all_, wanted, max(present, key=lambda i: wanted[i]), most)
+    metric = np.linalg.pinv(all_, rcond=1e-9, hermitian=True)
+    limited = posteriors.withColumn("limit", targets.limit())
+    made: list[np.ndarray] = []
+
+    def miss(expected: np.ndarray, scale: float) -> float:
+        error = expected - targets.at(scale)
+        return float(error @ metric @ error)
+
+    def best_scale(expected: np.ndarray) -> float:
+        low, high = LEAST_SCALE * targets.scale, targets.scale
+        while high - low > 1e-12 * targets.scale:
+            third = (high - low) / 3
+            if miss(expected, low + third) < miss(expected, high - third):
+                high -= third
+            else:
+                low += third
+        return (low + high) / 2
+
+    scale, now, at_clean_scale = targets.scale, _Tried(has, all_), None
+    for passes in range(MOST_PASSES):
+        error = now.expected - targets.at(scale)
+        unmet = np.abs(error).max() / targets.at(scale).sum()
+        if unmet < CLOSE:
+            break
+        by_all = metric @ error
+        by_free = np.linalg.solve(now.free + 1e-6 * all_ + 1e-12 * has.sum() * np.eye(n), error)
+        steps = [x * by_all for x in TRIED_ALL] + [x * by_free for x in TRIED_FREE]
+        tried = _try(limited, domains, made, steps)
+        scales = [scale if at_clean_scale is None else best_scale(t.expected) for t in tried]
+        best = min(range(len(steps)), key=lambda j: miss(tried[j].expected, scales[j]))
+        before, after = miss(now.expected, scale), miss(tried[best].expected, scales[best])
+        if before <= 1e-15 * has.sum():
+            # What is missed lies where no rates can reach.
+            at_clean_scale = made if at_clean_scale is None else at_clean_scale
+            break
+        if after >= before and at_clean_scale is not None:
+            break
+        made = [*made, steps[best]]
+        now, scale = tried[best], scales[best]
+        if at_clean_scale is None and after > before / 2 and passes >= 2:
+            at_clean_scale = made
+        elif at_clean_scale is not None and after > before * (1 - 1e-4):
+            break
+    unmet = np.abs(now.expected - targets.at(scale)).max() / targets.at(scale).sum()
+    if unmet > UNMET and at_clean_scale is not None:
+        made = at_clean_scale
+    return limited.withColumn("rate", _rate(domains, made)).drop("limit")
+
+
+def mix_report(rated: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """One row per domain: weight, tokens that it has, that are wanted beside what
+    the clean domain keeps, and that the rates keep, and the share of all kept ones.
+
+    The clean domain is the one of ``document_rates``. Wanted tokens are null
+    where no domain with a weight has tokens, shares where nothing is kept.
+    """
+    domains, sums = list(weights), []
+    for i, d in enumerate(domains):
+        tokens = F.col("tokens") * F.col(f"p_{d}")
+        sums += [F.coalesce(F.sum(tokens), F.lit(0.0)).alias(f"has_{i}")]
+        sums += [F.coalesce(F.sum(F.col("rate") * tokens), F.lit(0.0)).alias(f"kept_{i}")]
+    row = rated.agg(*sums).first()
+    has, kept = ([float(row[f"{x}_{i}"]) for i in range(len(domains))] for x in ("has", "kept"))
+    present = [i for i, d in enumerate(domains) if weights[d] > 0 and has[i] > NEGLIGIBLE * sum(has)]
+    clean = max(present, key=lambda i: weights[domains[i]], default=None)
+    unit = None if clean is None else kept[clean] / weights[domains[clean]]
+    rows = [
+        (d, float(weights[d]), has[i], None if unit is None else unit * weights[d], kept[i], kept[i] / sum(kept) if sum(kept) else None)
+        for i, d in enumerate(domains)
+    ]
+    # One row per domain.
+    return rated.sparkSession.createDataFrame(
+        rows, "domain string, weight double, has_tokens double, wanted_tokens double, kept_tokens double, kept_share double"
+    )
 
 
 def copies(rate: Column, doc_id: Column, seed: int = 0) -> Column:
@@ -376,10 +438,12 @@ def mix_domains(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, floa
 
     Null and empty texts have no tokens and the probabilities of an empty text.
     Columns other than doc_id and text are not read. Rows that repeat an id are
-    taken alike.
+    taken alike. If the labels are of less than two domains, or of other
+    documents, nothing tells domains apart: every document is taken once.
     """
     model = fit_domains(docs, labelled, list(weights))
-    rates = clean_rates(stored(domain_posteriors(docs, model)), weights)
+    found = stored(domain_posteriors(docs, model))
+    rates = document_rates(found, weights) if model.tells else found.withColumn("rate", F.lit(1.0))
     return rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
