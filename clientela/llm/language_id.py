@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ LEAST_SHARE = 0.02
 STEPS = 8
 SMOOTHING = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters in lower case and all bytes of other characters stay.
 _KEPT = np.array([(97 <= b <= 122) or b >= 128 for b in range(256)])
 _NGRAMS = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("n", pa.int64())])
@@ -153,7 +151,8 @@ def language_sets(texts: list[bytes], model: LanguageModel) -> tuple[np.ndarray,
 
 
 def _has_letter(text: bytes) -> bool:
-    return _LETTER.search(text.decode(errors="replace")) is not None
+    """Whether a character is of the Unicode category L; fractions and powers are numbers."""
+    return any(map(str.isalpha, text.decode(errors="replace")))
 
 
 def accepts(model: LanguageModel) -> Callable[[Column], Column]:

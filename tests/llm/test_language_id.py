@@ -79,3 +79,14 @@ def test_held_out_documents(spark):
     right = found.join(docs.select("doc_id", "lang"), "doc_id").where(held_out())
     assert right.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.99
     assert right.agg(F.avg(F.col("accepted").cast("int"))).first()[0] == 1
+
+
+@pytest.mark.parametrize("text", ["½ 2", "²", "12 ③ Ⅷ", "٣ _", "!?"])
+def test_numbers_are_no_letters(make, model, text):
+    row = identify_languages(make([(1, text)]), model).first()
+    assert (row["lang_pred"], row["score"], row["accepted"]) == ("und", 0.0, False)
+
+
+def test_letters_of_every_kind(make, model):
+    rows = identify_languages(make(list(enumerate(["ª", "ǅ", "ʰ", "語", "é", "x 1"]))), model).collect()
+    assert all(r["lang_pred"] != "und" for r in rows)
