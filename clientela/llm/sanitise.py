@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from clientela.llm.batches import as_batch, bound, text_chunks, texts_of
+from clientela.llm.batches import as_batch, bound, free_name, text_chunks, texts_of
 from clientela.sources.scratch import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -321,7 +321,7 @@ def sanitised(text: str | None, spans: str) -> str | None:
 def sanitise_documents(docs: DataFrame) -> DataFrame:
     """The documents with sanitised texts, all columns; one row per row."""
     schema = docs.schema
-    hashes, spans = "_text_hash_", "_spans_"
+    id_, own_hash, hashes, spans = (free_name(docs, x) for x in ("found_id", "own_hash", "found_hash", "found_spans"))
 
     @F.pandas_udf("long")
     def text_hash(texts):
@@ -333,8 +333,8 @@ def sanitise_documents(docs: DataFrame) -> DataFrame:
 
         return pd.Series([sanitised(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    found = disclosures(docs).select(F.col("doc_id").alias("_id_"), F.col("text_hash").alias(hashes), F.col("spans").alias(spans))
-    found = found.dropDuplicates(["_id_", hashes])
-    own = docs.withColumn("_own_hash_", text_hash("text"))
-    joined = own.join(found, own["doc_id"].eqNullSafe(found["_id_"]) & (own["_own_hash_"] == found[hashes]), "left")
+    found = disclosures(docs).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hashes), F.col("spans").alias(spans))
+    found = found.dropDuplicates([id_, hashes])
+    own = docs.withColumn(own_hash, text_hash("text"))
+    joined = own.join(found, own["doc_id"].eqNullSafe(found[id_]) & (own[own_hash] == found[hashes]), "left")
     return joined.withColumn("text", clean("text", spans)).select(*(F.col(f.name) for f in schema))

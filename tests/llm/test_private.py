@@ -158,3 +158,14 @@ def test_planted_secrets_are_found_in_held_out_documents(spark):
     }
     got = {(r["doc_id"], r["start"]) for r in rows if r["is_secret"]}
     assert planted and got == planted
+
+
+def test_names_that_sanitising_uses_stay_the_users(make):
+    from pyspark.sql import functions as F
+
+    docs = make([(1, "write to a.b@example.org now"), (2, None)])
+    for name in ("found_id", "own_hash", "found_hash", "found_spans", "_spans_", "_own_hash_", "spans"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    rows = sanitise_documents(docs).collect()
+    assert {r["text"] for r in rows} == {"write to [EMAIL] now", None}
+    assert {tuple(r)[5:] for r in rows} == {("mine",) * 7}
