@@ -19,6 +19,7 @@ from clientela.operators import (
     intervals,
     quality,
     rfm,
+    summary,
 )
 from clientela.operators.funnel import email_funnel
 from clientela.sources.delimited import scan_file, scan_table, write_csv
@@ -27,7 +28,6 @@ from clientela.sources.tables import LINES
 
 Report = dict[str, DataFrame]
 
-FLAGS = ("OPENED", "CLICKED", "FAILED")
 ADDRESS_TEXT = ["CAP", "PRV", "REGION"]
 
 
@@ -63,8 +63,11 @@ def email_report(event: DataFrame, campaign: DataFrame, fidelity: DataFrame, out
     funnel = stored(email_funnel(events.type_events(event), known), f"{out_dir}/funnel")
     days = distributions.days_to_open(funnel)
     cumulative = distributions.days_to_open_cumulative(days)
-    opened = distributions.flag_shares(funnel, "OPENED")
-    by_type = distributions.overview(funnel, "TYP_CAMP")
+    # Overviews and flag shares all count the same reduced ids.
+    seen = stored(summary.seen_ids(funnel), f"{out_dir}/funnel_ids")
+    of_all, of_types = summary.counts_of_all(seen), summary.counts_by_type(seen)
+    opened = summary.shares_of(of_all, "OPENED")
+    by_type = summary.overview_of(of_types, by_type=True)
     opens, clicks = distributions.opens_per_send(funnel), distributions.clicks_per_send(funnel)
     report = {
         "profile_raw": quality.profile(event),
@@ -79,7 +82,7 @@ def email_report(event: DataFrame, campaign: DataFrame, fidelity: DataFrame, out
         "consistency_campaign": quality.key_audit(
             known, event, "ID_CAMP", "is_in_df_5", "is_in_df_6", "NUM_ID_CAMPs"
         ),
-        "overview": distributions.overview(funnel),
+        "overview": summary.overview_of(of_all, by_type=False),
         "overview_by_type": by_type,
         "chart_overview_by_type": charts.bars(by_type, "TYP_CAMP", "TOT_EVENTs"),
         "opened": opened,
@@ -95,8 +98,8 @@ def email_report(event: DataFrame, campaign: DataFrame, fidelity: DataFrame, out
         "profile_funnel": quality.profile(funnel),
         "levels_funnel": quality.top_levels(funnel, ["TYP_CAMP"]),
     }
-    for flag in FLAGS:
-        shares = distributions.flag_shares(funnel, flag, by_type=True)
+    for flag in summary.FLAGS:
+        shares = summary.shares_of(of_types, flag)
         report[f"{flag.lower()}_by_type"] = shares
         report[f"chart_stack_{flag.lower()}_by_type"] = charts.bars(
             shares, "TYP_CAMP", "TOT_EVENTs", flag
