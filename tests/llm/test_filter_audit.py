@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 
 from clientela.llm import filter_audit as audit
-from clientela.llm.oracles import AUDIT
 
 from .conftest import DOCUMENT
 
@@ -124,7 +123,3 @@ def test_fewer_filters(spark):
     assert row["documents"] == [3, 1, 2, 1] and row["good"] == [2, 1, 1, 1] and row["toxic"] == [1, 0, 0, 0]
     steps = {tuple(r)[:3]: list(r)[3:5] for r in audit.interactions(audit.subset_survivors(marked, 2), "XY").collect()}
     assert steps == {("p", "XY", 1): [1, 2], ("p", "XY", 2): [1, 0], ("p", "YX", 1): [2, 1], ("p", "YX", 2): [1, 1]}
-
-
-def test_sql_is_offered():
-    assert "filter_order" in AUDIT

@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientela.llm import vector_codes as codes
-from clientela.llm.batches import as_batch  # noqa: F401  (the package is importable in workers)
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
