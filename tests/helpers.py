@@ -33,8 +33,16 @@ def sort_rows(rows):
 
 
 def plan(df: DataFrame) -> str:
-    """Final physical plan; run the query first."""
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    """Final physical plan, those of subqueries included; run the query first."""
+    kept, below = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :|"))
+        if below is not None and depth > below:
+            continue
+        below = depth if "== Initial Plan ==" in line else None
+        if below is None:
+            kept.append(line)
+    return "\n".join(kept)
 
 
 def literal_funnel(events, campaigns):
