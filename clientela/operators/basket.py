@@ -70,7 +70,7 @@ def basket_model(baskets: DataFrame, min_support: float, min_confidence: float =
     )
     total = numbered.count()
     least = max(1, ceil(min_support * total))
-    nothing = F.array().cast("array<string>")
+    nothing = F.array().cast(numbered.schema["items"].dataType)
     single = numbered.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
     found = [stored(single.where(F.col("freq") >= least).select(nothing.alias("prefix"), "item", "freq"))]
     pairs = _pair_counts(numbered).where(F.col("freq") >= least)

@@ -85,3 +85,35 @@ def test_missing_tickets_and_items_are_left_out(spark):
     rows = [(1, "a"), (1, None), (None, "a"), (2, "a")]
     baskets = basket.baskets(spark.createDataFrame(rows, "ID_TICKET bigint, ITEM string"), 0.5)
     assert sorted((r.ID_TICKET, tuple(r["items"])) for r in baskets.collect()) == [(1, ("a",)), (2, ("a",))]
+
+
+def test_nothing_frequent_no_baskets_and_numbered_items(spark):
+    rows = [(t, t) for t in range(20)]
+    model = basket.basket_model(basket.baskets(spark.createDataFrame(rows, "ID_TICKET bigint, ITEM bigint"), 0.5), 0.5)
+    assert basket.frequent_sets(model).count() == basket.basket_rules(model).count() == 0
+    model = basket.basket_model(basket.baskets(spark.createDataFrame([], "ID_TICKET bigint, ITEM string"), 0.5), 0.5)
+    assert basket.frequent_sets(model).count() == 0
+    rows = [(t, i) for t in range(70) for i in (3, 1, 2)]
+    model = basket.basket_model(basket.baskets(spark.createDataFrame(rows, "ID_TICKET bigint, ITEM bigint"), 0.5), 0.5)
+    assert {(tuple(r["items"]), r.freq) for r in model.sets.collect()} == {
+        (s, 70) for s in [(1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 2, 3)]
+    }
+
+
+def test_an_item_of_every_ticket_is_spread_over_tasks(spark, monkeypatch):
+    """Rows of the hot item are as many as blocks of tickets, in many tasks; sets of seven items are found."""
+    rows = [(t, c) for t in range(3000) for c in ("a" if t % 4 else "abcdefg")]
+    seen = []
+    held_by_both = basket._held_by_both
+
+    def kept(held, candidates):
+        seen.append(held)
+        return held_by_both(held, candidates)
+
+    monkeypatch.setattr(basket, "_held_by_both", kept)
+    lines = spark.createDataFrame(rows, "ID_TICKET bigint, ITEM string").repartition(8)
+    model = basket.basket_model(basket.baskets(lines, 0.2), 0.2)
+    sets = {tuple(r["items"]): r.freq for r in model.sets.collect()}
+    assert len(sets) == 127 and sets["a",] == 3000 and sets[tuple("abcdefg")] == 750
+    hot = seen[0].where("item = 'a'")
+    assert 3000 / 64 <= hot.count() < 150
