@@ -8,6 +8,7 @@ from math import ceil
 import pytest
 
 from clientela.operators import basket
+from helpers import plan
 
 
 def _lines(seed):
@@ -117,3 +118,31 @@ def test_an_item_of_every_ticket_is_spread_over_tasks(spark, monkeypatch):
     assert len(sets) == 127 and sets["a",] == 3000 and sets[tuple("abcdefg")] == 750
     hot = seen[0].where("item = 'a'")
     assert 3000 / 64 <= hot.count() < 150
+
+
+def test_longer_sets_are_found_within_the_rows_of_their_blocks(spark, settings, monkeypatch):
+    """Sets of a block are not joined by block, and a row holds all those of a prefix: 10 rows
+    for the 20 sets of three items."""
+    settings(
+        spark__sql__autoBroadcastJoinThreshold=-1,
+        spark__sql__adaptive__autoBroadcastJoinThreshold=-1,
+        spark__sql__shuffle__partitions=3,
+    )
+    rows = [(t, c) for t in range(640) for c in ("abcdef" if t % 10 else ["rare"])]
+    made = []
+    held_by_both = basket._held_by_both
+
+    def kept(held, candidates):
+        made.append(held_by_both(held, candidates))
+        return made[-1]
+
+    monkeypatch.setattr(basket, "_held_by_both", kept)
+    lines = spark.createDataFrame(rows, "ID_TICKET bigint, ITEM string").repartition(4)
+    model = basket.basket_model(basket.baskets(lines, 0.5), 0.5)
+    sets = {tuple(r["items"]): r.freq for r in model.sets.collect()}
+    assert sets == {s: 576 for k in range(1, 7) for s in combinations("abcdef", k)}
+    blocks = made[0].select("block").distinct().count()
+    for longer in made:
+        longer.collect()
+        assert not [line for line in plan(longer).splitlines() if "Exchange" in line and "block" in line]
+    assert made[0].count() == 10 * blocks
