@@ -113,7 +113,7 @@ def funnel_summary(seen: DataFrame) -> DataFrame:
         for flag in FLAGS:
             shares = shares_of(counts, flag).withColumnRenamed(flag, "SIDE")
             rows.append(shares.select(head, "TYP_CAMP", F.lit(flag).alias("FLAG"), "SIDE", *shares.columns[2:]))
-        totals = counts.where("all_events > 0").select(
+        totals = counts.select(
             head, "TYP_CAMP", F.lit(None).cast("string").alias("FLAG"), F.lit(None).cast("boolean").alias("SIDE"),
             F.col("all_events").alias("TOT_EVENTs"), F.col("all_clients").alias("TOT_CLIs"),
             F.lit(1.0).alias("PERCENT_EVENTs"), F.lit(1.0).alias("PERCENT_CLIs"),

@@ -69,7 +69,7 @@ def whole_records(spark: SparkSession, path: str) -> DataFrame:
         .agg(_joined("split", "value"), F.max_by("open", "split").alias("open"))
         .select("value", "open")
     )
-    records = single.unionByName(within).unionByName(across)
+    records = within.unionByName(across).unionByName(single)
     text = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     return records.select(text.alias("value"), "open").where(F.trim("value") != "")
 
