@@ -141,6 +141,7 @@ def test_longer_sets_are_found_within_the_rows_of_their_blocks(spark, settings,
     model = basket.basket_model(basket.baskets(lines, 0.5), 0.5)
     sets = {tuple(r["items"]): r.freq for r in model.sets.collect()}
     assert sets == {s: 576 for k in range(1, 7) for s in combinations("abcdef", k)}
+    assert basket.basket_rules(model).count() == sum(len(s) for s in sets if len(s) > 1)
     blocks = made[0].select("block").distinct().count()
     for longer in made:
         longer.collect()
