@@ -101,19 +101,20 @@ def shares_of(counts: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def funnel_summary(seen: DataFrame) -> DataFrame:
+def funnel_summary(seen: DataFrame, total_of_none: bool = False) -> DataFrame:
     """Every count and share of the funnel in one table.
 
     One row per campaign type (ALL is over all), flag and side of it; the rows
-    with neither flag nor side are the totals that the shares refer to.
+    with neither flag nor side are the totals that the shares refer to. Without
+    a send there is no row, or with ``total_of_none`` that of ALL, which counts 0.
     """
-    rows = []
+    rows, least = [], 0 if total_of_none else 1
     for scope, counts in (("all", counts_of_all(seen)), ("type", counts_by_type(seen))):
         head = F.lit(scope).alias("SCOPE")
         for flag in FLAGS:
             shares = shares_of(counts, flag).withColumnRenamed(flag, "SIDE")
             rows.append(shares.select(head, "TYP_CAMP", F.lit(flag).alias("FLAG"), "SIDE", *shares.columns[2:]))
-        totals = counts.select(
+        totals = counts.where(F.col("all_events") >= least).select(
             head, "TYP_CAMP", F.lit(None).cast("string").alias("FLAG"), F.lit(None).cast("boolean").alias("SIDE"),
             F.col("all_events").alias("TOT_EVENTs"), F.col("all_clients").alias("TOT_CLIs"),
             F.lit(1.0).alias("PERCENT_EVENTs"), F.lit(1.0).alias("PERCENT_CLIs"),
