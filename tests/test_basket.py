@@ -71,6 +71,21 @@ def test_one_huge_ticket_keeps_only_frequent_items(spark):
     assert len(sizes) == 40 and set(sizes.values()) == {2}
 
 
+def test_lines_are_not_shuffled_by_item(spark, settings):
+    """Frequent items go to the lines: only their counts, one per item and task, are shuffled by item."""
+    settings(
+        spark__sql__autoBroadcastJoinThreshold=-1,
+        spark__sql__adaptive__autoBroadcastJoinThreshold=-1,
+    )
+    rows = [(t, "a") for t in range(400)] + [(t, item) for t in range(0, 400, 2) for item in ("b", f"rare{t}")]
+    made = basket.baskets(spark.createDataFrame(rows, "ID_TICKET bigint, ITEM string").repartition(4), 0.5)
+    assert {r.ID_TICKET: tuple(sorted(r["items"])) for r in made.collect()} == {
+        t: ("a",) if t % 2 else ("a", "b") for t in range(400)
+    }
+    by_item = [line for line in plan(made).splitlines() if "Exchange hashpartitioning(ITEM" in line]
+    assert len(by_item) == 1 and "SortMergeJoin" not in plan(made)
+
+
 def test_pairs_with_a_third_of_all_lines_in_one_ticket(spark):
     rows = [(0, f"rare{i}") for i in range(300)] + [(0, "a"), (0, "b")]
     rows += [(t, item) for t in range(1, 150) for item in "abcd"[: t % 4 + 1]]
